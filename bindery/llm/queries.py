@@ -11,6 +11,7 @@ from .bpe_trie import encode_documents
 from .common import hex64
 from .mixing import mix
 from .quality import quality
+from .secrets import BASE_RULES, listed, scan
 from .simhash import near_duplicates
 
 #: Folder of the public tokenizer files.
@@ -35,6 +36,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    kinds = F.transform("secret_spans", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, i)) for i in range(len(BASE_RULES))]
+    counts = [(F.size(kinds) - n).cast("long").alias(f"n_{rule.kind}") for n, rule in zip(counts, BASE_RULES)]
+    base = F.filter("secret_spans", lambda s: s["kind"] < len(BASE_RULES))
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
     return coded.select(
