@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe_trie import encode_documents
 from .common import hex64
 from .mixing import mix
+from .multi_index import nearest
 from .quality import quality
 from .secrets import BASE_RULES, listed, scan
 from .simhash import near_duplicates
@@ -67,6 +68,11 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0).select("vec_id"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
