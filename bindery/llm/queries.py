@@ -11,6 +11,7 @@ from .bpe_trie import encode_documents
 from .common import hex64
 from .mixing import mix
 from .multi_index import nearest
+from .pseudonyms import pseudonymize
 from .quality import quality
 from .secrets import BASE_RULES, listed, scan
 from .simhash import near_duplicates
@@ -38,6 +39,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = os.environ.get("PSEUDONYM_KEY", "public test key")
+    return pseudonymize(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_values")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no classifier learns from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
