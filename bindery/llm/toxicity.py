@@ -13,18 +13,20 @@ needs one number a word, which tasks remember for the words they have met.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import binary_column, pieces, worker_state
 
 #: Labelled rows that the model is fitted on, at most (a sample by hash).
-FIT_ROWS = 6_000
+FIT_ROWS = 4_000
 #: n-gram lengths in code points, over the word with its two borders.
 SHORTEST, LONGEST = 3, 6
 BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 8, 120, 2.0
@@ -78,7 +80,7 @@ class _Mean:
         return self._sum(grad, self.row, self.col, self.shape[1])
 
 
-def fit(bags: list[list[bytes]], labels: list[int], seed: int = 7) -> Model:
+def fit(bags: Iterable[Iterable[bytes]], labels: list[int], seed: int = 7) -> Model:
     """Train n-gram vectors and softmax together, by gradient descent with momentum over the whole sample.
 
     Only n-grams that the labels bear on have a vector that moves; the others
@@ -90,11 +92,18 @@ def fit(bags: list[list[bytes]], labels: list[int], seed: int = 7) -> Model:
         return Model({}, prior)
     y = np.asarray(labels)
     number: dict[bytes, int] = {}
-    rows = [np.fromiter(sorted(number.setdefault(w, len(number)) for w in b), np.int64, len(b)) for b in bags]
-    grams = [np.asarray(buckets_of(w), np.int64) for w in number]
+    rows = [np.fromiter(sorted(number.setdefault(w, len(number)) for w in b), np.int32) for b in bags]
+    size, flat = np.empty(len(number), np.int32), array("i")
+    for i, w in enumerate(number):
+        grams = buckets_of(w)
+        size[i] = len(grams)
+        flat.extend(grams)
+    del number
+    flat = np.frombuffer(flat, np.int32)
+    ends = np.cumsum(size)
     texts, ones = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for ids, label in zip(rows, labels):
-        held = np.unique(np.concatenate([grams[i] for i in ids])) if len(ids) else np.empty(0, np.int64)
+        held = np.unique(np.concatenate([flat[ends[i] - size[i] : ends[i]] for i in ids])) if len(ids) else np.empty(0, np.int64)
         texts[held] += 1
         ones[held] += label
     p = y.mean()
@@ -104,13 +113,12 @@ def fit(bags: list[list[bytes]], labels: list[int], seed: int = 7) -> Model:
         return Model({}, prior)
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
-    size = np.fromiter(map(len, grams), np.int64, len(grams))
-    col = place[np.concatenate(grams)]
-    row = np.repeat(np.arange(len(grams)), size)
-    told = np.unique(row[col >= 0])  # words with such an n-gram
-    back = np.full(len(grams), -1)
+    at = np.flatnonzero(place[flat] >= 0)
+    col, row = place[flat[at]], np.searchsorted(ends, at, side="right")
+    told = np.unique(row)  # words with such an n-gram
+    back = np.full(len(size), -1)
     back[told] = np.arange(len(told))
-    words = _Mean(back[row[col >= 0]], col[col >= 0], (1 / size)[row[col >= 0]], len(told), len(kept))
+    words = _Mean(back[row], col, 1 / size[row], len(told), len(kept))
     n_words = np.maximum(np.fromiter(map(len, rows), np.int64, len(rows)), 1)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     word = back[np.concatenate(rows)]
@@ -143,8 +151,8 @@ def fit(bags: list[list[bytes]], labels: list[int], seed: int = 7) -> Model:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1):
-        words = [sorted(words_of(t or b"")) for t in binary_column(batch, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.binary()))], names=["doc_id", "label", "words"])
+        words = [b"\n".join(sorted(words_of(t or b""))) for t in binary_column(batch, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.binary())], names=["doc_id", "label", "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
@@ -161,37 +169,41 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))
     bags = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     kind = bags.schema["doc_id"].dataType.simpleString()
-    got = bags.mapInArrow(_bags, f"doc_id {kind}, label int, words array<binary>").collect()
-    got.sort(key=lambda r: r["doc_id"])
-    return fit([[bytes(w) for w in r["words"]] for r in got], [r["label"] for r in got])
+    got = bags.mapInArrow(_bags, f"doc_id {kind}, label int, words binary").toArrow().sort_by("doc_id")
+    return fit((w.as_py().split() for w in got["words"]), got["label"].to_pylist())
 
 
-def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = worker_state("toxicity")
     if kept.get("model") != model:
         kept.clear()
         kept |= {"model": model, "words": {}}
-    for batch in pieces(batches, 1):
+    for batch in pieces(batches, at):
         if len(kept["words"]) > CACHE_WORDS:
             kept["words"] = {}
         known: dict[bytes, float] = kept["words"]
         out = []
-        for text in binary_column(batch, 1):
+        for text in binary_column(batch, at):
             words = sorted(words_of(text or b""))  # one order, so that sums agree between runs
             for w in words:
                 if w not in known:
                     known[w] = model.word_margin(w)
             out.append(model.bias + sum([known[w] for w in words]) / max(len(words), 1))
         scores = 1 / (1 + np.exp(-np.clip(out, -700, 700)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        kept_columns = [c for i, c in enumerate(batch.columns) if i != at or batch.schema.names[i] != "_text"]
+        yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(scores, pa.float64())], names=[*(n for n in batch.schema.names if n != "_text"), "score"])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of every row, from its whole text alone.
+def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` of every row, and ``score``, from its whole text alone.
 
     Null and empty texts get the score of the bias. Rows with null or repeated
-    ids are scored like others; other columns are not read.
+    ids are scored like others; a column ``score`` of the input is replaced.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _score(model, batches), f"doc_id {kind}, score double")
+    keep = [c for c in keep if c != "score"]
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep))
+    if text_col not in keep or docs.schema[text_col].dataType != StringType():
+        rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    at = rows.columns.index("_text" if "_text" in rows.columns else text_col)
+    schema = StructType([f for f in rows.schema if f.name != "_text"] + [StructField("score", DoubleType())])
+    return rows.mapInArrow(lambda batches: _score(model, at, batches), schema)
