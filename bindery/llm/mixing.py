@@ -92,6 +92,7 @@ def mix(
     weights: Sequence[float] = (3, 1, 2),
     budget: float = 1.5,
     most: int = 2,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` for every row.
 
@@ -100,14 +101,13 @@ def mix(
     times (a whole number). The hash depends on the id and the text's size
     alone, so runs agree; rows alike in both are taken alike. Rows with null ids,
     sources or texts take part (the null source ranks last); empty texts add
-    nothing. An empty table gives an empty result. Other columns are not read.
+    nothing. An empty table gives an empty result. With ``keep`` the result
+    has these columns of the input and ``copies`` instead.
     """
-    sized = written(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size")).withColumn(
-            "hash", F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 64 - BITS * LEVELS)
-        ),
-        "mix-sizes",
-    )
+    hashed = F.shiftrightunsigned(F.xxhash64("_id", "_size"), 64 - BITS * LEVELS)
+    own = [F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), count_words(F.col(text_col)).alias("_size")]
+    names = {"_id": "doc_id", "_source": "source", "_size": "size", "_hash": "hash"}
+    sized = written(docs.select(*own).withColumn("_hash", hashed).withColumnsRenamed(names), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, budget, most)
     times = F.coalesce(F.least(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(most)), F.lit(0)).cast("int")
@@ -115,8 +115,11 @@ def mix(
     plan = written(plan, "mix-targets")
     cut = thresholds(sized, plan.where((F.col("times") < most) & (F.col("source_size") > 0)).select("source", "rest"))
     plan = plan.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = written(plan.withColumnRenamed("source", "s"), "mix-plan")
-    extra = F.coalesce((F.col("hash") < F.col("below")).cast("int"), F.lit(0))
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("times") + extra).alias("copies")
-    )
+    plan = written(plan.select(F.col("source").alias("_s"), "source_size", "target", F.col("times").alias("_times"), F.col("below").alias("_below")), "mix-plan")
+    extra = F.coalesce((F.col("_hash") < F.col("_below")).cast("int"), F.lit(0))
+    copies = (F.col("_times") + extra).alias("copies")
+    if keep:
+        rows = docs.select(*(F.col(f"`{c}`") for c in keep if c != "copies"), *own).withColumn("_hash", hashed)
+        return rows.join(plan, F.col("_source").eqNullSafe(F.col("_s"))).select(*(F.col(f"`{c}`") for c in keep if c != "copies"), copies)
+    rows = sized.withColumnRenamed("hash", "_hash")
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", copies)

@@ -81,16 +81,20 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
 
 
-def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+def coded_digests(coded: DataFrame, *more: str) -> DataFrame:
     return coded.select(
         "doc_id",
         F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )
 
 
+def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_digests(encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+
+
 def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0).select("vec_id"))
