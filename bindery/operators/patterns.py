@@ -13,14 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.catalog import RDF_TYPE, Catalog, MappingError
+from ..sources.catalog import RDF_TYPE, Catalog, MappingError, Scope, in_graph
 from .solutions import Solutions, Var
 
 
 class Graph:
     """A catalog seen through a scope: a named graph, a tenant."""
 
-    def __init__(self, catalog: Catalog, graph: str | None = None, tenant: str | None = None):
+    def __init__(self, catalog: Catalog, graph: Scope = None, tenant: str | None = None):
         self.catalog, self.graph, self.tenant = catalog, graph, tenant
 
     # -- tables as classes
@@ -108,7 +108,7 @@ class Graph:
         constant matches either column, a literal the value only."""
         df = self.catalog.table(table)
         if self.graph is not None and "_graph" in df.columns:
-            df = df.where(F.col("_graph") == self.graph)
+            df = df.where(in_graph(F.col("_graph"), self.graph))
         out: dict[str, Column] = {}
         places = {"s": (subject, F.col("subject_uri")), "p": (predicate, F.col("predicate")), "o": (object_, F.coalesce("object_uri", "object_value"))}
         for place, (want, column) in places.items():

@@ -88,6 +88,13 @@ class Solutions:
     def distinct(self) -> Solutions:
         return Solutions(self.df.distinct(), self.vars)
 
+    def reduced(self) -> Solutions:
+        """REDUCED permits duplicates; they stay."""
+        return self
+
+    def explain(self) -> None:
+        self.frame().explain("formatted")
+
     def order_by(self, *keys: Column) -> Solutions:
         """Unbound sorts first: pass ``asc_nulls_first`` or ``desc_nulls_last``."""
         return Solutions(self.df.orderBy(*keys), self.vars)
@@ -221,10 +228,16 @@ class Solutions:
 
     # -- groups and forms
 
-    def group(self, keys: Sequence[str], aggregates: Mapping[str, Column], having: Column | None = None) -> Solutions:
-        """Group by all keys; without keys there is one row. ``having`` names results."""
+    def group(self, keys: Sequence[str], aggregates: Mapping[str, Column], having: Column | None = None, empty_row: bool = False) -> Solutions:
+        """Group by all keys; without keys there is one row. ``having`` names results.
+
+        With ``empty_row`` no groups at all give one row of nulls.
+        """
         grouped = self.df.groupBy(*keys).agg(*(c.alias(n) for n, c in aggregates.items()))
         df = grouped if having is None else grouped.where(having)
+        if empty_row and keys:
+            one = self.df.sparkSession.range(1).withColumn("_there", F.lit(True))
+            df = one.join(df, F.col("_there"), "left").select(*keys, *aggregates)
         return Solutions(df, {k: self.vars[k] for k in keys} | {n: Var(unbound=True) for n in aggregates})
 
     def sample(self, keys: Sequence[str], name: str) -> Solutions:

@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
+#: One graph, several, or all of them.
+Scope = str | tuple[str, ...] | None
+
+
 class MappingError(ValueError):
     """A class, property or scope that the mapping cannot resolve."""
 
@@ -94,12 +98,18 @@ class Catalog:
             raise MappingError(f"class {name!r} is not mapped")
         return self.classes[name]
 
-    def rows(self, name: str, graph: str | None = None, tenant: str | None = None) -> DataFrame:
+    def within(self, names: set[str]) -> Catalog:
+        """Only these classes, and the edges between them."""
+        classes = {n: m for n, m in self.classes.items() if n in names}
+        edges = {n: e for n, e in self.edges.items() if e.source in classes and e.target in classes}
+        return Catalog(self.tables, classes, edges, self.shards, self.shard_distinct)
+
+    def rows(self, name: str, graph: Scope = None, tenant: str | None = None) -> DataFrame:
         """The rows of a class within its scopes. A class with a tenant field demands a tenant."""
         m = self.class_map(name)
         return _scoped(self.table(m.table), m, graph, tenant)
 
-    def edge_rows(self, name: str, graph: str | None = None, tenant: str | None = None) -> DataFrame:
+    def edge_rows(self, name: str, graph: Scope = None, tenant: str | None = None) -> DataFrame:
         m = self.edges[name]
         return _scoped(self.table(m.table), m, graph, tenant)
 
@@ -114,12 +124,19 @@ class Catalog:
         return None
 
 
-def _scoped(df: DataFrame, m: ClassMap | EdgeMap, graph: str | None, tenant: str | None) -> DataFrame:
+def in_graph(column: Column, graph: Scope) -> Column:
+    """Rows of a named graph, of any of several, or with "" of the default graph."""
+    names = [graph] if isinstance(graph, str) else list(graph)
+    named = column.isin([n for n in names if n])
+    return named | column.isNull() if "" in names else named
+
+
+def _scoped(df: DataFrame, m: ClassMap | EdgeMap, graph: Scope, tenant: str | None) -> DataFrame:
     where: list[Column] = []
     if m.type_field:
         where.append(F.col(m.type_field) == m.type_value)
     if graph is not None and m.graph_field:
-        where.append(F.col(m.graph_field) == graph)
+        where.append(in_graph(F.col(m.graph_field), graph))
     if m.tenant_field:
         if tenant is None:
             raise MappingError(f"table {m.table!r} is read for one tenant at a time")
