@@ -1,6 +1,6 @@
 """Blocks of documents, and the exchange of window names between them.
 
-Documents are put in order (by id, nulls first, then by text) and packed into
+Documents are put in order (by id, nulls first, then by a hash of the text) and packed into
 blocks of about 2 MB, so "earlier" is a smaller place in a block or an earlier
 block. Repeats inside a block are settled there; between blocks only sorted,
 delta-coded names travel, each name once from each block, and the answer is
@@ -10,10 +10,12 @@ one bit a name. So a name that every document holds costs one entry a block.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def packed() -> pa.RecordBatch:
         ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array([part + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary())], names=names
+            [pa.array([part + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(texts), 1)], pa.binary())], names=names
         )
 
     for batch in batches:
@@ -64,9 +66,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``block, ids, ends, text``: documents in order, with the ends of their texts."""
+    """``block, ids, ends, text``: documents in order, with the ends of their texts (zstd)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("id"), F.col("text")).sortWithinPartitions("id", "text")
+    # bounds are drawn from a sample of the keys, so texts stand there by their hash
+    keyed = rows.withColumn("hash", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
     return written(ordered.mapInArrow(_blocks, "block long, ids array<long>, ends array<long>, text binary"), "blocks")
 
 
@@ -76,7 +80,7 @@ class Block:
     def __init__(self, row: dict):
         self.number: int = row["block"]
         self.ids: list = row["ids"]
-        self.text: bytes = row["text"]
+        self.text: bytes = zstandard.decompress(row["text"])
         self.ends = np.asarray(row["ends"], np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
 
@@ -135,15 +139,21 @@ def _answer(table: pa.Table, earlier: bool) -> pa.Table:
 
 def answered(sent: DataFrame, earlier: bool, name: str) -> DataFrame:
     """For each parcel a bit a name: whether an earlier block (or any other) holds it too."""
-    out = written(sent.groupBy("grp").applyInArrow(lambda t: _answer(t, earlier), ANSWERS), name)
-    release(out)
-    return out
+    return written(sent.groupBy("grp").applyInArrow(lambda t: _answer(t, earlier), ANSWERS), name)
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of what has been written since.
+
+    Spark deletes them when the driver collects its garbage, and the query that
+    ran last is garbage only after another one.
+    """
+    spark = df.sparkSession
+    for _ in range(2):
+        spark.range(1).count()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def joined_bits(answers: pa.Table, keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -163,7 +173,7 @@ def even_bounds(groups: int) -> np.ndarray:
 
 
 def group_count(blocks: DataFrame) -> int:
-    total = blocks.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     return max(128, -(-total // GROUP_BYTES))
 
 
@@ -191,8 +201,16 @@ def each_block(blocks: DataFrame, work: Callable[[Block], pa.RecordBatch], schem
 
 
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Which of ``n`` places lie within ``size`` from one of the starts."""
+    """Which of ``n`` places lie within ``size`` from one of the (distinct) starts."""
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + size, -1)
+    edge[starts] += 1
+    edge[starts + size] -= 1
     return np.cumsum(edge[:-1]) > 0
+
+
+def distinct(names: np.ndarray) -> np.ndarray:
+    """Distinct values in order (by sorting, which beats hashing here)."""
+    names = np.sort(names)
+    new = np.ones(len(names), bool)
+    new[1:] = names[1:] != names[:-1]
+    return names[new]

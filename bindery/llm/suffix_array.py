@@ -6,6 +6,7 @@ three names each, and two of those make the name of 50. A difference cover of
 21 samples 5 of 21 places such that two equal strings, wherever they start,
 are both sampled at one common offset below 21, and share the 30 bytes there:
 
+0. a text that an earlier document has whole goes as a whole;
 1. the names of the sampled places are sorted and equal neighbours found;
 2. a suffix none of whose sampled places repeats is left out, and the
    remaining suffixes are merged: sorted by their names of 50 bytes;
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import PARCELS, Block, answered, blocks_of, covered, each_block, even_bounds, group_count, joined_bits, mix, parcels, release, with_answers
+from .repeats import PARCELS, Block, answered, blocks_of, covered, distinct, each_block, even_bounds, group_count, joined_bits, mix, parcels, release, with_answers
 
 LENGTH = 50
 #: A difference cover: every difference modulo PERIOD is one of two of its members.
@@ -30,34 +32,57 @@ PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 SAMPLED = LENGTH - PERIOD + 1
 
 
+#: Places named at once, so that their names stay in the processor's cache.
+STRETCH = 1 << 15
+
+
+def _long_names(text: np.ndarray) -> np.ndarray:
+    """Names of the 27 bytes from each place on: of triples, of three triples, of three of those."""
+    out = np.empty(len(text) - 26, np.uint64)
+    for i in range(0, len(out), STRETCH):
+        part = text[i : i + STRETCH + 26].astype(np.uint64)
+        n = len(part)
+        triple = _triples(part)
+        nine = mix(triple[: n - 8], triple[3 : n - 5], triple[6 : n - 2])
+        out[i : i + STRETCH] = mix(nine[: n - 26], nine[9 : n - 17], nine[18 : n - 8])
+    return out
+
+
+def _triples(text: np.ndarray) -> np.ndarray:
+    return text[:-2] | text[1:-1] << np.uint64(8) | text[2:] << np.uint64(16)
+
+
 class _Names:
     def __init__(self, block: Block):
-        text = np.frombuffer(block.text, np.uint8).astype(np.uint64)
-        n = len(text)
-        self.n = n
+        self.text = np.frombuffer(block.text, np.uint8)
+        self.n = len(self.text)
+        self.ends = block.ends
         self.doc_end = np.repeat(block.ends, block.ends - block.starts)
-        if n < LENGTH:
-            self.triple = self.long = np.empty(0, np.uint64)
-            return
-        triple = text[: n - 2] | text[1 : n - 1] << np.uint64(8) | text[2:] << np.uint64(16)
-        nine = mix(triple[: n - 8], triple[3 : n - 5], triple[6 : n - 2])
-        self.triple, self.long = triple, mix(nine[: n - 26], nine[9 : n - 17], nine[18 : n - 8])
+        self.long = _long_names(self.text) if self.n >= LENGTH else np.empty(0, np.uint64)
 
     def sampled(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled places whose 30 bytes lie in one document, and their names."""
-        at = np.arange(max(self.n - LENGTH + PERIOD, 0))
-        at = at[np.isin(at % PERIOD, COVER)]
+        """Sampled places whose 30 bytes lie in one document, and their names (of 40 bits, in the high part)."""
+        at = (np.arange(0, self.n, PERIOD)[:, None] + np.array(COVER)).ravel()
+        at = at[at + SAMPLED <= self.n]
         at = at[at + SAMPLED <= self.doc_end[at]]
-        return at, mix(self.long[at], self.triple[at + 27])
-
-    def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Places whose 50 bytes lie in one document and hold a repeated sampled place."""
-        mark = np.zeros(self.n + 1, np.int32)
-        mark[repeated + 1] = 1
-        total = np.cumsum(mark)
-        at = np.arange(max(self.n - LENGTH + 1, 0))
-        at = at[total[at + PERIOD] > total[at]]
-        return at[at + LENGTH <= self.doc_end[at]]
+        last = [self.text[at + k].astype(np.uint64) for k in (27, 28, 29)]
+        name = mix(self.long[at], last[0] | last[1] << np.uint64(8) | last[2] << np.uint64(16)) if len(at) else np.empty(0, np.uint64)
+        return at, name & np.uint64(0xFFFFFFFFFF000000)
+
+    def candidates(self, repeated: np.ndarray, copies: np.ndarray) -> np.ndarray:
+        """Places whose 50 bytes lie in one document, no copy, and hold a repeated sampled place."""
+        if not len(repeated) or self.n < LENGTH:
+            return np.empty(0, np.int64)
+        holds = np.zeros(self.n, bool)
+        holds[repeated] = True
+        width = 1
+        while width < PERIOD:  # now true where one of the next ``width`` places repeats
+            step = min(width, PERIOD - width)
+            holds[: self.n - step] |= holds[step:].copy()
+            width += step
+        at = np.flatnonzero(holds)
+        at = at[at + LENGTH <= self.doc_end[at]]
+        return at[~copies[np.searchsorted(self.ends, at, side="right")]] if copies.any() else at
 
     def names(self, at: np.ndarray) -> np.ndarray:
         return mix(self.long[at], self.long[at + LENGTH - 27])
@@ -69,9 +94,19 @@ def _repeated(names: _Names, answers: pa.Table, bounds: np.ndarray) -> np.ndarra
     return at[(joined_bits(answers, keys, bounds) | (times > 1))[which]]
 
 
-def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
-    phase = table["phase"].to_numpy()
-    return table.filter(pa.array(phase == 0)), table.filter(pa.array(phase == 1))
+def _texts(block: Block) -> np.ndarray:
+    """Names of the whole texts."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(block.text[s:e]) for s, e in zip(block.starts, block.ends)), np.uint64, len(block.ids))
+
+
+def _copies(block: Block, answers: pa.Table, bounds: np.ndarray) -> np.ndarray:
+    """Which texts an earlier document has, whole."""
+    keys, first, which = np.unique(_texts(block), return_index=True, return_inverse=True)
+    return joined_bits(answers, keys, bounds)[which] | (first[which] != np.arange(len(which)))
+
+
+def _phase(table: pa.Table, phase: int) -> pa.Table:
+    return table.filter(pa.array(table["phase"].to_numpy() == phase))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,34 +116,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier document, judged on the input. ``starts`` and ``ends`` are the
     maximal removed runs and ``kept`` the bytes that are left. Documents are
     ordered by id, null ids first; rows with one id are documents of their own,
-    ordered by text. Null texts are empty. Texts under 50 bytes lose nothing.
+    ordered by a hash of the text. Null texts are empty. Texts under 50 bytes lose nothing.
     Other columns are not read.
     """
     blocks = blocks_of(docs, id_col, text_col)
     release(blocks)
     bounds = even_bounds(group_count(blocks))
 
-    def send_sampled(block: Block) -> pa.RecordBatch:
-        return parcels(block.number, np.unique(_Names(block).sampled()[1]), None, bounds)
+    def send_texts(block: Block) -> pa.RecordBatch:
+        return parcels(block.number, distinct(_texts(block)), None, bounds)
 
-    first = answered(each_block(blocks, send_sampled, PARCELS), False, "sa-sampled")
+    def send_sampled(block: Block) -> pa.RecordBatch:
+        return parcels(block.number, distinct(_Names(block).sampled()[1]), None, bounds)
 
     def send_rest(block: Block, answers: pa.Table) -> pa.RecordBatch:
         names = _Names(block)
-        at = names.candidates(_repeated(names, answers, bounds))
-        return parcels(block.number, np.unique(names.names(at)), None, bounds)
+        at = names.candidates(_repeated(names, _phase(answers, 1), bounds), _copies(block, _phase(answers, 0), bounds))
+        return parcels(block.number, distinct(names.names(at)), None, bounds)
 
-    second = answered(with_answers(blocks, first, send_rest, PARCELS), True, "sa-merged")
+    # a text that an earlier document has goes as a whole and names no windows
+    told = answered(each_block(blocks, send_texts, PARCELS), True, "sa-texts").withColumn("phase", F.lit(0))
+    sampled = answered(each_block(blocks, send_sampled, PARCELS), False, "sa-sampled").withColumn("phase", F.lit(1))
+    told = told.unionAll(sampled)
+    release(told)
+    told = told.unionAll(answered(with_answers(blocks, told, send_rest, PARCELS), True, "sa-merged").withColumn("phase", F.lit(2)))
+    release(told)
 
     def finish(block: Block, answers: pa.Table) -> pa.RecordBatch:
-        sampled, merged = _split(answers)
         names = _Names(block)
-        at = names.candidates(_repeated(names, sampled, bounds))
+        copies = _copies(block, _phase(answers, 0), bounds)
+        at = names.candidates(_repeated(names, _phase(answers, 1), bounds), copies)
         keys, place, which = np.unique(names.names(at), return_index=True, return_inverse=True)
         doc = np.searchsorted(block.ends, at, side="right")
-        gone = joined_bits(merged, keys, bounds)[which] | (doc != doc[place[which]])
+        gone = joined_bits(_phase(answers, 2), keys, bounds)[which] | (doc != doc[place[which]])
         drop = covered(at[gone], LENGTH, names.n)
-        text = np.frombuffer(block.text, np.uint8)
+        for i in np.flatnonzero(copies & (block.ends - block.starts >= LENGTH)):
+            drop[block.starts[i] : block.ends[i]] = True
+        text = names.text
         out: list[list] = [[], [], [], []]
         for start, end in zip(block.starts, block.ends):
             own = drop[start:end]
@@ -119,5 +163,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         arrays = [pa.array(block.ids, pa.int64()), *(pa.array(x, k) for x, k in zip(out, kinds))]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "starts", "ends", "kept"])
 
-    both = first.withColumn("phase", F.lit(0)).unionAll(second.withColumn("phase", F.lit(1)))
-    return with_answers(blocks, both, finish, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return with_answers(blocks, told, finish, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
