@@ -56,3 +56,26 @@ judged AS (
 )
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM judged
 """
+
+
+def secrets_sql(rules, base: int) -> str:
+    """The spans of rules (kind, regex, group, least); the first ``base`` are counted."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    one = """SELECT doc_id, {k} AS k, {kind} AS kind, m, gaps, judged FROM (
+      SELECT doc_id, regexp_extract_all(text, {regex}) AS m, string_split_regex(text, {regex}) AS gaps, regexp_extract_all(text, {regex}, {group}) AS judged FROM docs)"""
+    found = " UNION ALL ".join(one.format(k=k, kind=quoted(r.kind), regex=quoted(r.regex), group=r.group) for k, r in enumerate(rules))
+    least = "CASE k " + " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(rules)) + " END"
+    counts = ", ".join(f"coalesce(sum((k = {k})::INT), 0)::BIGINT AS n_{r.kind}" for k, r in enumerate(rules[:base]))
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+spans AS (
+  SELECT doc_id, k, kind, length(array_to_string(gaps[1:i], '')) + length(coalesce(array_to_string(m[1:i - 1], ''), '')) AS s, length(m[i]) AS n
+  FROM each WHERE length(judged[i]) >= {least}
+),
+shown AS (SELECT *, kind || ':' || s || ':' || s + n AS span FROM spans)
+SELECT documents.doc_id, {counts},
+  sha256(coalesce(string_agg(span, ',' ORDER BY s, k) FILTER (k < {base}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, k), '') AS spans
+FROM documents LEFT JOIN shown ON documents.doc_id = shown.doc_id GROUP BY documents.doc_id
+"""

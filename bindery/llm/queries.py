@@ -14,7 +14,7 @@ from .mixing import mix
 from .multi_index import nearest
 from .pseudonyms import pseudonymize
 from .quality import quality
-from .secrets import BASE_RULES, listed, scan
+from .secrets import BASE_RULES, RULES, listed, scan
 from .simhash import near_duplicates
 from .toxicity import score, train
 
@@ -105,4 +105,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": oracles.OP1, "op9_suffix_tree": oracles.OP9}
+    return {"op1_line_frequency": oracles.OP1, "op7_secret_scan": oracles.secrets_sql(RULES, len(BASE_RULES)), "op9_suffix_tree": oracles.OP9}
