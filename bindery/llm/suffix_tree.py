@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import PARCELS, Block, answered, blocks_of, covered, each_block, even_bounds, group_count, joined_bits, mix, parcels, release, with_answers
+from .repeats import PARCELS, Block, answered, blocks_of, covered, distinct, each_block, even_bounds, group_count, joined_bits, mix, parcels, release, with_answers
 
 WINDOW = 20
 #: Every so many suffixes of a block help to place the bounds of the groups.
@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in an earlier document, or earlier in the same one; windows are judged on
     the input. ``kept`` is what is left, joined by single spaces. Documents are
     ordered by id, null ids first; rows with one id are documents of their own,
-    ordered by text. Null and empty texts have no words. Other columns are not
+    ordered by a hash of the text. Null and empty texts have no words. Other columns are not
     read.
     """
     blocks = blocks_of(docs, id_col, text_col)
@@ -94,9 +94,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     even = even_bounds(groups)
 
     def send_names(block: Block) -> pa.RecordBatch:
-        return parcels(block.number, np.unique(_Suffixes(block).names()), None, even)
+        return parcels(block.number, distinct(_Suffixes(block).names()), None, even)
 
     first = answered(each_block(blocks, send_names, PARCELS), False, "st-names")
+    release(first)
 
     def some_keys(block: Block) -> pa.RecordBatch:
         suffixes = _Suffixes(block)
@@ -113,6 +114,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return parcels(block.number, keys, tails, bounds)
 
     second = answered(with_answers(blocks, first, send_suffixes, PARCELS), True, "st-subtrees")
+    release(second)
 
     def finish(block: Block, answers: pa.Table) -> pa.RecordBatch:
         phase = answers["phase"].to_numpy()
