@@ -18,6 +18,26 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
+OP4 = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (
+  SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY win) < doc_id AS later
+  FROM (SELECT doc_id, pos, substr(h, 2 * pos - 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(1, n - 48)) AS pos FROM docs))
+),
+bytes AS (SELECT doc_id, unnest(range(1, n + 1)) AS pos, unnest(regexp_extract_all(h, '..')) AS b FROM docs),
+marked AS (
+  SELECT bytes.doc_id, bytes.pos, b, coalesce(bytes.pos - max(CASE WHEN later THEN bytes.pos END) OVER (PARTITION BY bytes.doc_id ORDER BY bytes.pos) <= 49, false) AS gone
+  FROM bytes LEFT JOIN windows ON bytes.doc_id = windows.doc_id AND bytes.pos = windows.pos
+),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM marked),
+kept AS (
+  SELECT doc_id, count(*) AS n_bytes, sum(gone::INT)::BIGINT AS n_removed, sum(opens::INT)::BIGINT AS n_spans, string_agg(b, '' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM runs GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
 OP1 = rf"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
 windows AS (
