@@ -104,7 +104,7 @@ def mix(
     nothing. An empty table gives an empty result. With ``keep`` the result
     has these columns of the input and ``copies`` instead.
     """
-    hashed = F.shiftrightunsigned(F.xxhash64("_id", "_size"), 64 - BITS * LEVELS)
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("_id").cast("string"), "_size").cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
     own = [F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), count_words(F.col(text_col)).alias("_size")]
     names = {"_id": "doc_id", "_source": "source", "_size": "size", "_hash": "hash"}
     sized = written(docs.select(*own).withColumn("_hash", hashed).withColumnsRenamed(names), "mix-sizes")

@@ -18,6 +18,25 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
+OP3 = rf"""
+WITH docs AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+sized AS (SELECT *, ('0x' || substr(md5(concat_ws('|', doc_id, size)), 1, 15))::BIGINT AS hash FROM docs),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM sized GROUP BY source),
+weighted AS (SELECT source, source_size, [3.0::DOUBLE, 1.0, 2.0][((r - 1) % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS cap FROM sources),
+ordered AS (
+  SELECT *, sum(cap) OVER before AS capped, sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () AS total
+  FROM weighted WINDOW before AS (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+levels AS (SELECT first((1.5::DOUBLE * total - coalesce(capped, 0)) / rest ORDER BY cap / weight, source) AS level FROM ordered WHERE (1.5::DOUBLE * total - coalesce(capped, 0)) / rest <= cap / weight),
+targets AS (SELECT source, source_size, least(cap, level * weight) AS target FROM weighted, levels),
+plan AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target / source_size), 2) END::INT AS times FROM targets),
+joined AS (SELECT doc_id, size, hash, plan.*, target - times * source_size AS left_over FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY hash) AS upto, sum(size) OVER (PARTITION BY source, hash) AS together FROM joined)
+SELECT doc_id, size, source_size, target,
+  size * (times + CASE WHEN times >= 2 THEN 0 WHEN upto <= left_over OR (upto - together <= left_over AND 2 * (left_over - (upto - together)) > together) THEN 1 ELSE 0 END) AS taken
+FROM summed
+"""
+
 OP4 = """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
 windows AS (

@@ -105,4 +105,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": oracles.OP1, "op4_suffix_array": oracles.OP4, "op7_secret_scan": oracles.secrets_sql(RULES, len(BASE_RULES)), "op9_suffix_tree": oracles.OP9}
+    return {"op1_line_frequency": oracles.OP1, "op3_mixing": oracles.OP3, "op4_suffix_array": oracles.OP4, "op7_secret_scan": oracles.secrets_sql(RULES, len(BASE_RULES)), "op9_suffix_tree": oracles.OP9}
