@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import pieces, worker_state
 
-#: Encodings a task keeps before it starts anew; bounds memory, not results.
-CACHE_WORDS = 600_000
+#: Encodings a task keeps before it starts anew, and neighbours and states the
+#: encoder keeps; these bound memory, not results.
+CACHE_WORDS, CACHE_PAIRS, CACHE_STATES = 150_000, 300_000, 60_000
+#: Text that is encoded at once.
+PIECE_BYTES = 3 << 20
 END = "</w>"
 #: Printable ASCII without "<", and Latin letters that no normal form changes:
 #: the normalizer only lowers them.
@@ -75,10 +78,12 @@ class TrieEncoder:
         #: right token -> left token -> whether they may stand side by side
         self.follows: dict[str, dict[str, bool]] = {}
         self.states: dict[str, State] = {}
+        self.pairs = 0
 
-    def forget(self) -> None:
-        """Drop what was kept for speed alone."""
-        self.follows, self.states, self.spines = {}, {}, {}
+    def trim(self) -> None:
+        """Drop what is kept for speed alone, when it has grown large."""
+        if self.pairs > CACHE_PAIRS or len(self.states) > CACHE_STATES:
+            self.follows, self.states, self.spines, self.pairs = {}, {}, {}, 0
 
     def _spine(self, token: str, side: int) -> list[tuple[str, float]]:
         """Parts of a token that touch its border, each with the rank at which it is merged away."""
@@ -111,6 +116,7 @@ class TrieEncoder:
         return known
 
     def may_follow(self, left: str, right: str, known: dict[str, bool]) -> bool:
+        self.pairs += 1
         answer = known[left] = not self._crossed(left, right, float("inf"))
         return answer
 
@@ -214,16 +220,24 @@ class TrieEncoder:
 
 def _encode(spec: str, batches: Iterator[pa.RecordBatch], words_per_trie: int) -> Iterator[pa.RecordBatch]:
     gc.disable()  # no cycles here, and many small objects to look through
+    try:
+        yield from _encoded(spec, batches, words_per_trie)
+    finally:
+        gc.enable()
+        pa.default_memory_pool().release_unused()
+
+
+def _encoded(spec: str, batches: Iterator[pa.RecordBatch], words_per_trie: int) -> Iterator[pa.RecordBatch]:
     kept = worker_state("bpe_trie")
     if kept.get("spec") != spec:
         kept.clear()
         kept |= {"spec": spec, "encoder": TrieEncoder(spec), "packed": {}}
     encoder: TrieEncoder = kept["encoder"]
     names = pa.array([encoder.names.get(i, "") for i in range(max(encoder.names) + 1)])
-    for batch in pieces(batches, 1):
+    for batch in pieces(batches, 1, PIECE_BYTES):
         if len(kept["packed"]) > CACHE_WORDS:
             kept["packed"] = {}
-            encoder.forget()
+        encoder.trim()
         packed: dict[str, bytes] = kept["packed"]
         # no token holds white space, so the chunks between it are encoded apart
         chunks = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))
@@ -242,14 +256,17 @@ def _encode(spec: str, batches: Iterator[pa.RecordBatch], words_per_trie: int) -
         index = coded.indices.to_numpy()
         n = lengths[index]
         ends = np.cumsum(n)
-        ids = np.frombuffer(b"".join(spelled), "<u4")[np.repeat(starts[index] - ends + n, n) + np.arange(n.sum())]
+        place = np.repeat(starts[index] - ends + n, n)
+        place += np.arange(len(place))
+        ids = np.frombuffer(b"".join(spelled), "<u4")[place]
+        del place
         offsets = np.concatenate([[0], ends])[chunks.offsets.to_numpy()].astype(np.int32)
         text = pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(pa.array(ids))), " ")
         binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids.tobytes())])
         yield pa.RecordBatch.from_arrays([batch.column(0), binary, text], names=["doc_id", "ids", "decoded"])
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", words_per_trie: int = 50_000) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", words_per_trie: int = 20_000) -> DataFrame:
     """Encode every whole text and decode it again.
 
     ``tokenizer_path`` is a word-end BPE file of the tokenizers library, read on

@@ -43,9 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def worker_state(name: str) -> dict:
     """A dictionary that lasts as long as this Python worker, for reuse between tasks.
 
-    It may hold only what can be made anew at any time.
+    It may hold only what can be made anew at any time. A worker keeps that of
+    one operator; when another asks, it goes.
     """
     state = sys.modules[pa.__name__].__dict__.setdefault("_bindery_worker_state", {})
+    if name not in state:
+        state.clear()
     return state.setdefault(name, {})
 
 
