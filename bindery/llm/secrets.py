@@ -168,7 +168,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     keep = [c for c in docs.columns if c != "secret_spans"]
     index = written(postings(docs, rules, id_col, text_col), "trigrams")
     found = candidates(index, rules).withColumnsRenamed({"doc": "_doc", "rules": "_rules"})
-    joined = docs.select(*(F.col(f"`{c}`") for c in keep)).join(found, F.col(id_col) == F.col("_doc"), "left")
+    # merged at every size: skew can be split, and a few candidates more change no plan
+    joined = docs.select(*(F.col(f"`{c}`") for c in keep)).join(found.hint("merge"), F.col(id_col) == F.col("_doc"), "left")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     spans = []
     for i, rule in enumerate(rules):
