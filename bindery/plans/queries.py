@@ -238,6 +238,11 @@ def encode_uri(g: Graph):
     return g.star("?d", "Document", {"text": "?t"}).df.select(F.col("d").alias("k"), S.encode_for_uri(F.substring("t", 1, 40)).alias("u"))
 
 
+@query("SELECT doc_id AS k, url_encode(text) AS u FROM documents")
+def encode_uri_whole(g: Graph):
+    return g.star("?d", "Document", {"text": "?t"}).df.select(F.col("d").alias("k"), S.encode_for_uri(F.col("t")).alias("u"))
+
+
 @query("SELECT c_custkey AS k, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s256 FROM customer")
 def hash_suite(g: Graph):
     x = F.col("name")
