@@ -22,10 +22,13 @@ PATTERNS = {
     "dot_date": r"(?<![\d.])\d{1,2}\.\d{1,2}\.\d{4}(?![\d])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d])(?!\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d(])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\d(])(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?|\(\d{3}\) ?\d{3}[ .-]|[2-9]\d{2}[ .-][2-9]\d{2}[ .-])\d{4}(?!\d)",
+    "foreign_phone": r"(?<![\w+])\+[2-9](?:[ .()-]{0,2}\d){6,14}(?![\d@])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
 KINDS = tuple(PATTERNS)
+#: Country codes of one, two and three digits.
+COUNTRY_CODE = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Days from 1900-01-01 to 2099-12-31 (17 * 4297).
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
@@ -96,14 +99,27 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
-        area, exchange = _number(d, 1, 3) - 200, _number(d, 4, 3) - 200
-        pair = feistel(area * 800 + exchange, _number(d, 7, 4), F.lit(640_000), F.lit(10_000), key, "phone")
-        return _let(pair, lambda p: F.concat((F.floor(p["l"] / 800) + 200).cast("string"), (p["l"] % 800 + 200).cast("string"), _padded(p["r"], 4)))
+        pair = feistel(_number(d, 1, 6), _number(d, 7, 4), F.lit(1_000_000), F.lit(10_000), key, "phone")
+        return _let(pair, lambda p: F.concat(_padded(p["l"], 6), _padded(p["r"], 4)))
 
     digits = F.regexp_replace(m, "[^0-9]", "")
     return _filled(m, F.when(F.length(digits) == 11, F.concat(F.lit("1"), new(F.substring(digits, 2, 10)))).otherwise(new(digits)))
 
 
+def _foreign_phone(m: Column, key: str) -> Column:
+    """The country code stays, the digits after it are permuted."""
+
+    def new(digits: Column) -> Column:
+        code = F.regexp_extract(digits, COUNTRY_CODE, 0)
+        n = F.length(digits) - F.length(code)
+        u, v = F.floor(n / 2).cast("int"), (n - F.floor(n / 2)).cast("int")
+        left, right = F.substring(digits, F.length(code) + 1, u), F.substring(digits, F.length(code) + 1 + u, v)
+        pair = feistel(left, right, F.pow(F.lit(10.0), u).cast("long"), F.pow(F.lit(10.0), v).cast("long"), key, "foreign_phone")
+        return _let(pair, lambda p: F.concat(code, _padded(p["l"], u), _padded(p["r"], v)))
+
+    return _filled(m, _let(F.regexp_replace(m, "[^0-9]", ""), new))
+
+
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = _number(m, 1, 3), _number(m, 5, 2), _number(m, 8, 4)
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
@@ -161,7 +177,7 @@ def _mail(m: Column, key: str) -> Column:
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a match, or null if it is no valid value of its kind."""
-    makers = {"mail": _mail, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+    makers = {"mail": _mail, "ip": _ip, "ssn": _ssn, "phone": _phone, "foreign_phone": _foreign_phone, "card": _card}
     out = None
     for name in KINDS:
         made = makers[name](m, key) if name in makers else _date(m, key, name)
