@@ -135,23 +135,36 @@ class Graph:
     # -- variable predicates
 
     def all_triples(self, cls: str, only: tuple[str, ...] | None = None) -> Solutions:
-        """``?s ?p ?o`` over a class: its declared properties unpivoted, values as text.
+        """``?s ?p ?o`` over a class: its declared properties unpivoted, one row a value of
+        those of many, and the edges that leave the class; values as text.
 
         ``only`` narrows ``?p`` before anything is read.
         """
         m = self.catalog.class_map(cls)
         df = self.catalog.rows(cls, self.graph, self.tenant)
-        props = {n: p for n, p in m.props.items() if not p.many and (only is None or n in only)}
-        if not props:
+        props = {n: p for n, p in m.props.items() if only is None or n in only}
+        prefix = lambda target: self.catalog.class_map(target).prefix if target in self.catalog.classes else None
+        text = lambda column, target: Var(prefix(target)).shown(column).cast("string")
+        single = {n: text(F.col(p.column), p.target) for n, p in props.items() if not p.many}
+        arms = []
+        if single:
+            arms.append(df.select(F.col(m.key).alias("s"), *(c.alias(n) for n, c in single.items())).unpivot("s", list(single), "p", "o"))
+        for n, p in props.items():
+            if p.many:
+                each = df.select(F.col(m.key).alias("s"), F.explode(p.column).alias("o"))
+                arms.append(each.select("s", F.lit(n).alias("p"), text(F.col("o"), p.target).alias("o")))
+        for n, e in self.catalog.edges.items():
+            if e.source == cls and (only is None or n in only):
+                rows = self.catalog.edge_rows(n, self.graph, self.tenant)
+                arms.append(rows.select(F.col(e.from_field).alias("s"), F.lit(n).alias("p"), text(F.col(e.to_field), e.target).alias("o")))
+        if not arms:
             raise MappingError(f"{cls} has no such properties")
-        shown = {n: Var(self.catalog.class_map(p.target).prefix if p.target else None).shown(F.col(p.column)).cast("string") for n, p in props.items()}
-        wide = df.select(F.col(m.key).alias("s"), *(c.alias(n) for n, c in shown.items()))
-        long = wide.unpivot("s", list(shown), "p", "o").where("o IS NOT NULL")
+        long = reduce(DataFrame.unionByName, arms).where("s IS NOT NULL AND o IS NOT NULL")
         return Solutions(long, {"s": Var(m.prefix), "p": Var(""), "o": Var()})
 
-    def describe(self, cls: str, resources: Solutions | list[str], var: str = "s") -> DataFrame:
-        """The set of triples about the resources."""
-        triples = self.all_triples(cls)
+    def describe(self, cls: str, resources: Solutions | list[str], var: str = "s", only: tuple[str, ...] | None = None) -> DataFrame:
+        """The set of triples about the resources, of the predicates ``only`` if given."""
+        triples = self.all_triples(cls, only)
         if isinstance(resources, list):
             m = self.catalog.class_map(cls)
             kind = dict(triples.df.dtypes)["s"]

@@ -12,7 +12,7 @@ from ..functions import numbers as N
 from ..functions import strings as S
 from ..operators import paths as P
 from ..operators.patterns import Graph, values
-from ..operators.solutions import Solutions
+from ..operators.solutions import Solutions, Var
 from .star_schema import EX, graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -507,7 +507,7 @@ def path_star(g: Graph):
 
 @query("SELECT 'EX:nation/' || n_nationkey AS x, 'EX:region/' || n_regionkey AS y FROM nation")
 def path_negated(g: Graph):
-    return P.negated(g.all_triples("Nation"), "name")
+    return P.negated(g.all_triples("Nation", ("name", "region")), "name")
 
 
 @query("SELECT count(*) > 0 AS answer FROM part WHERE p_partkey = 123 AND p_partkey // 100 = 1")
@@ -608,9 +608,19 @@ def spo_fixed_subject(g: Graph):
 
 @query("SELECT p, count(*) AS n FROM (SELECT unnest(['name', 'segment', 'balance', 'nation']) AS p FROM customer) GROUP BY p")
 def spo_count_by_predicate(g: Graph):
+    return g.all_triples("Customer", ("name", "segment", "balance", "nation")).group(["p"], {"n": F.count("*")})
+
+
+@query("SELECT p, count(*) AS n FROM (SELECT unnest(['name', 'segment', 'balance', 'nation', 'livesIn']) AS p FROM customer) GROUP BY p")
+def spo_count_with_edges(g: Graph):
     return g.all_triples("Customer").group(["p"], {"n": F.count("*")})
 
 
+@query("SELECT doc_id AS s, 'word' AS p, unnest(string_split(text, ' ')) AS o FROM documents")
+def spo_many_values(g: Graph):
+    return Solutions(g.all_triples("WordDocument").df, {"s": Var(), "p": Var(), "o": Var()})
+
+
 @query("SELECT predicate AS p, count(*) AS n FROM (SELECT unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'EX:name', 'EX:inRegion']) AS predicate FROM nation UNION ALL SELECT unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'EX:name', 'EX:livesIn']) FROM customer) GROUP BY 1")
 def spo_triple_table(g: Graph):
     return g.triples("triples").group(["p"], {"n": F.count("*")})
@@ -638,9 +648,9 @@ def construct_where(g: Graph):
 
 @query("SELECT 'EX:nation/' || n_nationkey AS subject, 'name' AS predicate, n_name AS object FROM nation WHERE n_nationkey IN (3, 4) UNION SELECT 'EX:nation/' || n_nationkey, 'region', 'EX:region/' || n_regionkey FROM nation WHERE n_nationkey IN (3, 4)")
 def describe_iri(g: Graph):
-    return g.describe("Nation", [EX + "nation/3", EX + "nation/4"])
+    return g.describe("Nation", [EX + "nation/3", EX + "nation/4"], only=("name", "region"))
 
 
 @query("SELECT 'EX:nation/' || n_nationkey AS subject, 'name' AS predicate, n_name AS object FROM nation WHERE n_regionkey = 1 UNION SELECT 'EX:nation/' || n_nationkey, 'region', 'EX:region/' || n_regionkey FROM nation WHERE n_regionkey = 1")
 def describe_var(g: Graph):
-    return g.describe("Nation", g.star("?n", "Nation", {"region": EX + "region/1"}), "n")
+    return g.describe("Nation", g.star("?n", "Nation", {"region": EX + "region/1"}), "n", ("name", "region"))
