@@ -49,7 +49,7 @@ def triple_shape(df: DataFrame) -> tuple[str, ...] | None:
 
 
 def discriminator(df: DataFrame, edges: bool = False) -> tuple[str, tuple[str, ...]] | None:
-    """The column whose few, name-like values are classes, with its values."""
+    """The column whose values are classes, with all its values; those of a likely column are few and name-like."""
     sure = EDGE_DISCRIMINATORS if edges else SURE_DISCRIMINATORS
     wanted = [c for c in (*sure, *(() if edges else LIKELY_DISCRIMINATORS)) if c in df.columns and dict(df.dtypes)[c] == "string"]
     if not wanted:
@@ -61,11 +61,13 @@ def discriminator(df: DataFrame, edges: bool = False) -> tuple[str, tuple[str, .
     ).first()
     for c in wanted:
         n, d, ok = (stats[f"{k}_{c}"] for k in ("n", "d", "ok"))
-        few = d <= 2 * MOST_VALUES  # the estimate may be off
-        if not (n and ok and few) or (c not in sure and d > MOST_SHARE * n):
+        likely = c not in sure
+        # the estimate may be off
+        if not n or (likely and not (ok and d <= 2 * MOST_VALUES and d <= MOST_SHARE * n)):
             continue
-        values = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(MOST_VALUES + 1).collect()]
-        if len(values) <= MOST_VALUES:
+        found = df.select(c).where(F.col(c).isNotNull()).distinct()
+        values = [r[0] for r in (found.limit(MOST_VALUES + 1) if likely else found).collect()]
+        if not likely or len(values) <= MOST_VALUES:
             return c, tuple(sorted(values))
     return None
 
@@ -119,7 +121,7 @@ def detect(tables: Mapping[str, DataFrame], key: str = "_id", type_iri: str = "h
             for v in p.values:
                 classes[v] = ClassMap(p.name, key if key in p.columns else None, "", props, p.discriminator, v)
         elif p.style == "triples":
-            found = tables[p.name].where(F.col("predicate") == type_iri).select("object_uri").distinct().limit(1_000)
+            found = tables[p.name].where(F.col("predicate") == type_iri).where("object_uri IS NOT NULL").select("object_uri").distinct()
             for r in found.collect():
                 classes[r[0].rpartition("/")[2].rpartition("#")[2]] = ClassMap(p.name, p.columns[0], triples_of=r[0])
     vertices = {n: _rows(tables, m) for n, m in classes.items() if m.key == key}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from bindery.operators.patterns import Graph, values
 from bindery.operators.solutions import Solutions, Var
 from bindery.sources.catalog import RDF_TYPE
-from bindery.sources.detect import detect, object_properties, sample_questions
+from bindery.sources.detect import detect, discriminator, object_properties, sample_questions
 from bindery.sources.formats import ask_text, ntriples, read_ntriples, result_lines, write_results
 from bindery.streaming import watch, windowed_counts
 
@@ -58,6 +58,16 @@ def test_detection(spark):
     assert set(c.within({"users", "Doc"}).edges) == {"WROTE"}
 
 
+def test_detection_keeps_all_classes(spark):
+    many = spark.range(1_200).select(F.concat(F.lit("s"), "id").alias("subject_uri"), F.lit(RDF_TYPE).alias("predicate"), F.concat(F.lit("http://x/C"), "id").alias("object_uri"), F.lit(None).cast("string").alias("object_value"))
+    things = spark.range(80).select(F.concat(F.lit("v"), "id").alias("_id"), F.concat(F.lit("a.b"), F.col("id") % 40).alias("type"))
+    links = spark.range(80).select(F.lit("v1").alias("_from"), F.lit("v2").alias("_to"), F.concat(F.lit("r"), F.col("id") % 35).alias("type"))
+    assert len(detect({"facts": many})[1].classes) == 1_200
+    assert discriminator(things) == ("type", tuple(sorted(f"a.b{i}" for i in range(40))))
+    assert discriminator(links, edges=True) == ("type", tuple(sorted(f"r{i}" for i in range(35))))
+    assert discriminator(things.withColumnRenamed("type", "kind")) is None
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     events = spark.range(200).select(F.timestamp_seconds(F.col("id") * 30 + 1_600_000_000).alias("at"), (F.col("id") % 3).cast("string").alias("kind"))
     events.repartition(4).write.parquet(str(tmp_path / "in"))
