@@ -58,7 +58,7 @@ class _Names:
         self.n = len(self.text)
         self.ends = block.ends
         self.doc_end = np.repeat(block.ends, block.ends - block.starts)
-        self.long = _long_names(self.text) if self.n >= LENGTH else np.empty(0, np.uint64)
+        self.long = _long_names(self.text) if self.n >= SAMPLED else np.empty(0, np.uint64)
 
     def sampled(self) -> tuple[np.ndarray, np.ndarray]:
         """Sampled places whose 30 bytes lie in one document, and their names (of 40 bits, in the high part)."""
