@@ -1,16 +1,14 @@
-"""Blocks of documents, and the exchange of window names between them.
+"""Blocks of documents, and the sorted rows that blocks exchange with groups.
 
-Documents are put in order (by id, nulls first, then by a hash of the text) and packed into
-blocks of about 2 MB, so "earlier" is a smaller place in a block or an earlier
-block. Repeats inside a block are settled there; between blocks only sorted,
-delta-coded names travel, each name once from each block, and the answer is
-one bit a name. So a name that every document holds costs one entry a block.
+Documents are packed into blocks of about 2 MB where they lie, without a
+shuffle; a longer text is cut into parts that overlap, each a block of its own.
+A block sends each of its distinct rows once, sorted and front-coded, in one
+parcel for each group that it meets; a group answers every parcel row by row.
+So what every document holds costs one row a block.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,173 +20,174 @@ from pyspark.sql import functions as F
 from .common import binary_column, written
 
 BLOCK_BYTES = 2 << 20
-#: A group of names answers for about so many bytes of text.
-GROUP_BYTES = 12 << 20
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-def mix(*parts: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each row of equally long arrays of names."""
-    out = parts[0] * MULTIPLIERS[0]
-    for p in parts[1:]:
-        out ^= out >> np.uint64(29)
-        out += p
-        out *= MULTIPLIERS[1]
-    out ^= out >> np.uint64(32)
-    out *= MULTIPLIERS[2]
-    out ^= out >> np.uint64(29)
-    return out
+#: A group answers for about so many bytes of text.
+GROUP_BYTES = 6 << 20
+#: Groups are no more than this; beyond it they grow.
+MOST_GROUPS = 1 << 17
+#: A task of a shuffle takes about so many bytes of text.
+TASK_BYTES = 24 << 20
+#: Stands for the id of a document without one: it is in no order with others.
+NO_ID = np.int64(2**63 - 1)
+BLOCKS = "block long, ids array<long>, ends array<long>, text binary, whole long, part int, head int, tail int, before long"
+
+#: From a long text: where a part with its overlap starts, where its own bytes start and end, where the overlap ends, and the symbols before.
+Cut = Callable[[bytes, int], Iterator[tuple[int, int, int, int, int]]]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], cut: Cut, most: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId() << 32
-    names = ["block", "ids", "ends", "text"]
-    ids, texts, size, n = [], [], 0, 0
+    number, schema = TaskContext.get().partitionId() << 32, arrow_schema(BLOCKS)
+    ids, texts, size = [], [], 0
 
-    def packed() -> pa.RecordBatch:
-        ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(texts), 1)], pa.binary())], names=names
-        )
+    def packed(ids: list, texts: list[bytes], whole: int = 0, part: int = 0, head: int = 0, tail: int = 0, before: int = 0) -> pa.RecordBatch:
+        ends = np.cumsum([len(t) for t in texts]).astype(np.int64).tolist()
+        row = [number, ids, ends, zstandard.compress(b"".join(texts), 1), whole, part, head, tail, before]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), binary_column(batch, 1)):
+            if text and len(text) > most:
+                whole = number + 1
+                for part, (start, own, end, stop, before) in enumerate(cut(text, most)):
+                    yield packed([i], [text[start:stop]], whole, part, own - start, stop - end, before)
+                    number += 1
+                continue
             ids.append(i)
             texts.append(text or b"")
             size += len(texts[-1])
-            if size >= BLOCK_BYTES or len(ids) >= 20_000:
-                yield packed()
-                ids, texts, size, n = [], [], 0, n + 1
+            if size >= most or len(ids) >= 20_000:
+                yield packed(ids, texts)
+                ids, texts, size, number = [], [], 0, number + 1
     if ids:
-        yield packed()
+        yield packed(ids, texts)
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``block, ids, ends, text``: documents in order, with the ends of their texts (zstd)."""
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, cut: Cut) -> DataFrame:
+    """The documents as rows of ``BLOCKS``, written."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # bounds are drawn from a sample of the keys, so texts stand there by their hash
-    keyed = rows.withColumn("hash", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
-    return written(ordered.mapInArrow(_blocks, "block long, ids array<long>, ends array<long>, text binary"), "blocks")
+    most = BLOCK_BYTES
+    return written(rows.mapInArrow(lambda batches: _pack(batches, cut, most), BLOCKS), "blocks")
 
 
 class Block:
-    """One block: its texts, and for each byte the number of its document."""
+    """One block: its texts, their ids, and where each starts and ends."""
 
     def __init__(self, row: dict):
+        self.row = row
         self.number: int = row["block"]
         self.ids: list = row["ids"]
+        self.id = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
         self.text: bytes = zstandard.decompress(row["text"])
         self.ends = np.asarray(row["ends"], np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        self.whole, self.part, self.head, self.tail, self.before = (row[k] for k in ("whole", "part", "head", "tail", "before"))
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in ddl.split(", ")])
+
+
+# rows and numbers as bytes
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
 
 
-def encode(keys: np.ndarray, tails: np.ndarray | None) -> bytes:
-    """Sorted 64-bit keys as differences in byte planes, and 32-bit tails as they are."""
-    steps = np.diff(keys)
-    planes = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
-    body = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
-    return len(keys).to_bytes(4, "little") + bytes([planes]) + keys[:1].tobytes() + body + (b"" if tails is None else tails.astype("<u4").tobytes())
-
-
-def decode(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-    n, planes = int.from_bytes(data[:4], "little"), data[4]
-    steps = np.zeros((n, 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 5)
-    end = 13 + planes * (n - 1)
-    steps[1:, :planes] = np.frombuffer(data, np.uint8, planes * (n - 1), 13).reshape(planes, n - 1).T
-    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(data, "<u4", n, end) if end < len(data) else None
-
-
-def parcels(block: int, keys: np.ndarray, tails: np.ndarray | None, bounds: np.ndarray) -> pa.RecordBatch:
-    """Distinct names in order, cut at the bounds into one parcel a group."""
-    cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-    held = [g for g in range(len(cuts) - 1) if cuts[g] < cuts[g + 1]]
-    data = [encode(keys[cuts[g] : cuts[g + 1]], None if tails is None else tails[cuts[g] : cuts[g + 1]]) for g in held]
-    return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([block] * len(held), pa.int64()), pa.array(data, pa.binary())], names=["grp", "block", "names"])
-
-
-PARCELS = "grp int, block long, names binary"
-ANSWERS = "block long, grp int, bits binary"
-
-
-def _answer(table: pa.Table, earlier: bool) -> pa.Table:
-    order = np.argsort(table["block"].to_numpy(), kind="stable")
-    numbers = table["block"].to_numpy()[order]
-    got = [decode(d) for d in table["names"].take(pa.array(order)).to_pylist()]
-    keys = np.concatenate([k for k, _ in got])
-    owner = np.repeat(np.arange(len(got), dtype=np.int32), [len(k) for k, _ in got])
-    if got[0][1] is None:
-        by = np.argsort(keys, kind="stable")  # equal names stay in the order of blocks
-        same = keys[by][1:] == keys[by][:-1]
-    else:
-        tails = np.concatenate([t for _, t in got])
-        by = np.lexsort((owner, tails, keys))
-        same = (keys[by][1:] == keys[by][:-1]) & (tails[by][1:] == tails[by][:-1])
-    told = np.zeros(len(keys), bool)
-    told[by[1:]] = same
-    if not earlier:  # any other block
-        told[by[:-1]] |= same
-    ends = np.cumsum([len(k) for k, _ in got])
-    bits = [np.packbits(told[e - len(k) : e]).tobytes() for e, (k, _) in zip(ends, got)]
-    grp = table["grp"][0].as_py()
-    return pa.table({"block": pa.array(numbers), "grp": pa.array([grp] * len(bits), pa.int32()), "bits": pa.array(bits, pa.binary())})
-
-
-def answered(sent: DataFrame, earlier: bool, name: str) -> DataFrame:
-    """For each parcel a bit a name: whether an earlier block (or any other) holds it too."""
-    return written(sent.groupBy("grp").applyInArrow(lambda t: _answer(t, earlier), ANSWERS), name)
-
-
-def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of what has been written since.
-
-    Spark deletes them when the driver collects its garbage, and the query that
-    ran last is garbage only after another one.
-    """
-    spark = df.sparkSession
-    for _ in range(2):
-        spark.range(1).count()
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def joined_bits(answers: pa.Table, keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The answers for the distinct names ``keys`` of one block, in their order."""
-    bits = dict(zip(answers["grp"].to_pylist(), answers["bits"].to_pylist()))
-    cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-    out = np.zeros(len(keys), bool)
-    for g in range(len(cuts) - 1):
-        n = cuts[g + 1] - cuts[g]
-        if n:
-            out[cuts[g] : cuts[g + 1]] = np.unpackbits(np.frombuffer(bits[g], np.uint8), count=int(n))
+def unsqueeze(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def big_endian(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as columns of 64-bit numbers of the same order."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return list(wide.view(">u8").astype(np.uint64).T)
+
+
+def sort_columns(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of rows given by columns, and where in it a new row begins."""
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    return order, new
+
+
+def common_prefixes(rows: np.ndarray) -> np.ndarray:
+    """How many leading elements each row shares with the one before (none for the first)."""
+    out = np.zeros(len(rows), np.int32)
+    if len(rows) > 1:
+        differ = rows[1:] != rows[:-1]
+        out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
     return out
 
 
-def even_bounds(groups: int) -> np.ndarray:
-    return np.array([(i << 64) // groups for i in range(1, groups)], np.uint64)
+def front_code(rows: np.ndarray) -> bytes:
+    """Sorted rows as lengths of common prefixes and the rest of each row."""
+    shared = common_prefixes(rows)
+    return zstandard.compress(shared.astype(np.uint8).tobytes() + rows[np.arange(rows.shape[1]) >= shared[:, None]].tobytes(), 3)
 
 
-def group_count(blocks: DataFrame) -> int:
-    total = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
-    return max(128, -(-total // GROUP_BYTES))
+def front_join(shared: list[np.ndarray], rest: list[np.ndarray], width: int) -> np.ndarray:
+    """The rows of several parcels, one after another."""
+    own = np.arange(width) >= np.concatenate(shared)[:, None]
+    rows = np.zeros(own.shape, rest[0].dtype)
+    rows[own] = np.concatenate(rest)
+    places = np.arange(len(rows))
+    for c in range(width):
+        rows[:, c] = rows[np.maximum.accumulate(np.where(own[:, c], places, 0)), c]
+    return rows
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """``work(block, its answers)`` for every block."""
+def front_decode(parcels: list[bytes], counts: list[int], width: int) -> np.ndarray:
+    parts = [np.frombuffer(zstandard.decompress(p), np.uint8) for p in parcels]
+    return front_join([p[:n] for p, n in zip(parts, counts)], [p[n:] for p, n in zip(parts, counts)], width)
 
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [work(Block(row), right) for row in left.to_pylist()]
-        return pa.Table.from_batches(rows) if rows else empty
 
-    empty = pa.table({f.split()[0]: pa.array([], _ARROW[f.split()[1]]) for f in schema.split(", ")})
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
+# the exchange
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+PARCELS = "grp int, block long, n int, rows binary, marks binary"
+ANSWERS = "block long, grp int, phase int, answer binary"
+
+
+def parcels(block: int, groups: np.ndarray, rows: np.ndarray, marks: Callable[[slice], bytes], code: Callable[[np.ndarray], bytes] = front_code) -> pa.RecordBatch:
+    """One parcel for each group met; ``rows`` are sorted by group, and within it."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]]) if len(groups) else np.zeros(1, np.int64)
+    spans = [slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    columns = [[int(groups[s.start]) for s in spans], [block] * len(spans), [s.stop - s.start for s in spans], [code(rows[s]) for s in spans], [marks(s) for s in spans]]
+    schema = arrow_schema(PARCELS)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def answered(sent: DataFrame, tasks: int, phase: int, answer: Callable[[pa.Table], list[bytes]], name: str) -> DataFrame:
+    """``answer(the parcels of a group)``, one for each parcel, written."""
+    schema = arrow_schema(ANSWERS)
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = [table["block"], table["grp"], pa.array([phase] * len(table), pa.int32()), pa.array(answer(table), pa.binary())]
+        return pa.table(columns, schema=schema)
+
+    return written(sent.repartition(tasks, "grp").groupBy("grp").applyInArrow(run, ANSWERS), name)
+
+
+def split(values: np.ndarray, counts: list[int]) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(counts)[:-1])
+
+
+def answers_of(table: pa.Table, phase: int) -> list[bytes]:
+    """The answers of one phase to a block, in the order of groups, in which its rows were sent."""
+    part = table.filter(pa.array(table["phase"].to_numpy() == phase)).sort_by("grp")
+    return part["answer"].to_pylist()
 
 
 def each_block(blocks: DataFrame, work: Callable[[Block], pa.RecordBatch], schema: str) -> DataFrame:
@@ -200,6 +199,29 @@ def each_block(blocks: DataFrame, work: Callable[[Block], pa.RecordBatch], schem
     return blocks.mapInArrow(run, schema)
 
 
+def with_answers(blocks: DataFrame, answers: DataFrame, tasks: int, work: Callable[[Block, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work(block, its answers)`` for every block."""
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = [work(Block(row), right) for row in left.to_pylist()]
+        return pa.Table.from_batches(rows) if rows else arrow_schema(schema).empty_table()
+
+    return blocks.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(both, schema)
+
+
+def text_bytes(blocks: DataFrame) -> int:
+    return blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
+
+
+def task_count(total: int) -> int:
+    return max(4, -(-total // TASK_BYTES))
+
+
+def least_ids(ids: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each run of a sorted order its least id."""
+    return np.minimum.reduceat(ids, np.flatnonzero(new)) if len(ids) else ids
+
+
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     """Which of ``n`` places lie within ``size`` from one of the (distinct) starts."""
     edge = np.zeros(n + 1, np.int32)
@@ -208,9 +230,11 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def distinct(names: np.ndarray) -> np.ndarray:
-    """Distinct values in order (by sorting, which beats hashing here)."""
-    names = np.sort(names)
-    new = np.ones(len(names), bool)
-    new[1:] = names[1:] != names[:-1]
-    return names[new]
+def parts_joined(found: DataFrame, blocks: DataFrame, tasks: int, join: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """The rows of uncut texts as they are, and ``join(the parts of a text, in order)`` for the others."""
+    if not blocks.where("whole != 0").limit(1).count():
+        return found.drop("whole", "part")
+    found = written(found, "parts")
+    schema = found.drop("whole", "part").schema
+    joined = found.where("whole != 0").repartition(tasks, "whole").groupBy("whole").applyInArrow(lambda t: join(t.sort_by("part")), schema)
+    return found.where("whole = 0").drop("whole", "part").unionByName(joined)

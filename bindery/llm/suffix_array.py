@@ -1,166 +1,366 @@
 """Repeated strings by a distributed difference-cover algorithm.
 
-Suffixes are compared over their first 50 bytes only, since longer prefixes do
-not matter. Triples of bytes are names; names of 9 and 27 bytes are made of
-three names each, and two of those make the name of 50. A difference cover of
-21 samples 5 of 21 places such that two equal strings, wherever they start,
-are both sampled at one common offset below 21, and share the 30 bytes there:
-
-0. a text that an earlier document has whole goes as a whole;
-1. the names of the sampled places are sorted and equal neighbours found;
-2. a suffix none of whose sampled places repeats is left out, and the
-   remaining suffixes are merged: sorted by their names of 50 bytes;
-3. adjacent equal prefixes tell which start in an earlier document.
-
-Names are 64-bit mixes, not ranks, so that any task can make them; two
-different strings of 50 bytes get one with a chance of 2**-64.
+Suffixes are compared over their first 50 bytes. A difference cover of 21
+samples 5 of 21 places, so that two equal strings, wherever they start, are
+both sampled at one common offset below 21.
+
+1. The triples at the sampled places (three characters of 7 bytes) are sorted
+   over all blocks, by ranges of their bytes. Triples that occur twice or more
+   get their rank as a name; the others decide every suffix that needs them.
+2. Recursion: the names at a place, 21 and 42 bytes on form triples again. They
+   decide 63 bytes, so one level is enough for 50. Sorted, adjacent equal ones
+   tell which strings of 63 bytes start in an earlier document, and with them
+   the 14 suffixes that start there or up to 13 bytes on.
+3. The suffixes that remain are merged: within one name, those with the sampled
+   place at offset d are ordered by the rank of the d characters before it and
+   the rank of what follows up to 50 bytes; adjacent equal ones are one string.
+
+All names are exact; no string stands for another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .repeats import PARCELS, Block, answered, blocks_of, covered, distinct, each_block, even_bounds, group_count, joined_bits, mix, parcels, release, with_answers
+from .common import written
+from .repeats import (
+    BLOCKS,
+    GROUP_BYTES,
+    MOST_GROUPS,
+    NO_ID,
+    PARCELS,
+    Block,
+    answered,
+    answers_of,
+    arrow_schema,
+    big_endian,
+    blocks_of,
+    common_prefixes,
+    covered,
+    each_block,
+    front_decode,
+    least_ids,
+    parcels,
+    parts_joined,
+    sort_columns,
+    split,
+    squeeze,
+    task_count,
+    text_bytes,
+    unsqueeze,
+    with_answers,
+)
 
 LENGTH = 50
 #: A difference cover: every difference modulo PERIOD is one of two of its members.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-SAMPLED = LENGTH - PERIOD + 1
-
-
-#: Places named at once, so that their names stay in the processor's cache.
-STRETCH = 1 << 15
-
+TRIPLE = 21
+#: Characters before and after a name that the suffixes around it may need.
+LEFT, RIGHT = PERIOD - 1, LENGTH - TRIPLE
+#: Bytes of a sent name of a triple of names, and of a name with its surroundings.
+NAMES, AROUND = 20, 4 + LEFT + RIGHT + 2
+#: So many sampled keys for each group help to place the bounds.
+SAMPLES = 32
+U64 = np.uint64
 
-def _long_names(text: np.ndarray) -> np.ndarray:
-    """Names of the 27 bytes from each place on: of triples, of three triples, of three of those."""
-    out = np.empty(len(text) - 26, np.uint64)
-    for i in range(0, len(out), STRETCH):
-        part = text[i : i + STRETCH + 26].astype(np.uint64)
-        n = len(part)
-        triple = _triples(part)
-        nine = mix(triple[: n - 8], triple[3 : n - 5], triple[6 : n - 2])
-        out[i : i + STRETCH] = mix(nine[: n - 26], nine[9 : n - 17], nine[18 : n - 8])
-    return out
 
+def _cut(text: bytes, most: int) -> Iterator[tuple[int, int, int, int, int]]:
+    for start in range(0, len(text), most):
+        end = min(len(text), start + most)
+        yield max(0, start - LENGTH + 1), start, end, min(len(text), end + LEFT + LENGTH), 0
 
-def _triples(text: np.ndarray) -> np.ndarray:
-    return text[:-2] | text[1:-1] << np.uint64(8) | text[2:] << np.uint64(16)
 
+class _Text:
+    """The bytes of a block and what is asked of them."""
 
-class _Names:
     def __init__(self, block: Block):
+        self.block = block
         self.text = np.frombuffer(block.text, np.uint8)
         self.n = len(self.text)
-        self.ends = block.ends
-        self.doc_end = np.repeat(block.ends, block.ends - block.starts)
-        self.long = _long_names(self.text) if self.n >= SAMPLED else np.empty(0, np.uint64)
+        sizes = block.ends - block.starts
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+    def end(self, at: np.ndarray) -> np.ndarray:
+        return self.block.ends[self.doc[at]]
 
-    def sampled(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled places whose 30 bytes lie in one document, and their names (of 40 bits, in the high part)."""
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return self.block.id[self.doc[at]]
+
+    def sampled(self) -> np.ndarray:
+        """Sampled places whose triple lies in one document that has an id."""
         at = (np.arange(0, self.n, PERIOD)[:, None] + np.array(COVER)).ravel()
-        at = at[at + SAMPLED <= self.n]
-        at = at[at + SAMPLED <= self.doc_end[at]]
-        last = [self.text[at + k].astype(np.uint64) for k in (27, 28, 29)]
-        name = mix(self.long[at], last[0] | last[1] << np.uint64(8) | last[2] << np.uint64(16)) if len(at) else np.empty(0, np.uint64)
-        return at, name & np.uint64(0xFFFFFFFFFF000000)
+        at = at[at + TRIPLE <= self.n]
+        return at[(at + TRIPLE <= self.end(at)) & (self.ids(at) != NO_ID)]
+
+    def triples(self, at: np.ndarray) -> np.ndarray:
+        return sliding_window_view(self.text, TRIPLE)[at] if len(at) else np.empty((0, TRIPLE), np.uint8)
+
+    def named(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places with a repeated triple, and its name: group and rank."""
+        return np.cumsum(unsqueeze(self.block.row["places"], np.uint32), dtype=np.int64), unsqueeze(self.block.row["names"], U64)
+
+    def suffixes(self) -> np.ndarray:
+        """Whether a string of 50 bytes within one document starts at each place."""
+        at = np.arange(self.n)
+        return at + LENGTH <= np.repeat(self.block.ends, self.block.ends - self.block.starts)
+
+
+# 1. triples
+
+
+def _send_triples(block: Block, bounds: np.ndarray) -> pa.RecordBatch:
+    text = _Text(block)
+    rows = text.triples(text.sampled())
+    order, new = sort_columns(big_endian(rows))
+    first = np.flatnonzero(new)
+    rows, twice = rows[order[first]], np.diff(np.append(first, len(order))) > 1
+    groups = np.searchsorted(bounds, big_endian(rows[:, :8])[0], side="right")
+    return parcels(block.number, groups, rows, lambda s: np.packbits(twice[s]).tobytes())
+
+
+def _rank_triples(table: pa.Table) -> list[bytes]:
+    counts = table["n"].to_pylist()
+    rows = front_decode(table["rows"].to_pylist(), counts, TRIPLE)
+    twice = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table["marks"].to_pylist(), counts)])
+    order, new = sort_columns(big_endian(rows))
+    first = np.flatnonzero(new)
+    repeated = (np.diff(np.append(first, len(order))) > 1) | np.maximum.reduceat(twice[order], first).astype(bool)
+    rank = np.zeros(len(rows), np.uint32)
+    rank[order] = (np.cumsum(repeated) * repeated)[np.cumsum(new) - 1]
+    return [_ranks_coded(r) for r in split(rank, counts)]
 
-    def candidates(self, repeated: np.ndarray, copies: np.ndarray) -> np.ndarray:
-        """Places whose 50 bytes lie in one document, no copy, and hold a repeated sampled place."""
-        if not len(repeated) or self.n < LENGTH:
-            return np.empty(0, np.int64)
-        holds = np.zeros(self.n, bool)
-        holds[repeated] = True
-        width = 1
-        while width < PERIOD:  # now true where one of the next ``width`` places repeats
-            step = min(width, PERIOD - width)
-            holds[: self.n - step] |= holds[step:].copy()
-            width += step
-        at = np.flatnonzero(holds)
-        at = at[at + LENGTH <= self.doc_end[at]]
-        return at[~copies[np.searchsorted(self.ends, at, side="right")]] if copies.any() else at
 
-    def names(self, at: np.ndarray) -> np.ndarray:
-        return mix(self.long[at], self.long[at + LENGTH - 27])
+def _ranks_coded(rank: np.ndarray) -> bytes:
+    """Ranks of sorted rows, 0 for none; the others ascend, so differences are small."""
+    held = zstandard.compress(np.packbits(rank > 0).tobytes())
+    return len(rank).to_bytes(4, "little") + len(held).to_bytes(4, "little") + held + squeeze(np.diff(rank[rank > 0], prepend=np.uint32(0)))
 
 
-def _repeated(names: _Names, answers: pa.Table, bounds: np.ndarray) -> np.ndarray:
-    at, name = names.sampled()
-    keys, which, times = np.unique(name, return_inverse=True, return_counts=True)
-    return at[(joined_bits(answers, keys, bounds) | (times > 1))[which]]
+def _ranks_decoded(data: bytes) -> np.ndarray:
+    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+    held = np.unpackbits(np.frombuffer(zstandard.decompress(data[8 : 8 + size]), np.uint8), count=n).astype(bool)
+    rank = np.zeros(n, U64)
+    rank[held] = np.cumsum(unsqueeze(data[8 + size :], np.uint32), dtype=U64)
+    return rank
 
 
-def _texts(block: Block) -> np.ndarray:
-    """Names of the whole texts."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(block.text[s:e]) for s, e in zip(block.starts, block.ends)), np.uint64, len(block.ids))
+def _name_places(block: Block, answers: pa.Table) -> pa.RecordBatch:
+    """The block with the places of repeated triples, and their names."""
+    text = _Text(block)
+    at = text.sampled()
+    name = np.zeros(len(at), U64)
+    if len(at):
+        order, new = sort_columns(big_endian(text.triples(at)))
+        told = answers.sort_by("grp")
+        ranks = [(U64(g) << U64(32) | r) * (r > 0) for g, r in zip(told["grp"].to_pylist(), map(_ranks_decoded, told["answer"].to_pylist()))]
+        name[order] = np.concatenate(ranks)[np.cumsum(new) - 1]
+    held = name > 0
+    row = block.row | {"places": squeeze(np.diff(at[held], prepend=0).astype(np.uint32)), "names": squeeze(name[held])}
+    schema = arrow_schema(NAMED)
+    return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
 
 
-def _copies(block: Block, answers: pa.Table, bounds: np.ndarray) -> np.ndarray:
-    """Which texts an earlier document has, whole."""
-    keys, first, which = np.unique(_texts(block), return_index=True, return_inverse=True)
-    return joined_bits(answers, keys, bounds)[which] | (first[which] != np.arange(len(which)))
+NAMED = BLOCKS + ", places binary, names binary"
+
+
+# 2. triples of names
+
+
+def _names_of_names(text: _Text) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Places that have three names in a row, their groups, and the sort columns."""
+    at, name = text.named()
+    dense = np.zeros(text.n + 2 * PERIOD, U64)
+    dense[at] = name
+    second, third = dense[at + PERIOD], dense[at + 2 * PERIOD]
+    held = (second > 0) & (third > 0) & (at + 2 * PERIOD + TRIPLE <= text.end(at)) if len(at) else np.zeros(0, bool)
+    return at[held], name[held], [name[held], second[held], third[held]]
+
+
+def _send_names(block: Block) -> pa.RecordBatch:
+    text = _Text(block)
+    at, name, columns = _names_of_names(text)
+    order, new = sort_columns(columns)
+    first, least = order[new], least_ids(text.ids(at)[order], new)
+    rows = np.stack([c[first] for c in columns], axis=1).astype(">u8").view(np.uint8).reshape(-1, 24)[:, 24 - NAMES :]
+    return parcels(block.number, (name[first] >> U64(32)).astype(np.int64), rows, lambda s: squeeze(least[s]))
+
+
+def _opened(table: pa.Table, width: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Parcels as their sizes, rows and ids."""
+    counts = table["n"].to_pylist()
+    return counts, front_decode(table["rows"].to_pylist(), counts, width), np.concatenate([unsqueeze(m, np.int64) for m in table["marks"].to_pylist()])
+
+
+def _later(order: np.ndarray, new: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which rows have an equal one with a smaller id."""
+    later = np.empty(len(order), bool)
+    later[order] = ids[order] > least_ids(ids[order], new)[np.cumsum(new) - 1]
+    return later
+
+
+def _compare_names(table: pa.Table) -> list[bytes]:
+    counts, rows, ids = _opened(table, NAMES)
+    later = _later(*sort_columns(big_endian(rows)), ids)
+    return [zstandard.compress(b.tobytes()) for b in split(later, counts)]
+
+
+def _decided(text: _Text, answers: list[bytes]) -> np.ndarray:
+    """Places whose 50 bytes the names of names tell to start earlier."""
+    at, _, columns = _names_of_names(text)
+    out = np.zeros(text.n, bool)
+    if len(at):
+        order, new = sort_columns(columns)
+        which, ids = np.empty(len(at), np.int64), text.ids(at)
+        which[order] = np.cumsum(new) - 1
+        told = np.concatenate([np.frombuffer(zstandard.decompress(a), bool) for a in answers])
+        later = told[which] | (ids > least_ids(ids[order], new)[which])
+        out |= covered(at[later], 2 * PERIOD + TRIPLE - LENGTH + 1, text.n)
+    return out
 
 
-def _phase(table: pa.Table, phase: int) -> pa.Table:
-    return table.filter(pa.array(table["phase"].to_numpy() == phase))
+# 3. the remaining suffixes
+
+
+class _Surroundings:
+    """Names with the characters around them, for the places that suffixes left undecided need."""
+
+    def __init__(self, text: _Text, decided: np.ndarray):
+        self.text = text
+        at, name = text.named()
+        left = np.concatenate([[0], np.cumsum(text.suffixes() & ~decided)])
+        held = left[at + 1] > left[np.maximum(at - LEFT, 0)] if len(at) else np.zeros(0, bool)
+        self.at, self.name = at[held], name[held]
+        at, end = self.at, text.end(self.at)
+        self.before = np.minimum(LEFT, at - text.block.starts[text.doc[at]])
+        self.after = np.minimum(RIGHT, end - at - TRIPLE)
+        rows = np.zeros((len(at), AROUND), np.uint8)
+        rows[:, :4] = (self.name & U64(0xFFFFFFFF)).astype(">u4").view(np.uint8).reshape(-1, 4)
+        wide = np.concatenate([np.zeros(LEFT, np.uint8), text.text, np.zeros(RIGHT, np.uint8)])
+        if len(at):
+            rows[:, 4 : 4 + LEFT] = sliding_window_view(wide, LEFT)[at][:, ::-1] * (np.arange(LEFT) < self.before[:, None])
+            rows[:, 4 + LEFT : -2] = sliding_window_view(wide, RIGHT)[at + LEFT + TRIPLE] * (np.arange(RIGHT) < self.after[:, None])
+        rows[:, -2], rows[:, -1] = self.before, self.after
+        self.ids = text.ids(at)
+        self.order, new = sort_columns([self.name >> U64(32), *big_endian(rows)])
+        self.rows = rows[self.order[new]]
+        self.groups = (self.name[self.order[new]] >> U64(32)).astype(np.int64)
+        self.least = least_ids(self.ids[self.order], new)
+        self.which = np.empty(len(at), np.int64)
+        self.which[self.order] = np.cumsum(new) - 1
+
+    def starts(self, answers: list[bytes]) -> np.ndarray:
+        """Suffixes told to start earlier."""
+        out = np.zeros(self.text.n, bool)
+        if len(self.at):
+            told = np.concatenate([np.frombuffer(zstandard.decompress(a), np.uint8).reshape(-1, 3) for a in answers])
+            told = np.unpackbits(told, axis=1)[self.which] | (self.ids > self.least[self.which])[:, None]
+            for d in range(PERIOD):
+                here = self.at[(told[:, d] > 0) & (self.before >= d) & (self.after >= RIGHT - d)]
+                out[here - d] = True
+        return out
+
+
+def _send_suffixes(block: Block, answers: pa.Table) -> pa.RecordBatch:
+    text = _Text(block)
+    found = _Surroundings(text, _decided(text, answers_of(answers, 2)))
+    return parcels(block.number, found.groups, found.rows, lambda s: squeeze(found.least[s]))
+
+
+def _merge_suffixes(table: pa.Table) -> list[bytes]:
+    counts, rows, ids = _opened(table, AROUND)
+    before, after = rows[:, -2], rows[:, -1]
+    sides = []
+    for part in (rows[:, : 4 + LEFT], np.concatenate([rows[:, :4], rows[:, 4 + LEFT : -2]], axis=1)):
+        order, _ = sort_columns(big_endian(part))
+        shared = common_prefixes(part[order])
+        shared[:1] = -1
+        sides.append((order, shared))
+
+    def ranks(side: int, depth: int) -> np.ndarray:
+        """Rank of each row by its name and ``depth`` characters on one side."""
+        order, shared = sides[side]
+        out = np.empty(len(rows), U64)
+        out[order] = np.cumsum(shared < 4 + depth)
+        return out
+
+    told = np.zeros((len(rows), 24), bool)
+    for d in range(PERIOD):
+        held = np.flatnonzero((before >= d) & (after >= RIGHT - d))
+        if len(held):
+            key = (ranks(0, d) << U64(32) | ranks(1, RIGHT - d))[held]
+            told[held, d] = _later(*sort_columns([key]), ids[held])
+    return [zstandard.compress(b.tobytes()) for b in split(np.packbits(told, axis=1), counts)]
+
+
+FOUND = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
+PARTS = FOUND + ", whole long, part int"
+
+
+def _result(rows: list[list], ddl: str) -> pa.RecordBatch:
+    schema = arrow_schema(ddl)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _remove(block: Block, answers: pa.Table) -> pa.RecordBatch:
+    text = _Text(block)
+    decided = _decided(text, answers_of(answers, 2))
+    gone = decided | _Surroundings(text, decided).starts(answers_of(answers, 3))
+    drop = covered(np.flatnonzero(gone), LENGTH, text.n)
+    out = []
+    for i, start, end in zip(block.ids, block.starts + block.head, block.ends - block.tail):
+        own = drop[start:end]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]])))
+        out.append([i, end - start, edge[::2], edge[1::2], text.text[start:end][~own].tobytes(), block.whole, block.part])
+    return _result(out, PARTS)
+
+
+def _join(parts: pa.Table) -> pa.Table:
+    sizes = np.array(parts["n_bytes"].to_pylist())
+    before = np.cumsum(sizes) - sizes
+    starts, ends = (np.concatenate([np.asarray(x, np.int64) + b for x, b in zip(parts[c].to_pylist(), before)]) for c in ("starts", "ends"))
+    apart = starts[1:] != ends[:-1]  # runs that meet at a cut are one
+    row = [parts["doc_id"][0].as_py(), sizes.sum(), starts[np.append(True, apart)] if len(starts) else [], ends[np.append(apart, True)] if len(ends) else []]
+    return pa.Table.from_batches([_result([[*row, b"".join(parts["kept"].to_pylist())]], FOUND)])
+
+
+def _bounds(blocks: DataFrame, total: int) -> np.ndarray:
+    """Bounds of the groups over the first 8 bytes of the triples, from a sample of bounded size."""
+    groups = min(MOST_GROUPS, max(1, -(-total // GROUP_BYTES)))
+    stride = max(1, total * len(COVER) // PERIOD // (SAMPLES * groups))
+
+    def some(block: Block) -> pa.RecordBatch:
+        text = _Text(block)
+        rows = text.triples(text.sampled()[block.number % 7919 % stride :: stride])
+        return pa.RecordBatch.from_arrays([pa.array(big_endian(rows[:, :8])[0].view(np.int64))], names=["key"])
+
+    keys = np.sort(each_block(blocks, some, "key long").toArrow()["key"].to_numpy().view(U64))
+    return np.unique(keys[np.arange(1, groups) * len(keys) // groups]) if len(keys) else keys
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, starts, ends, kept`` for every row.
 
-    A byte goes when a string of 50 bytes that covers it also starts in an
-    earlier document, judged on the input. ``starts`` and ``ends`` are the
-    maximal removed runs and ``kept`` the bytes that are left. Documents are
-    ordered by id, null ids first; rows with one id are documents of their own,
-    ordered by a hash of the text. Null texts are empty. Texts under 50 bytes lose nothing.
-    Other columns are not read.
+    A byte goes when a string of 50 bytes that covers it also starts in a
+    document with a smaller id, judged on the input. ``starts`` and ``ends``
+    are the maximal removed runs and ``kept`` the bytes that are left. Rows
+    with one id are documents of their own, none before the other. A row
+    without an id is in no order with others: it loses nothing, and nobody
+    loses anything to it. Null texts are empty; texts under 50 bytes lose
+    nothing; an empty table gives no rows. Texts over 2 MB are worked on in
+    overlapping parts and joined at the end, so only the text itself must fit
+    in a task. Other columns are not read.
     """
-    blocks = blocks_of(docs, id_col, text_col)
-    release(blocks)
-    bounds = even_bounds(group_count(blocks))
-
-    def send_texts(block: Block) -> pa.RecordBatch:
-        return parcels(block.number, distinct(_texts(block)), None, bounds)
-
-    def send_sampled(block: Block) -> pa.RecordBatch:
-        return parcels(block.number, distinct(_Names(block).sampled()[1]), None, bounds)
-
-    def send_rest(block: Block, answers: pa.Table) -> pa.RecordBatch:
-        names = _Names(block)
-        at = names.candidates(_repeated(names, _phase(answers, 1), bounds), _copies(block, _phase(answers, 0), bounds))
-        return parcels(block.number, distinct(names.names(at)), None, bounds)
-
-    # a text that an earlier document has goes as a whole and names no windows
-    told = answered(each_block(blocks, send_texts, PARCELS), True, "sa-texts").withColumn("phase", F.lit(0))
-    sampled = answered(each_block(blocks, send_sampled, PARCELS), False, "sa-sampled").withColumn("phase", F.lit(1))
-    told = told.unionAll(sampled)
-    release(told)
-    told = told.unionAll(answered(with_answers(blocks, told, send_rest, PARCELS), True, "sa-merged").withColumn("phase", F.lit(2)))
-    release(told)
-
-    def finish(block: Block, answers: pa.Table) -> pa.RecordBatch:
-        names = _Names(block)
-        copies = _copies(block, _phase(answers, 0), bounds)
-        at = names.candidates(_repeated(names, _phase(answers, 1), bounds), copies)
-        keys, place, which = np.unique(names.names(at), return_index=True, return_inverse=True)
-        doc = np.searchsorted(block.ends, at, side="right")
-        gone = joined_bits(_phase(answers, 2), keys, bounds)[which] | (doc != doc[place[which]])
-        drop = covered(at[gone], LENGTH, names.n)
-        for i in np.flatnonzero(copies & (block.ends - block.starts >= LENGTH)):
-            drop[block.starts[i] : block.ends[i]] = True
-        text = names.text
-        out: list[list] = [[], [], [], []]
-        for start, end in zip(block.starts, block.ends):
-            own = drop[start:end]
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]])))
-            for to, value in zip(out, (end - start, edge[::2], edge[1::2], text[start:end][~own].tobytes())):
-                to.append(value)
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-        arrays = [pa.array(block.ids, pa.int64()), *(pa.array(x, k) for x, k in zip(out, kinds))]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "starts", "ends", "kept"])
-
-    return with_answers(blocks, told, finish, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    blocks = blocks_of(docs, id_col, text_col, _cut)
+    total = text_bytes(blocks)
+    tasks, bounds = task_count(total), _bounds(blocks, total)
+    ranked = answered(each_block(blocks, lambda b: _send_triples(b, bounds), PARCELS), tasks, 1, _rank_triples, "sa-ranks")
+    named = written(with_answers(blocks, ranked, tasks, _name_places, NAMED), "sa-named")
+    told = answered(each_block(named, _send_names, PARCELS), tasks, 2, _compare_names, "sa-recursion")
+    merged = answered(with_answers(named, told, tasks, _send_suffixes, PARCELS), tasks, 3, _merge_suffixes, "sa-merged")
+    return parts_joined(with_answers(named, told.unionAll(merged), tasks, _remove, PARTS), blocks, tasks, _join)

@@ -1,137 +1,399 @@
 """Repeated word windows by prefix-partitioned suffix trees.
 
-A suffix starts at each word, and its tree is cut at the depth of the window,
-20 words. The key of a suffix is made of the hash of its first word, of its
-first four, and of all twenty, so that the order of keys is the order of a
-depth-first walk: suffixes with a common prefix lie side by side. Key bounds
-taken from all blocks cut the walk into groups of like size; where a prefix is
-frequent the bounds fall inside it, that is, on a longer prefix. Each group is
-a subtree that one task builds by sorting; a node at full depth with several
-suffixes is a repeat, and every suffix but the earliest is a later start.
-
-Before that, suffixes whose 20 words occur once are left out: they are leaves
-above that depth. Those are found by short names of all windows.
+A suffix starts at each word; its first 20 words matter, so trees are cut at
+that depth.
+
+1. Suffixes whose 20 words occur once are leaves above that depth and are left
+   out. Short names of all windows find them; a chance agreement of names only
+   keeps a suffix that the tree then finds to be a leaf.
+2. The others are split by prefixes of variable length. A prefix is a string of
+   classes of words (256 classes by hash); the suffixes with each are counted,
+   and one that is too frequent for a task's memory is made one word longer.
+   Prefixes in a row form groups of a memory's size.
+3. One task builds each group's subtree: the suffixes are sorted by words, and
+   the words that neighbours share are the depths of the internal nodes. Nodes
+   of 20 words or deeper are the repeats; of the suffixes below such a node
+   all but the earliest start later.
+
+Words stand in the trees by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import PARCELS, Block, answered, blocks_of, covered, distinct, each_block, even_bounds, group_count, joined_bits, mix, parcels, release, with_answers
+from .common import written
+from .repeats import (
+    BLOCKS,
+    MOST_GROUPS,
+    NO_ID,
+    PARCELS,
+    Block,
+    answered,
+    answers_of,
+    arrow_schema,
+    blocks_of,
+    common_prefixes,
+    covered,
+    each_block,
+    front_join,
+    least_ids,
+    parcels,
+    parts_joined,
+    sort_columns,
+    split,
+    squeeze,
+    task_count,
+    text_bytes,
+    unsqueeze,
+    with_answers,
+)
 
 WINDOW = 20
-#: Every so many suffixes of a block help to place the bounds of the groups.
-STRIDE = 64
+#: Suffixes in a group, of 160 bytes each.
+GROUP_SUFFIXES = 1 << 18
+U64 = np.uint64
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U64)
+#: Bytes of text for which one group of names answers.
+NAMES_BYTES = 12 << 20
+
+
+def _mix(*parts: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each row of equally long arrays of names."""
+    out = parts[0] * MULTIPLIERS[0]
+    for p in parts[1:]:
+        out ^= out >> U64(29)
+        out += p
+        out *= MULTIPLIERS[1]
+    out ^= out >> U64(32)
+    out *= MULTIPLIERS[2]
+    out ^= out >> U64(29)
+    return out
+
+
+def _cut(text: bytes, most: int) -> Iterator[tuple[int, int, int, int, int]]:
+    letters = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], (letters != 0x20) & ((letters < 9) | (letters > 13)), [False]])
+    edge = np.flatnonzero(np.diff(inside))
+    starts, ends = edge[::2], edge[1::2]
+    n = len(starts)
+    bounds = np.unique(np.concatenate([[0], np.searchsorted(starts, np.arange(most, len(text), most)), [n]])).tolist()
+    if n == 0:
+        yield 0, 0, len(text), len(text), 0
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        own, end = (int(starts[a]) if a else 0), (int(starts[b]) if b < n else len(text))
+        first = max(0, a - WINDOW + 1)
+        yield (int(starts[first]) if first else 0), own, end, max(end, int(ends[min(n, b + WINDOW - 1) - 1])), first
 
 
 class _Suffixes:
-    """The words of a block, and names of the windows that lie in one document."""
+    """The words of a block and the windows that lie in one document."""
 
     def __init__(self, block: Block):
-        self.words, counts = [], []
+        self.block, self.words, counts = block, [], []
         for start, end in zip(block.starts, block.ends):
             words = block.text[start:end].split()
             self.words += words
             counts.append(len(words))
         self.counts = np.asarray(counts, np.int64)
         self.ends = np.cumsum(self.counts)
-        n = len(self.words)
-        self.one = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, n)
-        if n >= WINDOW:
-            two = mix(self.one[:-1], self.one[1:])
-            self.four = mix(two[:-2], two[2:])
-            eight = mix(self.four[:-4], self.four[4:])
-            sixteen = mix(eight[:-8], eight[8:])
-            self.full = mix(sixteen[: n - WINDOW + 1], self.four[16:])
-            at = np.arange(n - WINDOW + 1)
-            self.at = at[at + WINDOW <= np.repeat(self.ends, self.counts)[at]]
-        else:
-            self.at, self.four, self.full = np.empty(0, np.int64), self.one, np.empty(0, np.uint64)
-
-    def names(self) -> np.ndarray:
-        """Short names of all windows: 40 bits in the high part."""
-        return self.full[self.at] & np.uint64(0xFFFFFFFFFF000000)
-
-    def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys in the order of a depth-first walk: by word, by four words, by twenty."""
-        low = np.uint64(0xFFFF)
-        key = (self.one[at] & low) << np.uint64(48) | (self.four[at] & low) << np.uint64(32) | self.full[at] >> np.uint64(32)
-        return key, (self.full[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
-def _distinct(keys: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, tail) in order, the first place of each, and which one each place has."""
-    by = np.lexsort((tails, keys))  # stable: equal ones stay in the order of places
-    new = np.ones(len(by), bool)
-    new[1:] = (keys[by][1:] != keys[by][:-1]) | (tails[by][1:] != tails[by][:-1])
-    which = np.empty(len(by), np.int64)
-    which[by] = np.cumsum(new) - 1
-    return keys[by][new], tails[by][new], by[new], which
-
-
-def _repeated(suffixes: _Suffixes, answers: pa.Table, bounds: np.ndarray) -> np.ndarray:
-    keys, which, times = np.unique(suffixes.names(), return_inverse=True, return_counts=True)
-    return suffixes.at[(joined_bits(answers, keys, bounds) | (times > 1))[which]]
+        self.n = len(self.words)
+        self.one = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), U64, self.n)
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), self.counts)
+        at = np.arange(max(0, self.n - WINDOW + 1))
+        self.at = at[at + WINDOW <= self.ends[self.doc[at]]]
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return self.block.id[self.doc[at]]
+
+    def names(self, bits: int) -> np.ndarray:
+        """Short names of all windows."""
+        if not len(self.at):
+            return np.empty(0, U64)
+        two = _mix(self.one[:-1], self.one[1:])
+        four = _mix(two[:-2], two[2:])
+        eight = _mix(four[:-4], four[4:])
+        sixteen = _mix(eight[:-8], eight[8:])
+        return _mix(sixteen[: self.n - WINDOW + 1], four[16:])[self.at] >> U64(64 - bits)
+
+    def takes_part(self, at: np.ndarray) -> np.ndarray:
+        """Places that places in other blocks may precede or follow."""
+        return np.ones(len(at), bool) if self.block.whole else self.ids(at) != NO_ID
+
+    def own(self) -> tuple[int, int]:
+        """The words that are not overlap, in a part of a text."""
+        text = self.block.text
+        return len(text[: self.block.head].split()), self.n - len(text[len(text) - self.block.tail :].split())
+
+
+# 1. leaves above the depth
+
+
+def _send_names(block: Block, bits: int, groups: int) -> pa.RecordBatch:
+    suffixes = _Suffixes(block)
+    names = np.unique(suffixes.names(bits)[suffixes.takes_part(suffixes.at)])
+    grp = ((names >> U64(bits - 24)) * U64(groups) >> U64(24)).astype(np.int64)
+    return parcels(block.number, grp, names, lambda s: b"", lambda r: squeeze(np.diff(r, prepend=U64(0))))
+
+
+def _find_names(table: pa.Table) -> list[bytes]:
+    rows = [np.cumsum(unsqueeze(d, U64), dtype=U64) for d in table["rows"].to_pylist()]
+    names = np.concatenate(rows)
+    order = np.argsort(names, kind="stable")
+    same = names[order][1:] == names[order][:-1]
+    told = np.zeros(len(names), bool)
+    told[order[1:]] |= same
+    told[order[:-1]] |= same
+    return [zstandard.compress(np.packbits(b).tobytes()) for b in split(told, table["n"].to_pylist())]
+
+
+def _bits(data: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(data), np.uint8)).astype(bool)
+
+
+KEPT = BLOCKS + ", places binary"
+
+
+def _keep_repeated(block: Block, answers: pa.Table, bits: int, groups: int) -> pa.RecordBatch:
+    """The block with the places of windows whose names occur elsewhere or twice here."""
+    suffixes = _Suffixes(block)
+    names, which, times = np.unique(suffixes.names(bits), return_inverse=True, return_counts=True)
+    sent = np.zeros(len(names), bool)
+    sent[which[suffixes.takes_part(suffixes.at)]] = True
+    grp = ((names[sent] >> U64(bits - 24)) * U64(groups) >> U64(24)).astype(np.int64)
+    sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)]])) if len(grp) else []
+    told = times > 1
+    if len(grp):
+        told[sent] |= np.concatenate([_bits(a)[:n] for a, n in zip(answers_of(answers, 1), sizes)])
+    at = suffixes.at[told[which]]
+    row = block.row | {"places": squeeze(np.diff(at, prepend=0).astype(np.uint32))}
+    schema = arrow_schema(KEPT)
+    return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
+
+
+# 2. prefixes
+
+
+class _Trie:
+    """Prefixes of word classes; each ends in a group. A negative child ``c`` is group ``~c``."""
+
+    def __init__(self):
+        self.child = np.full((1, 256), -1, np.int64)
+
+    def walk(self, rows: np.ndarray, depth: int = WINDOW) -> np.ndarray:
+        """Node or group that each row (of word hashes) comes to."""
+        node = np.zeros(len(rows), np.int64)
+        for level in range(depth):
+            inner = np.flatnonzero(node >= 0)
+            node[inner] = self.child[node[inner], (rows[inner, level] >> U64(56)).astype(np.int64)]
+        return node
+
+    def grow(self, node: int, classes: list[int]) -> list[int]:
+        made = [len(self.child) + i for i in range(len(classes))]
+        self.child = np.concatenate([self.child, np.full((len(classes), 256), -1, np.int64)])
+        self.child[node, classes] = made
+        return made
+
+    def deal(self, counts: dict[tuple[int, int], int], most: int) -> None:
+        """Number the groups: prefixes in order, as many as keep within ``most``."""
+        group = held = 0
+        stack = [(0, 0)]
+        while stack:
+            node, start = stack.pop()
+            for c in range(start, 256):
+                if self.child[node, c] >= 0:
+                    stack += [(node, c + 1), (int(self.child[node, c]), 0)]
+                    break
+                n = counts.get((node, c), 0)
+                if held and held + n > most:
+                    group, held = group + 1, 0
+                held += n
+                self.child[node, c] = ~group
+
+
+class _Kept:
+    """The kept suffixes of a block, and their distinct words sorted."""
+
+    def __init__(self, block: Block, trie: _Trie | None = None):
+        self.suffixes = suffixes = _Suffixes(block)
+        self.at = np.cumsum(unsqueeze(block.row["places"], np.uint32), dtype=np.int64)
+        rows = sliding_window_view(suffixes.one, WINDOW)[self.at] if len(self.at) else np.empty((0, WINDOW), U64)
+        groups = ~trie.walk(rows) if trie else np.zeros(len(rows), np.int64)
+        self.order, self.new = sort_columns([groups, *rows.T])
+        first = self.order[self.new]
+        self.rows, self.groups = rows[first], groups[first]
+        self.ids = suffixes.ids(self.at)
+        self.least = least_ids(self.ids[self.order], self.new)
+        self.first = self.at[first] + block.before
+        self.sent = np.flatnonzero((self.least != NO_ID) | bool(block.whole))
+        self.which = np.empty(len(rows), np.int64)
+        self.which[self.order] = np.cumsum(self.new) - 1
+
+
+def _partition(kept: DataFrame) -> _Trie:
+    """Count prefixes, longer ones below those that are too frequent.
+
+    The driver sees at most 256 counts for each prefix that is too frequent,
+    of which there are no more than groups.
+    """
+    trie, counts, frontier, most = _Trie(), {}, [0], GROUP_SUFFIXES
+    for depth in range(WINDOW):
+
+        def count(block: Block, trie=trie, depth=depth, frontier=frontier) -> pa.RecordBatch:
+            found = _Kept(block)
+            rows = found.rows[found.sent]
+            node = trie.walk(rows, depth)
+            held = np.isin(node, frontier)
+            key, n = np.unique(node[held] << 8 | (rows[held, depth] >> U64(56)).astype(np.int64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+        got = {(r["key"] >> 8, r["key"] & 255): r["n"] for r in each_block(kept, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+        counts |= got
+        if depth == 0:
+            most = max(GROUP_SUFFIXES, sum(got.values()) // MOST_GROUPS)
+        large: dict[int, list[int]] = {}
+        for (node, c), n in sorted(got.items()):
+            if n > most and depth + 1 < WINDOW:
+                large.setdefault(node, []).append(c)
+        frontier = [made for node, classes in large.items() for made in trie.grow(node, classes)]
+        if not frontier:
+            break
+    trie.deal(counts, most)
+    return trie
+
+
+# 3. subtrees
+
+
+def _code(rows: np.ndarray) -> bytes:
+    """Sorted rows: what each shares with the one before, a dictionary of the other words, and these."""
+    shared = common_prefixes(rows)
+    words, rest = np.unique(rows[np.arange(WINDOW) >= shared[:, None]], return_inverse=True)
+    known = squeeze(np.diff(words, prepend=U64(0)))
+    return len(known).to_bytes(4, "little") + known + zstandard.compress(shared.astype(np.uint8).tobytes()) + squeeze(rest.astype(np.uint32))
+
+
+def _send_suffixes(block: Block, trie: _Trie) -> pa.RecordBatch:
+    kept = _Kept(block, trie)
+    least, first = kept.least[kept.sent], kept.first[kept.sent]
+
+    def marks(s: slice) -> bytes:
+        return block.whole.to_bytes(8, "little") + (squeeze(np.concatenate([least[s], first[s]])) if block.whole else squeeze(least[s]))
+
+    return parcels(block.number, kept.groups[kept.sent], kept.rows[kept.sent], marks, _code)
+
+
+def _decode(parcels: list[bytes], counts: list[int]) -> np.ndarray:
+    shared, rest = [], []
+    for data, n in zip(parcels, counts):
+        size = int.from_bytes(data[:4], "little")
+        words = np.cumsum(unsqueeze(data[4 : 4 + size], U64), dtype=U64)
+        unpacker = zstandard.ZstdDecompressor().decompressobj()
+        shared.append(np.frombuffer(unpacker.decompress(data[4 + size :]), np.uint8))
+        rest.append(words[unsqueeze(unpacker.unused_data, np.uint32)])
+        assert len(shared[-1]) == n
+    return front_join(shared, rest, WINDOW)
+
+
+def deep_nodes(depths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last leaf of the topmost nodes at least so deep.
+
+    ``depths[i]`` is what leaf ``i`` shares with the leaf before; an internal
+    node is a longest run of leaves that share at least its depth.
+    """
+    deep = np.append(depths >= least, False)
+    deep[:1] = False
+    edge = np.flatnonzero(np.diff(np.append(False, deep)))
+    return edge[::2] - 1, edge[1::2] - 1
+
+
+def _subtree(table: pa.Table) -> list[bytes]:
+    counts, marks = table["n"].to_pylist(), table["marks"].to_pylist()
+    rows = _decode(table["rows"].to_pylist(), counts)
+    whole = np.repeat(np.array([int.from_bytes(m[:8], "little") for m in marks], np.int64), counts)
+    both = [unsqueeze(m[8:], np.int64) for m in marks]
+    ids = np.concatenate([b[:n] for b, n in zip(both, counts)])
+    place = np.concatenate([b[n:] if len(b) > n else np.zeros(n, np.int64) for b, n in zip(both, counts)])
+    order, _ = sort_columns(list(rows.T))
+    later = np.zeros(len(rows), bool)
+    starts, ends = deep_nodes(common_prefixes(rows[order]), WINDOW)
+    if len(starts):
+        sizes = ends - starts + 1
+        node = np.repeat(np.arange(len(starts)), sizes)
+        leaves = order[np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)]
+        least = np.minimum.reduceat(ids[leaves], np.cumsum(sizes) - sizes)
+        later[leaves] = (ids[leaves] > least[node]) & (ids[leaves] != NO_ID)
+        cut = np.flatnonzero(whole[leaves])
+        if len(cut):  # parts of one text: the earlier place of the same document
+            by, new = sort_columns([node[cut], whole[leaves[cut]]])
+            least = np.minimum.reduceat(place[leaves[cut]][by], np.flatnonzero(new))
+            later[leaves[cut[by]]] |= place[leaves[cut]][by] > least[np.cumsum(new) - 1]
+    return [zstandard.compress(np.packbits(b).tobytes()) for b in split(later, counts)]
+
+
+FOUND = "doc_id long, n_words long, n_removed long, kept string"
+PARTS = FOUND + ", whole long, part int"
+
+
+def _result(rows: list[list], ddl: str) -> pa.RecordBatch:
+    schema = arrow_schema(ddl)
+    columns = [[r[i] for r in rows] for i in range(len(schema))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).cast(pa.string()) if f.name == "kept" else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _remove(block: Block, answers: pa.Table, trie: _Trie) -> pa.RecordBatch:
+    kept = _Kept(block, trie)
+    suffixes, at = kept.suffixes, kept.at
+    later = np.zeros(len(kept.rows), bool)
+    if len(kept.sent):
+        groups = kept.groups[kept.sent]
+        sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]]))
+        later[kept.sent] = np.concatenate([_bits(a)[:n] for a, n in zip(answers_of(answers, 2), sizes)])
+    known = kept.ids != NO_ID
+    gone = later[kept.which] & (known | bool(block.whole)) | known & (kept.ids > kept.least[kept.which])
+    # places of one row lie in order: all but the first of a document start later
+    row, doc = kept.which[kept.order], suffixes.doc[at][kept.order]
+    gone[kept.order[1:]] |= (row[1:] == row[:-1]) & (doc[1:] == doc[:-1])
+    drop = covered(at[gone], WINDOW, suffixes.n)
+    out = []
+    for i, count, end in zip(block.ids, suffixes.counts, suffixes.ends):
+        a, b = suffixes.own() if block.whole else (end - count, end)
+        own, words = drop[a:b], suffixes.words[a:b]
+        out.append([i, b - a, int(own.sum()), b" ".join([w for w, d in zip(words, own) if not d] if own.any() else words), block.whole, block.part])
+    return _result(out, PARTS)
+
+
+def _join(parts: pa.Table) -> pa.Table:
+    kept = b" ".join(k.encode() for k in parts["kept"].to_pylist() if k)
+    return pa.Table.from_batches([_result([[parts["doc_id"][0].as_py(), sum(parts["n_words"].to_pylist()), sum(parts["n_removed"].to_pylist()), kept]], FOUND)])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every row.
 
     A word goes when a window of 20 words that covers it also starts earlier:
-    in an earlier document, or earlier in the same one; windows are judged on
-    the input. ``kept`` is what is left, joined by single spaces. Documents are
-    ordered by id, null ids first; rows with one id are documents of their own,
-    ordered by a hash of the text. Null and empty texts have no words. Other columns are not
-    read.
+    in a document with a smaller id, or earlier in the same one; windows are
+    judged on the input. ``kept`` is what is left, joined by single spaces.
+    Rows with one id are documents of their own, none before the other; a row
+    without an id loses only what it repeats itself, and nobody loses anything
+    to it. Null and empty texts have no words; an empty table gives no rows.
+    Texts over 2 MB are worked on in overlapping parts and joined at the end,
+    so only the text itself must fit in a task. Other columns are not read.
     """
-    blocks = blocks_of(docs, id_col, text_col)
-    release(blocks)
-    groups = group_count(blocks)
-    even = even_bounds(groups)
-
-    def send_names(block: Block) -> pa.RecordBatch:
-        return parcels(block.number, distinct(_Suffixes(block).names()), None, even)
-
-    first = answered(each_block(blocks, send_names, PARCELS), False, "st-names")
-    release(first)
-
-    def some_keys(block: Block) -> pa.RecordBatch:
-        suffixes = _Suffixes(block)
-        keys = suffixes.keys(suffixes.at[::STRIDE])[0]
-        return pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(1)).astype(np.int64))], names=["key"])
-
-    shares = [i / groups for i in range(1, groups)]
-    cuts = each_block(blocks, some_keys, "key long").agg(F.percentile_approx("key", shares, 10 * groups).alias("cuts")).first()["cuts"]
-    bounds = np.unique(np.asarray(cuts or [], np.uint64) << np.uint64(1))
-
-    def send_suffixes(block: Block, answers: pa.Table) -> pa.RecordBatch:
-        suffixes = _Suffixes(block)
-        keys, tails, _, _ = _distinct(*suffixes.keys(_repeated(suffixes, answers, even)))
-        return parcels(block.number, keys, tails, bounds)
-
-    second = answered(with_answers(blocks, first, send_suffixes, PARCELS), True, "st-subtrees")
-    release(second)
-
-    def finish(block: Block, answers: pa.Table) -> pa.RecordBatch:
-        phase = answers["phase"].to_numpy()
-        suffixes = _Suffixes(block)
-        at = _repeated(suffixes, answers.filter(pa.array(phase == 0)), even)
-        keys, _, place, which = _distinct(*suffixes.keys(at))
-        gone = joined_bits(answers.filter(pa.array(phase == 1)), keys, bounds)[which]
-        gone |= np.arange(len(at)) != place[which]
-        drop = covered(at[gone], WINDOW, len(suffixes.words))
-        kept, removed = [], []
-        for count, end in zip(suffixes.counts, suffixes.ends):
-            own = drop[end - count : end]
-            words = suffixes.words[end - count : end]
-            removed.append(int(own.sum()))
-            kept.append(b" ".join([w for w, d in zip(words, own) if not d] if own.any() else words))
-        arrays = [pa.array(block.ids, pa.int64()), pa.array(suffixes.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept"])
-
-    both = first.withColumn("phase", F.lit(0)).unionAll(second.withColumn("phase", F.lit(1)))
-    return with_answers(blocks, both, finish, "doc_id long, n_words long, n_removed long, kept string")
+    blocks = blocks_of(docs, id_col, text_col, _cut)
+    total = text_bytes(blocks)
+    tasks, groups = task_count(total), min(MOST_GROUPS, max(1, -(-total // NAMES_BYTES)))
+    bits = min(64, 26 + total.bit_length())  # at most one name in 2**16 agrees by chance
+    told = answered(each_block(blocks, lambda b: _send_names(b, bits, groups), PARCELS), tasks, 1, _find_names, "st-names")
+    kept = written(with_answers(blocks, told, tasks, lambda b, a: _keep_repeated(b, a, bits, groups), KEPT), "st-kept")
+    trie = _partition(kept)
+    told = answered(each_block(kept, lambda b: _send_suffixes(b, trie), PARCELS), tasks, 2, _subtree, "st-subtrees")
+    return parts_joined(with_answers(kept, told, tasks, lambda b, a: _remove(b, a, trie), PARTS), blocks, tasks, _join)

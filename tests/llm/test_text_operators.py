@@ -115,34 +115,44 @@ def test_mixing_targets(spark):
 
 
 def brute_bytes(rows):
-    seen, out = set(), {}
-    for d, t, _ in sorted(rows, key=lambda r: r[0]):
-        b = (t or "").encode()
+    """Removal by smaller ids; equal ids and missing ones are in no order."""
+    least, out = {}, []
+    texts = [(d, (t or "").encode()) for d, t, _ in rows]
+    for d, b in texts:
+        for i in range(len(b) - 49 if d is not None else 0):
+            w = b[i : i + 50]
+            least[w] = min(least.get(w, d), d)
+    for d, b in texts:
         drop = bytearray(len(b))
-        own = [b[i : i + 50] for i in range(len(b) - 49)]
-        for i, w in enumerate(own):
-            if w in seen:
+        for i in range(len(b) - 49 if d is not None else 0):
+            if least[b[i : i + 50]] < d:
                 drop[i : i + 50] = b"\1" * 50
-        seen |= set(own)
-        out[d] = (len(b), bytes(x for x, g in zip(b, drop) if not g), len(re.findall(b"\1+", bytes(drop))))
-    return out
+        out.append((str(d), len(b), bytes(x for x, g in zip(b, drop) if not g), [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(drop))]))
+    return sorted(out)
 
 
-def test_suffix_array(spark):
-    rows = corpus()
-    want = brute_bytes(rows)
-    got = {r["doc_id"]: (r["n_bytes"], bytes(r["kept"]), len(r["starts"])) for r in suffix_array.remove_repeats(frame(spark, rows)).collect()}
-    assert got == want
+def bytes_found(docs):
+    return sorted((str(r["doc_id"]), r["n_bytes"], bytes(r["kept"]), list(zip(r["starts"], r["ends"]))) for r in suffix_array.remove_repeats(docs).collect())
+
 
+def awkward(n=90, seed=5):
+    """A corpus with repeated ids and rows without one, and text repeated at odd offsets."""
+    rows = corpus(n, seed)
+    rng = random.Random(seed)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows += [(rng.randrange(300), "x" * rng.randrange(30) + base[rng.randrange(200) :][: rng.randrange(40, 130)] + "y" * rng.randrange(5), "s") for _ in range(120)]
+    rows += [(d if i % 3 else None, t, s) for i, (d, t, s) in enumerate(rows[::4])]
+    return rows + [(7, base, "s"), (7, base, "s"), (None, base + " " + base, "s")]
 
-def test_suffix_array_over_many_blocks(spark, monkeypatch):
+
+@pytest.mark.parametrize("block", [2 << 20, 900, 100])
+def test_suffix_array(spark, monkeypatch, block):
     import bindery.llm.repeats as repeats
 
-    monkeypatch.setattr(repeats, "BLOCK_BYTES", 900)
-    rows = corpus(90, 5)
-    want = brute_bytes(rows)
-    got = {r["doc_id"]: (r["n_bytes"], bytes(r["kept"]), len(r["starts"])) for r in suffix_array.remove_repeats(frame(spark, rows)).collect()}
-    assert got == want
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix_array, "GROUP_BYTES", 20_000)
+    rows = awkward()
+    assert bytes_found(frame(spark, rows)) == brute_bytes(rows)
 
 
 def test_difference_cover():
@@ -150,24 +160,39 @@ def test_difference_cover():
     assert differences == set(range(suffix_array.PERIOD))
 
 
-@pytest.mark.parametrize("block", [2 << 20, 700])
-def test_suffix_tree(spark, monkeypatch, block):
-    import bindery.llm.repeats as repeats
-
-    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
-    rows = corpus(90, 5)
-    seen, want = set(), {}
-    for d, t, _ in sorted(rows, key=lambda r: r[0]):
+def brute_words(rows):
+    """Removal by smaller ids and earlier places of one row; equal ids and missing ones are in no order."""
+    least, out = {}, []
+    for d, t, _ in rows:
         w = words(t)
-        drop = set()
+        for i in range(len(w) - 19 if d is not None else 0):
+            x = tuple(w[i : i + 20])
+            least[x] = min(least.get(x, d), d)
+    for d, t, _ in rows:
+        w, drop, seen = words(t), set(), set()
         for i in range(len(w) - 19):
-            window = tuple(w[i : i + 20])
-            if window in seen:
+            x = tuple(w[i : i + 20])
+            if x in seen or (d is not None and least[x] < d):
                 drop |= set(range(i, i + 20))
-            seen.add(window)
-        want[d] = (len(w), len(drop), " ".join(x for i, x in enumerate(w) if i not in drop))
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in suffix_tree.remove_repeats(frame(spark, rows)).collect()}
-    assert got == want
+            seen.add(x)
+        out.append((str(d), len(w), len(drop), " ".join(x for i, x in enumerate(w) if i not in drop)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "group"), [(2 << 20, 1 << 18), (700, 200), (100, 30)])
+def test_suffix_tree(spark, monkeypatch, block, group):
+    import bindery.llm.repeats as repeats
+
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix_tree, "GROUP_SUFFIXES", group)
+    rows = awkward()
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in suffix_tree.remove_repeats(frame(spark, rows)).collect())
+    assert got == brute_words(rows)
+
+
+def test_deep_nodes():
+    starts, ends = suffix_tree.deep_nodes(np.array([0, 20, 20, 3, 20, 5, 0, 20]), 20)
+    assert list(zip(starts, ends)) == [(0, 2), (3, 4), (6, 7)]
 
 
 def test_bpe_matches_the_library(spark):
