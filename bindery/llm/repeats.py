@@ -28,6 +28,10 @@ MOST_GROUPS = 1 << 17
 TASK_BYTES = 24 << 20
 #: Stands for the id of a document without one: it is in no order with others.
 NO_ID = np.int64(2**63 - 1)
+#: Bytes of text for which one group of names answers.
+NAMES_BYTES = 12 << 20
+U64 = np.uint64
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U64)
 BLOCKS = "block long, ids array<long>, ends array<long>, text binary, whole long, part int, head int, tail int, before long"
 
 #: From a long text: where a part with its overlap starts, where its own bytes start and end, where the overlap ends, and the symbols before.
@@ -190,6 +194,61 @@ def answers_of(table: pa.Table, phase: int) -> list[bytes]:
     return part["answer"].to_pylist()
 
 
+def bits_of(data: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(data), np.uint8), count=count).astype(bool)
+
+
+# names: numbers made from strings, to ask which of them other blocks hold
+
+
+def mix(*parts: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each row of equally long arrays of names."""
+    out = parts[0] * MULTIPLIERS[0]
+    for p in parts[1:]:
+        out ^= out >> U64(29)
+        out += p
+        out *= MULTIPLIERS[1]
+    out ^= out >> U64(32)
+    out *= MULTIPLIERS[2]
+    out ^= out >> U64(29)
+    return out
+
+
+class NameSpace:
+    """How names are cut and grouped for a corpus of ``total`` bytes.
+
+    One name in 2**16 or fewer agrees with another by chance.
+    """
+
+    def __init__(self, total: int):
+        self.bits = min(64, 26 + total.bit_length())
+        self.groups = min(MOST_GROUPS, max(1, -(-total // NAMES_BYTES)))
+
+    def group(self, names: np.ndarray) -> np.ndarray:
+        return ((names >> U64(self.bits - 24)) * U64(self.groups) >> U64(24)).astype(np.int64)
+
+    def parcels(self, block: int, names: np.ndarray) -> pa.RecordBatch:
+        """Distinct names in order, of ``bits`` bits."""
+        return parcels(block, self.group(names), names, lambda s: b"", lambda r: squeeze(np.diff(r, prepend=U64(0))))
+
+    def told(self, answers: pa.Table, phase: int, names: np.ndarray) -> np.ndarray:
+        """For the names sent: whether another block holds them."""
+        if not len(names):
+            return np.zeros(0, bool)
+        sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(self.group(names))) + 1, [len(names)]]))
+        return np.concatenate([bits_of(a, int(n)) for a, n in zip(answers_of(answers, phase), sizes)])
+
+
+def held_elsewhere(table: pa.Table) -> list[bytes]:
+    names = np.concatenate([np.cumsum(unsqueeze(d, U64), dtype=U64) for d in table["rows"].to_pylist()])
+    order = np.argsort(names, kind="stable")
+    same = names[order][1:] == names[order][:-1]
+    told = np.zeros(len(names), bool)
+    told[order[1:]] |= same
+    told[order[:-1]] |= same
+    return [zstandard.compress(np.packbits(b).tobytes()) for b in split(told, table["n"].to_pylist())]
+
+
 def each_block(blocks: DataFrame, work: Callable[[Block], pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,15 +37,19 @@ from .repeats import (
     NO_ID,
     PARCELS,
     Block,
+    NameSpace,
     answered,
     answers_of,
     arrow_schema,
+    bits_of,
     blocks_of,
     common_prefixes,
     covered,
     each_block,
     front_join,
+    held_elsewhere,
     least_ids,
+    mix,
     parcels,
     parts_joined,
     sort_columns,
@@ -61,22 +65,6 @@ WINDOW = 20
 #: Suffixes in a group, of 160 bytes each.
 GROUP_SUFFIXES = 1 << 18
 U64 = np.uint64
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U64)
-#: Bytes of text for which one group of names answers.
-NAMES_BYTES = 12 << 20
-
-
-def _mix(*parts: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each row of equally long arrays of names."""
-    out = parts[0] * MULTIPLIERS[0]
-    for p in parts[1:]:
-        out ^= out >> U64(29)
-        out += p
-        out *= MULTIPLIERS[1]
-    out ^= out >> U64(32)
-    out *= MULTIPLIERS[2]
-    out ^= out >> U64(29)
-    return out
 
 
 def _cut(text: bytes, most: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -118,11 +106,11 @@ class _Suffixes:
         """Short names of all windows."""
         if not len(self.at):
             return np.empty(0, U64)
-        two = _mix(self.one[:-1], self.one[1:])
-        four = _mix(two[:-2], two[2:])
-        eight = _mix(four[:-4], four[4:])
-        sixteen = _mix(eight[:-8], eight[8:])
-        return _mix(sixteen[: self.n - WINDOW + 1], four[16:])[self.at] >> U64(64 - bits)
+        two = mix(self.one[:-1], self.one[1:])
+        four = mix(two[:-2], two[2:])
+        eight = mix(four[:-4], four[4:])
+        sixteen = mix(eight[:-8], eight[8:])
+        return mix(sixteen[: self.n - WINDOW + 1], four[16:])[self.at] >> U64(64 - bits)
 
     def takes_part(self, at: np.ndarray) -> np.ndarray:
         """Places that places in other blocks may precede or follow."""
@@ -137,42 +125,22 @@ class _Suffixes:
 # 1. leaves above the depth
 
 
-def _send_names(block: Block, bits: int, groups: int) -> pa.RecordBatch:
+def _send_names(block: Block, space: NameSpace) -> pa.RecordBatch:
     suffixes = _Suffixes(block)
-    names = np.unique(suffixes.names(bits)[suffixes.takes_part(suffixes.at)])
-    grp = ((names >> U64(bits - 24)) * U64(groups) >> U64(24)).astype(np.int64)
-    return parcels(block.number, grp, names, lambda s: b"", lambda r: squeeze(np.diff(r, prepend=U64(0))))
-
-
-def _find_names(table: pa.Table) -> list[bytes]:
-    rows = [np.cumsum(unsqueeze(d, U64), dtype=U64) for d in table["rows"].to_pylist()]
-    names = np.concatenate(rows)
-    order = np.argsort(names, kind="stable")
-    same = names[order][1:] == names[order][:-1]
-    told = np.zeros(len(names), bool)
-    told[order[1:]] |= same
-    told[order[:-1]] |= same
-    return [zstandard.compress(np.packbits(b).tobytes()) for b in split(told, table["n"].to_pylist())]
-
-
-def _bits(data: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zstandard.decompress(data), np.uint8)).astype(bool)
+    return space.parcels(block.number, np.unique(suffixes.names(space.bits)[suffixes.takes_part(suffixes.at)]))
 
 
 KEPT = BLOCKS + ", places binary"
 
 
-def _keep_repeated(block: Block, answers: pa.Table, bits: int, groups: int) -> pa.RecordBatch:
+def _keep_repeated(block: Block, answers: pa.Table, space: NameSpace) -> pa.RecordBatch:
     """The block with the places of windows whose names occur elsewhere or twice here."""
     suffixes = _Suffixes(block)
-    names, which, times = np.unique(suffixes.names(bits), return_inverse=True, return_counts=True)
+    names, which, times = np.unique(suffixes.names(space.bits), return_inverse=True, return_counts=True)
     sent = np.zeros(len(names), bool)
     sent[which[suffixes.takes_part(suffixes.at)]] = True
-    grp = ((names[sent] >> U64(bits - 24)) * U64(groups) >> U64(24)).astype(np.int64)
-    sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)]])) if len(grp) else []
     told = times > 1
-    if len(grp):
-        told[sent] |= np.concatenate([_bits(a)[:n] for a, n in zip(answers_of(answers, 1), sizes)])
+    told[sent] |= space.told(answers, 1, names[sent])
     at = suffixes.at[told[which]]
     row = block.row | {"places": squeeze(np.diff(at, prepend=0).astype(np.uint32))}
     schema = arrow_schema(KEPT)
@@ -356,7 +324,7 @@ def _remove(block: Block, answers: pa.Table, trie: _Trie) -> pa.RecordBatch:
     if len(kept.sent):
         groups = kept.groups[kept.sent]
         sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]]))
-        later[kept.sent] = np.concatenate([_bits(a)[:n] for a, n in zip(answers_of(answers, 2), sizes)])
+        later[kept.sent] = np.concatenate([bits_of(a, n) for a, n in zip(answers_of(answers, 2), sizes)])
     known = kept.ids != NO_ID
     gone = later[kept.which] & (known | bool(block.whole)) | known & (kept.ids > kept.least[kept.which])
     # places of one row lie in order: all but the first of a document start later
@@ -390,10 +358,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     blocks = blocks_of(docs, id_col, text_col, _cut)
     total = text_bytes(blocks)
-    tasks, groups = task_count(total), min(MOST_GROUPS, max(1, -(-total // NAMES_BYTES)))
-    bits = min(64, 26 + total.bit_length())  # at most one name in 2**16 agrees by chance
-    told = answered(each_block(blocks, lambda b: _send_names(b, bits, groups), PARCELS), tasks, 1, _find_names, "st-names")
-    kept = written(with_answers(blocks, told, tasks, lambda b, a: _keep_repeated(b, a, bits, groups), KEPT), "st-kept")
+    tasks, space = task_count(total), NameSpace(total)
+    told = answered(each_block(blocks, lambda b: _send_names(b, space), PARCELS), tasks, 1, held_elsewhere, "st-names")
+    kept = written(with_answers(blocks, told, tasks, lambda b, a: _keep_repeated(b, a, space), KEPT), "st-kept")
     trie = _partition(kept)
     told = answered(each_block(kept, lambda b: _send_suffixes(b, trie), PARCELS), tasks, 2, _subtree, "st-subtrees")
     return parts_joined(with_answers(kept, told, tasks, lambda b, a: _remove(b, a, trie), PARTS), blocks, tasks, _join)
