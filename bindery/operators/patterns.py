@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.catalog import RDF_TYPE, Catalog, MappingError, Scope, in_graph
+from ..sources.catalog import RDF_TYPE, Catalog, ClassMap, EdgeMap, MappingError, Scope, in_graph
 from .solutions import Solutions, Var
 
 
@@ -23,6 +23,10 @@ class Graph:
     def __init__(self, catalog: Catalog, graph: Scope = None, tenant: str | None = None):
         self.catalog, self.graph, self.tenant = catalog, graph, tenant
 
+    def _solutions(self, m: ClassMap | EdgeMap, df: DataFrame, vars_: Mapping[str, Var]) -> Solutions:
+        """Solutions that know whose rows they are."""
+        return Solutions(df, vars_, frozenset({(m.tenant_entity, self.tenant)}) if m.tenant_field else frozenset())
+
     # -- tables as classes
 
     def star(self, subject: str, cls: str, props: Mapping[str, object] | None = None, optional: Mapping[str, str] | None = None, graph_var: str | None = None) -> Solutions:
@@ -35,7 +39,9 @@ class Graph:
         """
         m = self.catalog.class_map(cls)
         if m.triples_of:
-            return self._triple_star(subject, m.table, m.triples_of, props or {}, optional or {})
+            if m.tenant_field:
+                raise MappingError(f"{cls}: a triple table has no column of tenants")
+            return self._triple_star(subject, m, props or {}, optional or {}, graph_var)
         df = self.catalog.rows(cls, self.graph, self.tenant)
         out: dict[str, tuple[Column, Var]] = {}
         if subject.startswith("?"):
@@ -74,10 +80,25 @@ class Graph:
             prefix = self.catalog.class_map(p.target).prefix if p and p.target else None
             out[want[1:]] = (F.col(p.column) if p else F.lit(None).cast("string"), Var(prefix, True))
         if graph_var:
-            df = df.where(F.col(m.graph_field).isNotNull())
-            out[graph_var] = (F.col(m.graph_field), Var(""))
+            named = F.col(m.graph_field) if m.graph_field else F.lit(None).cast("string")  # else all is in the default graph
+            df = df.where(named.isNotNull())
+            out[graph_var] = (named, Var(""))
         df = df.select(*(c.alias(n) for n, (c, _) in out.items())) if out else df.select(F.lit(1).alias("_row"))
-        return Solutions(df, {n: v for n, (_, v) in out.items()} or {"_row": Var()})
+        return self._solutions(m, df, {n: v for n, (_, v) in out.items()} or {"_row": Var()})
+
+    def anything(self, subject: str, props: Mapping[str, object] | None = None, optional: Mapping[str, str] | None = None) -> Solutions:
+        """Triples of one subject of whatever class: the union over all mapped classes that
+        declare the required properties, without repeats where classes share a table."""
+        stars, seen = [], set()
+        for name, m in self.catalog.classes.items():
+            place = (m.table, m.key, m.prefix, m.type_field, m.type_value, m.triples_of)
+            declared = m.triples_of or all(p in m.props for p in props or {})
+            if declared and place not in seen and (m.key is not None or not subject.startswith("?")):
+                seen.add(place)
+                stars.append(self.star(subject, name, props, optional))
+        if not stars:
+            raise MappingError(f"no mapped class has {sorted(props or {})}")
+        return reduce(Solutions.union, stars).distinct() if len(stars) > 1 else stars[0]
 
     def has_iri(self, cls: str, iri: str, column: str | None = None) -> Column:
         """A constant IRI as a filter on the key column, in the key's own type."""
@@ -99,16 +120,22 @@ class Graph:
         if subject == target:
             df = df.where(F.col(m.from_field) == F.col(m.to_field))
         df = df.select(*(F.col(c).alias(n) for n, (c, _) in out.items())) if out else df.select(F.lit(1).alias("_row"))
-        return Solutions(df, {n: v for n, (_, v) in out.items()} or {"_row": Var()})
+        return self._solutions(m, df, {n: v for n, (_, v) in out.items()} or {"_row": Var()})
 
     # -- triple tables
 
-    def triples(self, table: str, subject: str = "?s", predicate: str = "?p", object_: object = "?o") -> Solutions:
+    def triples(self, table: str, subject: str = "?s", predicate: str = "?p", object_: object = "?o", graph_field: str | None = None, graph_var: str | None = None) -> Solutions:
         """One triple pattern. An object variable takes the IRI or else the value; an IRI
-        constant matches either column, a literal the value only."""
+        constant matches either column, a literal the value only.
+
+        ``graph_field`` names the column of graphs (``_graph`` if there is such
+        a one); without it all triples are in the default graph.
+        """
         df = self.catalog.table(table)
-        if self.graph is not None and "_graph" in df.columns:
-            df = df.where(in_graph(F.col("_graph"), self.graph))
+        column = graph_field or ("_graph" if "_graph" in df.columns else None)
+        named = F.col(column) if column else F.lit(None).cast("string")
+        if self.graph is not None:
+            df = df.where(in_graph(named, self.graph))
         out: dict[str, Column] = {}
         places = {"s": (subject, F.col("subject_uri")), "p": (predicate, F.col("predicate")), "o": (object_, F.coalesce("object_uri", "object_value"))}
         for place, (want, column) in places.items():
@@ -122,14 +149,17 @@ class Graph:
                 df = df.where((F.col("object_uri") == want) | (F.col("object_value") == want))
             else:
                 df = df.where(F.col("object_value") == F.lit(str(want)))
+        if graph_var:
+            df = df.where(named.isNotNull())
+            out[graph_var] = named
         df = df.select(*(c.alias(n) for n, c in out.items())) if out else df.select(F.lit(1).alias("_row"))
-        return Solutions(df, {n: Var("" if n == subject[1:] or n == predicate[1:] else None) for n in out} or {"_row": Var()})
+        return Solutions(df, {n: Var("" if n in (subject[1:], predicate[1:], graph_var) else None) for n in out} or {"_row": Var()})
 
-    def _triple_star(self, subject: str, table: str, cls: str, props: Mapping[str, object], optional: Mapping[str, str]) -> Solutions:
-        parts = [self.triples(table, subject, RDF_TYPE, cls)] + [self.triples(table, subject, p, o) for p, o in props.items()]
-        out = reduce(Solutions.join, parts)
+    def _triple_star(self, subject: str, m: ClassMap, props: Mapping[str, object], optional: Mapping[str, str], graph_var: str | None = None) -> Solutions:
+        one = lambda p, o: self.triples(m.table, subject, p, o, m.graph_field, graph_var)
+        out = reduce(Solutions.join, [one(RDF_TYPE, m.triples_of), *(one(p, o) for p, o in props.items())])
         for p, o in optional.items():
-            out = out.optional(self.triples(table, subject, p, o))
+            out = out.optional(one(p, o))
         return out
 
     # -- variable predicates
@@ -141,6 +171,8 @@ class Graph:
         ``only`` narrows ``?p`` before anything is read.
         """
         m = self.catalog.class_map(cls)
+        if m.triples_of:
+            return self._all_of_triples(cls, m, only)
         df = self.catalog.rows(cls, self.graph, self.tenant)
         props = {n: p for n, p in m.props.items() if only is None or n in only}
         prefix = lambda target: self.catalog.class_map(target).prefix if target in self.catalog.classes else None
@@ -160,7 +192,20 @@ class Graph:
         if not arms:
             raise MappingError(f"{cls} has no such properties")
         long = reduce(DataFrame.unionByName, arms).where("s IS NOT NULL AND o IS NOT NULL")
-        return Solutions(long, {"s": Var(m.prefix), "p": Var(""), "o": Var()})
+        return self._solutions(m, long, {"s": Var(m.prefix), "p": Var(""), "o": Var()})
+
+    def _all_of_triples(self, cls: str, m: ClassMap, only: tuple[str, ...] | None) -> Solutions:
+        """All triples whose subjects a triple table calls members of the class."""
+        members = self.star("?s", cls)
+        found = self.triples(m.table, "?s", "?p", "?o", m.graph_field)
+        if only is not None:
+            found = found.filter(F.col("p").isin(*only))
+        return found.exists(members)
+
+    def describe_all(self, resources: Solutions, classes: Mapping[str, str], only: tuple[str, ...] | None = None) -> DataFrame:
+        """``DESCRIBE *``: the set of triples about what the variables bind, each of the class given for it."""
+        parts = [self.describe(cls, resources, var, only) for var, cls in classes.items()]
+        return reduce(DataFrame.unionByName, parts).distinct()
 
     def describe(self, cls: str, resources: Solutions | list[str], var: str = "s", only: tuple[str, ...] | None = None) -> DataFrame:
         """The set of triples about the resources, of the predicates ``only`` if given."""
@@ -171,7 +216,8 @@ class Graph:
             keys = [F.lit(r.removeprefix(m.prefix)).try_cast(kind) for r in resources if r.startswith(m.prefix)]
             found = triples.filter(reduce(lambda a, b: a | b, (F.col("s") == k for k in keys), F.lit(False)))
         else:
-            found = triples.exists(Solutions(resources.df.select(F.col(var).alias("s")), {"s": resources.vars[var]}))
+            bound = resources.df.where(F.col(var).isNotNull()).select(F.col(var).alias("s"))
+            found = triples.exists(resources._new(bound, {"s": Var(resources.vars[var].prefix)}))
         return found.construct(("?s", "?p", "?o"))
 
 

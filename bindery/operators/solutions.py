@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import sample
+from ..sources.catalog import MappingError
 
 
 @dataclass(frozen=True)
@@ -34,11 +36,26 @@ class Var:
 
 
 class Solutions:
-    """Immutable; every method returns new solutions and runs nothing."""
+    """Immutable; every method returns new solutions and runs nothing.
 
-    def __init__(self, df: DataFrame, vars_: Mapping[str, Var]):
+    ``tenants`` are the pairs of tenant root (None if none is named) and tenant
+    that the rows were read for; solutions of two roots or tenants do not meet.
+    """
+
+    def __init__(self, df: DataFrame, vars_: Mapping[str, Var], tenants: frozenset[tuple[str | None, str]] = frozenset()):
         self.df = df.select(*vars_)
         self.vars = dict(vars_)
+        self.tenants = tenants
+
+    def _new(self, df: DataFrame, vars_: Mapping[str, Var]) -> Solutions:
+        return Solutions(df, vars_, self.tenants)
+
+    def _beside(self, other: Solutions) -> Solutions:
+        """These solutions with the tenants of both sides, which must agree."""
+        both = self.tenants | other.tenants
+        if len({t for _, t in both}) > 1 or len({r for r, _ in both if r is not None}) > 1:
+            raise MappingError(f"rows of different tenants do not meet: {sorted(map(str, both))}")
+        return Solutions(self.df, self.vars, both)
 
     # -- columns
 
@@ -57,36 +74,41 @@ class Solutions:
     def _whole(self, *names: str) -> Solutions:
         """Turn template keys into whole IRIs."""
         df = self.df.withColumns({n: self[n] for n in names if self.vars[n].prefix})
-        return Solutions(df, {n: replace(v, prefix="") if n in names and v.prefix else v for n, v in self.vars.items()})
+        return self._new(df, {n: replace(v, prefix="") if n in names and v.prefix else v for n, v in self.vars.items()})
 
     def _aligned(self, other: Solutions) -> tuple[Solutions, Solutions, list[str], bool]:
-        """Both sides with like columns for shared variables; whether they can ever be equal."""
+        """Both sides with like columns for shared variables; whether they can never be equal."""
         shared = [v for v in self.vars if v in other.vars]
         pairs = {v: (self.vars[v].prefix, other.vars[v].prefix) for v in shared}
-        clash = any(a != b and a and b for a, b in pairs.values())
-        mixed = [v for v, (a, b) in pairs.items() if a != b and not (a and b)]
-        left, right = self._whole(*mixed), other._whole(*mixed)
+        loose = self._loose(other)
+        clash = any(a != b and a and b and v not in loose for v, (a, b) in pairs.items())
+        mixed = [v for v, (a, b) in pairs.items() if a != b and (v in loose or not (a and b))]
+        left, right = self._beside(other)._whole(*mixed), other._whole(*mixed)
         return left, right, shared, clash
 
+    def _loose(self, other: Solutions) -> list[str]:
+        """Shared variables that a side may leave unbound."""
+        return [v for v in self.vars if v in other.vars and (self.vars[v].unbound or other.vars[v].unbound)]
+
     # -- filters and projections
 
     def filter(self, condition: Column | Callable[[Solutions], Column]) -> Solutions:
-        return Solutions(self.df.where(condition(self) if callable(condition) else condition), self.vars)
+        return self._new(self.df.where(condition(self) if callable(condition) else condition), self.vars)
 
     def bind(self, name: str, value: Column | Callable[[Solutions], Column], unbound: bool = True) -> Solutions:
         if name in self.vars:
             raise ValueError(f"?{name} is bound already")
         column = value(self) if callable(value) else value
-        return Solutions(self.df.withColumn(name, column), self.vars | {name: Var(unbound=unbound)})
+        return self._new(self.df.withColumn(name, column), self.vars | {name: Var(unbound=unbound)})
 
     def project(self, *names: str) -> Solutions:
         """Variables in order; one that is nowhere bound is null."""
         missing = [n for n in names if n not in self.vars]
         df = self.df.withColumns({n: F.lit(None).cast("string") for n in missing})
-        return Solutions(df, {n: self.vars.get(n, Var(unbound=True)) for n in names})
+        return self._new(df, {n: self.vars.get(n, Var(unbound=True)) for n in names})
 
     def distinct(self) -> Solutions:
-        return Solutions(self.df.distinct(), self.vars)
+        return self._new(self.df.distinct(), self.vars)
 
     def reduced(self) -> Solutions:
         """REDUCED permits duplicates; they stay."""
@@ -97,124 +119,139 @@ class Solutions:
 
     def order_by(self, *keys: Column) -> Solutions:
         """Unbound sorts first: pass ``asc_nulls_first`` or ``desc_nulls_last``."""
-        return Solutions(self.df.orderBy(*keys), self.vars)
+        return self._new(self.df.orderBy(*keys), self.vars)
 
     def slice(self, limit: int | None = None, offset: int = 0) -> Solutions:
         df = self.df.offset(offset) if offset else self.df
-        return Solutions(df if limit is None else df.limit(limit), self.vars)
+        return self._new(df if limit is None else df.limit(limit), self.vars)
 
     # -- joins
 
-    def _condition(self, right: Solutions, shared: Sequence[str], r: Callable[[str], Column]) -> Column | None:
-        """Compatibility: plain equality unless a side may be unbound."""
-        parts = []
-        for v in shared:
-            a, b = F.col(f"l.{v}"), r(v)
-            same = a == b
-            if self.vars[v].unbound:
-                same = same | a.isNull()
-            if right.vars[v].unbound:
-                same = same | b.isNull()
-            parts.append(same)
-        return reduce(lambda x, y: x & y, parts) if parts else None
-
-    def _joined(self, other: Solutions, how: str, on: Callable[[Solutions, Solutions], Column] | None = None) -> Solutions:
-        left, right, shared, clash = self._aligned(other)
-        more = [v for v in right.vars if v not in shared]
-        new = {v: replace(x, unbound=x.unbound or how == "left") for v, x in right.vars.items() if v in more}
-        if clash and how == "inner":
-            right = right.filter(F.lit(False))
-        elif clash:
-            types = dict(right.df.dtypes)
-            df = left.df.withColumns({v: F.lit(None).cast(types[v]) for v in more})
-            return Solutions(df, left.vars | new)
+    # Compatible solutions agree where both are bound. Where variables may be
+    # unbound, each side is parted by which of them are bound; two parts meet
+    # by equality of what both have, so every part with something in common is
+    # an equi-join, and only the part with nothing in common meets all rows.
+
+    def _parts(self, loose: Sequence[str]) -> list[tuple[set[str], Solutions]]:
+        """The rows by which of the loose variables they bind."""
+        open_ = [v for v in loose if self.vars[v].unbound]
+        if not open_:
+            return [(set(loose), self)]
+        out = []
+        for bound in (set(c) for n in range(len(open_), -1, -1) for c in combinations(open_, n)):
+            where = reduce(lambda a, b: a & b, (F.col(v).isNotNull() if v in bound else F.col(v).isNull() for v in open_))
+            vars_ = self.vars | {v: replace(self.vars[v], unbound=v not in bound) for v in open_}
+            out.append((bound | (set(loose) - set(open_)), self._new(self.df.where(where), vars_)))
+        return out
+
+    def _met(self, right: Solutions, shared: Sequence[str], keys: Sequence[str], how: str, on: Callable[[Solutions, Solutions], Column] | None) -> DataFrame:
+        """Both sides by equality of ``keys``; shared variables of the right are called ``_r_...``."""
         r_df = right.df.withColumnsRenamed({v: f"_r_{v}" for v in shared})
-        condition = left._condition(right, shared, lambda v: F.col(f"_r_{v}"))
+        parts = [F.col(f"l.{v}") == F.col(f"_r_{v}") for v in keys]
         if on is not None:
-            extra = on(left, right)
-            condition = extra if condition is None else condition & extra
-        l_df = left.df.alias("l")
-        if condition is None and how == "inner":
-            joined = l_df.crossJoin(r_df)
-        else:
-            joined = l_df.join(r_df, F.lit(True) if condition is None else condition, how)
-        merged = [(F.coalesce(f"l.{v}", f"_r_{v}") if left.vars[v].unbound and v in shared else F.col(f"l.{v}")).alias(v) for v in left.vars]
-        both = {v: replace(x, unbound=x.unbound and (how == "left" or v not in shared or right.vars[v].unbound)) for v, x in left.vars.items()}
-        return Solutions(joined.select(*merged, *more), both | new)
+            parts.append(on(self, right))
+        if not parts and how == "inner":
+            return self.df.alias("l").crossJoin(r_df)
+        if not parts:  # any row of the right will do
+            r_df = r_df.limit(1)
+        return self.df.alias("l").join(r_df, reduce(lambda x, y: x & y, parts) if parts else F.lit(True), how)
+
+    def _inner(self, right: Solutions, shared: Sequence[str], keys: Sequence[str], on: Callable[[Solutions, Solutions], Column] | None, how: str = "inner") -> Solutions:
+        more = [v for v in right.vars if v not in shared]
+        joined = self._met(right, shared, keys, how, on)
+        merged = [(F.coalesce(f"l.{v}", f"_r_{v}") if self.vars[v].unbound and v in shared else F.col(f"l.{v}")).alias(v) for v in self.vars]
+        both = {v: replace(x, unbound=x.unbound and (v not in shared or right.vars[v].unbound)) for v, x in self.vars.items()}
+        return self._new(joined.select(*merged, *more), both | {v: replace(right.vars[v], unbound=right.vars[v].unbound or how == "left") for v in more})
 
-    def join(self, other: Solutions) -> Solutions:
-        """Compatible solutions together; without shared variables all pairs.
+    def _joined(self, other: Solutions, on: Callable[[Solutions, Solutions], Column] | None = None) -> Solutions:
+        left, right, shared, clash = self._aligned(other)
+        if clash:
+            right = right.filter(F.lit(False))
+        loose = left._loose(right)
+        sure = [v for v in shared if v not in loose]
+        if not loose:
+            return left._inner(right, shared, sure, on)
+        met = [a._inner(b, shared, sure + [v for v in loose if v in x and v in y], on) for x, a in left._parts(loose) for y, b in right._parts(loose)]
+        return reduce(Solutions.union, met)
 
-        When the only shared variable may be unbound, the bound rows meet by
-        equality and only the unbound ones meet all.
-        """
-        loose = [v for v in self.vars if v in other.vars and (self.vars[v].unbound or other.vars[v].unbound)]
-        shared = [v for v in self.vars if v in other.vars]
-        if len(shared) == 1 and loose:
-            v = loose[0]
-            sides = []
-            for a_bound, b_bound in ((True, True), (True, False), (False, True), (False, False)):
-                if (a_bound or self.vars[v].unbound) and (b_bound or other.vars[v].unbound):
-                    a, b = self._only(v, a_bound), other._only(v, b_bound)
-                    sides.append(a._joined(b, "inner"))
-            return reduce(Solutions.union, sides)
-        return self._joined(other, "inner")
-
-    def _only(self, v: str, bound: bool) -> Solutions:
-        df = self.df.where(F.col(v).isNotNull() if bound else F.col(v).isNull())
-        return Solutions(df, self.vars | {v: replace(self.vars[v], unbound=not bound)})
+    def join(self, other: Solutions) -> Solutions:
+        """Compatible solutions together; without shared variables all pairs."""
+        return self._joined(other)
 
     def theta_join(self, other: Solutions, on: Callable[[Solutions, Solutions], Column]) -> Solutions:
-        return self._joined(other, "inner", on)
+        return self._joined(other, on)
+
+    def _probed(self, right: Solutions, shared: Sequence[str], want: bool, on: Callable[[Solutions, Solutions], Column] | None = None, overlap: bool = False) -> Solutions:
+        """The rows that do (or do not) meet a compatible row of the right, with ``overlap`` one that shares a bound variable."""
+        loose = self._loose(right)
+        sure = [v for v in shared if v not in loose]
+        out = []
+        for x, rest in self._parts(loose):
+            for y, b in right._parts(loose):
+                keys = sure + [v for v in loose if v in x and v in y]
+                if overlap and not keys:
+                    continue
+                if want:
+                    out.append(rest._new(rest._met(b, shared, keys, "left_semi", on), rest.vars))
+                rest = rest._new(rest._met(b, shared, keys, "left_anti", on), rest.vars)
+            if not want:
+                out.append(rest)
+        return reduce(Solutions.union, out) if out else self.filter(F.lit(False))
 
     def optional(self, other: Solutions, on: Callable[[Solutions, Solutions], Column] | None = None) -> Solutions:
         """Left join; a filter of the optional part belongs into ``on``, which names columns of both sides."""
-        return self._joined(other, "left", on)
+        left, right, shared, clash = self._aligned(other)
+        more = [v for v in right.vars if v not in shared]
+        if not clash and not left._loose(right):
+            return left._inner(right, shared, shared, on, "left") if shared or on is not None else left._crossed(right)
+        alone = left if clash else left._probed(right, shared, False, on)
+        types = dict(right.df.dtypes)
+        df = alone.df.withColumns({v: F.lit(None).cast(types[v]) for v in more})
+        alone = left._new(df, alone.vars | {v: replace(right.vars[v], unbound=True) for v in more})
+        return alone if clash else left._joined(right, on).union(alone)
+
+    def _crossed(self, right: Solutions) -> Solutions:
+        """An optional part that shares nothing: all pairs, or the left rows alone if it is empty."""
+        joined = self.df.join(right.df, F.lit(True), "left")
+        return self._new(joined, self.vars | {v: replace(x, unbound=True) for v, x in right.vars.items()})
 
     def minus(self, other: Solutions) -> Solutions:
         """Without the solutions that share a bound variable with, and are compatible to, one of ``other``."""
         left, right, shared, clash = self._aligned(other)
         if not shared or clash:
             return self
-        r_df = right.df.select(*(F.col(v).alias(f"_r_{v}") for v in shared)).distinct()
-        condition = left._condition(right, shared, lambda v: F.col(f"_r_{v}"))
-        if all(left.vars[v].unbound or right.vars[v].unbound for v in shared):
-            condition &= reduce(lambda x, y: x | y, (F.col(f"l.{v}").eqNullSafe(F.col(f"_r_{v}")) & F.col(f"_r_{v}").isNotNull() for v in shared))
-        return Solutions(left.df.alias("l").join(r_df, condition, "left_anti"), left.vars)
+        right = right._new(right.df.select(*shared).distinct(), {v: right.vars[v] for v in shared})
+        return left._probed(right, shared, False, overlap=True)
 
-    def _probe(self, other: Solutions, how: str, on: Callable[[Solutions, Solutions], Column] | None) -> Solutions:
+    def _probe(self, other: Solutions, want: bool, on: Callable[[Solutions, Solutions], Column] | None) -> Solutions:
         left, right, shared, clash = self._aligned(other)
         if clash:
-            return left.filter(F.lit(how == "left_anti"))
-        r_df = right.df.withColumnsRenamed({v: f"_r_{v}" for v in shared})
-        condition = left._condition(right, shared, lambda v: F.col(f"_r_{v}"))
-        if on is not None:
-            condition = on(left, right) if condition is None else condition & on(left, right)
-        if condition is None:
-            r_df, condition = r_df.limit(1), F.lit(True)
-        return Solutions(left.df.alias("l").join(r_df, condition, how), left.vars)
+            return left.filter(F.lit(not want))
+        return left._probed(right, shared, want, on)
 
     def exists(self, other: Solutions, on: Callable[[Solutions, Solutions], Column] | None = None) -> Solutions:
-        return self._probe(other, "left_semi", on)
+        return self._probe(other, True, on)
 
     def not_exists(self, other: Solutions, on: Callable[[Solutions, Solutions], Column] | None = None) -> Solutions:
-        return self._probe(other, "left_anti", on)
+        return self._probe(other, False, on)
 
     def exists_flag(self, name: str, other: Solutions) -> Solutions:
         """EXISTS as a variable, for use inside other expressions; shared variables must be bound."""
         left, right, shared, clash = self._aligned(other)
+        if any(left.vars[v].unbound or right.vars[v].unbound for v in shared):
+            raise ValueError("shared variables must be bound")
         if clash:
             return left.bind(name, F.lit(False), unbound=False)
         keys = right.df.select(*shared).distinct().withColumn(name, F.lit(True))
         df = left.df.join(keys, shared, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-        return Solutions(df, left.vars | {name: Var()})
+        return left._new(df, left.vars | {name: Var()})
 
     # -- sets
 
     def union(self, other: Solutions) -> Solutions:
         """Bag union; variables of one side only are unbound in the other's rows."""
         mixed = [v for v, x in self.vars.items() if v in other.vars and x.prefix != other.vars[v].prefix]
-        left, right = self._whole(*mixed), other._whole(*mixed)
+        left, right = self._beside(other)._whole(*mixed), other._whole(*mixed)
         names = [*left.vars, *(v for v in right.vars if v not in left.vars)]
         vars_ = {}
         for v in names:
@@ -224,7 +261,7 @@ class Solutions:
         types = [dict(left.df.dtypes), dict(right.df.dtypes)]
         clash = [v for v in names if v in types[0] and v in types[1] and "string" in (types[0][v], types[1][v]) and types[0][v] != types[1][v]]
         dfs = [s.df.withColumns({v: F.col(v).cast("string") for v in clash}) for s in (left, right)]
-        return Solutions(dfs[0].unionByName(dfs[1], allowMissingColumns=True), vars_)
+        return left._new(dfs[0].unionByName(dfs[1], allowMissingColumns=True), vars_)
 
     # -- groups and forms
 
@@ -238,7 +275,7 @@ class Solutions:
         if empty_row and keys:
             one = self.df.sparkSession.range(1).withColumn("_there", F.lit(True))
             df = one.join(df, F.col("_there"), "left").select(*keys, *aggregates)
-        return Solutions(df, {k: self.vars[k] for k in keys} | {n: Var(unbound=True) for n in aggregates})
+        return self._new(df, {k: self.vars[k] for k in keys} | {n: Var(unbound=True) for n in aggregates})
 
     def sample(self, keys: Sequence[str], name: str) -> Solutions:
         return self.group(keys, {name: sample(self[name])})

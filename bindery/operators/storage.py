@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back; this cuts lineage."""
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back; this cuts lineage.
+
+    Only a local session, as in tests, may go without that setting.
+    """
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:  # as in tests
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{where.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -233,14 +233,15 @@ def strbefore_after(g: Graph):
     return g.star("?p", "Part", {"name": "?name"}).df.select(F.col("p").alias("k"), S.strbefore(x, " ").alias("b"), S.strafter(x, "#").alias("a"))
 
 
-@query("SELECT doc_id AS k, url_encode(substr(text, 1, 40)) AS u FROM documents")
+@query("SELECT doc_id AS k, url_encode(text) AS u FROM documents")
 def encode_uri(g: Graph):
-    return g.star("?d", "Document", {"text": "?t"}).df.select(F.col("d").alias("k"), S.encode_for_uri(F.substring("t", 1, 40)).alias("u"))
+    return g.star("?d", "Document", {"text": "?t"}).df.select(F.col("d").alias("k"), S.encode_for_uri(F.col("t")).alias("u"))
 
 
-@query("SELECT doc_id AS k, url_encode(text) AS u FROM documents")
+@query("SELECT doc_id AS k, url_encode(text) AS u, sha256(text) AS s FROM documents")
 def encode_uri_whole(g: Graph):
-    return g.star("?d", "Document", {"text": "?t"}).df.select(F.col("d").alias("k"), S.encode_for_uri(F.col("t")).alias("u"))
+    x = F.col("t")
+    return g.star("?d", "Document", {"text": "?t"}).df.select(F.col("d").alias("k"), S.encode_for_uri(x).alias("u"), F.sha2(x, 256).alias("s"))
 
 
 @query("SELECT c_custkey AS k, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s256 FROM customer")
@@ -266,7 +267,7 @@ def tz_timezone(g: Graph):
 @query("SELECT s_suppkey AS k, abs(s_acctbal) AS a, CAST(ceil(s_acctbal) AS BIGINT) AS c, CAST(floor(s_acctbal) AS BIGINT) AS f, CAST(floor(s_acctbal + 0.5) AS BIGINT) AS r FROM supplier")
 def numeric_rounding(g: Graph):
     x = F.col("b")
-    return g.star("?s", "Supplier", {"balance": "?b"}).df.select(F.col("s").alias("k"), F.abs(x).alias("a"), F.ceil(x).alias("c"), F.floor(x).alias("f"), N.round_half_up(x).alias("r"))
+    return g.star("?s", "Supplier", {"balance": "?b"}).df.select(F.col("s").alias("k"), F.abs(x).alias("a"), F.ceil(x).alias("c"), F.floor(x).alias("f"), N.round_half_up(x).cast("bigint").alias("r"))
 
 
 @query("SELECT s_suppkey AS k, CAST(trunc(s_acctbal) AS BIGINT) AS i, TRY_CAST(s_name AS DOUBLE) AS d, CAST(NULL AS BIGINT) AS n FROM supplier")
@@ -421,6 +422,20 @@ def minus_optional(g: Graph):
     return g.star("?d", "Document", {"lang": "?lang"}).minus(right).df.select(F.col("d").alias("k"))
 
 
+@query(
+    "WITH l AS (SELECT c_custkey AS c, c_name AS name, CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS a, CASE WHEN c_acctbal < 8000 THEN c_nationkey END AS b FROM customer),"
+    " r AS (SELECT o_custkey AS c, CASE WHEN o_orderstatus = 'O' THEN 'BUILDING' END AS a, CASE WHEN o_orderstatus = 'F' THEN 7 END AS b, o_totalprice AS total FROM orders)"
+    " SELECT l.name, coalesce(l.a, r.a) AS a, coalesce(l.b, r.b) AS b, r.total FROM l LEFT JOIN r ON l.c = r.c AND (l.a = r.a OR l.a IS NULL OR r.a IS NULL) AND (l.b = r.b OR l.b IS NULL OR r.b IS NULL)"
+)
+def optional_two_unbound(g: Graph):
+    """Two of three shared variables may be unbound on either side."""
+    left = g.star("?c", "Customer", {"name": "?name", "balance": "?x", "segment": "?s", "nation": "?n"})
+    left = left.bind("a", F.when(F.col("x") > 5000, F.col("s"))).bind("b", F.when(F.col("x") < 8000, F.col("n"))).project("c", "name", "a", "b")
+    right = g.star("?_o", "Order", {"customer": "?c", "status": "?t", "total": "?total"})
+    right = right.bind("a", F.when(F.col("t") == "O", F.lit("BUILDING"))).bind("b", F.when(F.col("t") == "F", F.lit(7))).project("c", "a", "b", "total")
+    return left.optional(right).project("name", "a", "b", "total")
+
+
 @query("SELECT c_name AS name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def values_single(g: Graph):
     spark = g.catalog.table("region").sparkSession
@@ -512,7 +527,23 @@ def path_negated(g: Graph):
 
 @query("SELECT count(*) > 0 AS answer FROM part WHERE p_partkey = 123 AND p_partkey // 100 = 1")
 def path_const_ends(g: Graph):
-    return P.hits(P.one_or_more(_part_of(g)), 123, 1).ask()
+    return P.connects(_part_of(g), 123, 1).ask()
+
+
+@query("WITH RECURSIVE t(y) AS (SELECT 123 // 10 UNION SELECT y // 10 FROM t WHERE y // 10 > 0) SELECT 'EX:part/' || 123 AS x, 'EX:part/' || y AS y FROM t WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = 123)")
+def path_from_const(g: Graph):
+    """``<part/123> partOf+ ?y``: only what the constant reaches is read."""
+    path = _part_of(g)
+    return P.one_or_more(path, starts=path.df.where("x = 123").select("x"))
+
+
+@query(
+    "SELECT 'EX:nation/' || n_nationkey AS x, 'EX:region/' || n_regionkey AS y FROM nation"
+    " UNION ALL SELECT 'EX:region/' || n_regionkey, 'EX:nation/' || n_nationkey FROM nation UNION ALL SELECT n_name, 'EX:nation/' || n_nationkey FROM nation"
+)
+def path_negated_edges(g: Graph):
+    """``!(name|next|^next|^region)`` over properties and edges of nations."""
+    return P.negated(g.all_triples("Nation", ("name", "region", "inRegion", "next")), "name", "next", "region", inverse_of=("next", "region"))
 
 
 @query("SELECT 'EX:nation/' || a.n_nationkey AS x, 'EX:nation/' || b.n_nationkey AS y FROM nation a, nation b")
@@ -654,3 +685,99 @@ def describe_iri(g: Graph):
 @query("SELECT 'EX:nation/' || n_nationkey AS subject, 'name' AS predicate, n_name AS object FROM nation WHERE n_regionkey = 1 UNION SELECT 'EX:nation/' || n_nationkey, 'region', 'EX:region/' || n_regionkey FROM nation WHERE n_regionkey = 1")
 def describe_var(g: Graph):
     return g.describe("Nation", g.star("?n", "Nation", {"region": EX + "region/1"}), "n", ("name", "region"))
+
+
+# -- scopes of edges and triple tables, untyped subjects
+
+
+@query("SELECT 'EX:order/' || o_orderkey AS o, 'EX:customer/' || o_custkey AS c FROM orders WHERE o_orderpriority = '1-URGENT'", tenant="1-URGENT")
+def tenant_edge(g: Graph):
+    return g.edge("?o", "placedBy", "?c")
+
+
+@query("SELECT 'EX:nation/' || n_nationkey AS n, n_name AS name FROM nation WHERE n_regionkey = 1", graph=EX + "graph/1")
+def graph_rpt(g: Graph):
+    return g.star("?n", "GraphRptNation", {EX + "name": "?name"})
+
+
+@query("SELECT 'EX:graph/' || n_regionkey AS g, count(*) AS n FROM nation GROUP BY n_regionkey")
+def graph_rpt_var(g: Graph):
+    return g.star("?n", "GraphRptNation", {EX + "name": "?name"}, graph_var="g").group(["g"], {"n": F.count("*")})
+
+
+@query("SELECT count(*) AS n FROM customer WHERE false", graph=EX + "graph/1")
+def graph_of_plain_class(g: Graph):
+    """A table without graphs has nothing in a named graph."""
+    return g.star("?c", "Customer").group([], {"n": F.count("*")})
+
+
+@query("SELECT 'EX:region/' || r_regionkey AS s, r_name AS name FROM region UNION ALL SELECT 'EX:nation/' || n_nationkey, n_name FROM nation UNION ALL SELECT 'EX:supplier/' || s_suppkey, s_name FROM supplier")
+def untyped_subject(g: Graph):
+    """``?s name ?name`` without a class, over the classes that have the property."""
+    return Graph(g.catalog.within({"Region", "Nation", "Supplier", "Event", "Document"})).anything("?s", {"name": "?name"})
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_nationkey = 7")
+def untyped_iri(g: Graph):
+    return Graph(g.catalog.within({"Region", "Nation", "Supplier"})).anything(EX + "nation/7", {"name": "?name"}).project("name")
+
+
+@query(
+    "SELECT 'EX:nation/' || n_nationkey AS subject, 'EX:name' AS predicate, n_name AS object FROM nation WHERE n_regionkey = 1"
+    " UNION ALL SELECT 'EX:nation/' || n_nationkey, 'EX:inRegion', 'EX:region/' || n_regionkey FROM nation WHERE n_regionkey = 1"
+    " UNION ALL SELECT 'EX:nation/' || n_nationkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'EX:Nation' FROM nation WHERE n_regionkey = 1"
+)
+def describe_var_rpt(g: Graph):
+    """DESCRIBE over a triple table."""
+    return g.describe("RptNation", g.star("?n", "RptNation", {EX + "inRegion": EX + "region/1"}), "n")
+
+
+@query(
+    "SELECT 'EX:nation/' || n_nationkey AS subject, 'name' AS predicate, n_name AS object FROM nation WHERE n_regionkey = 1"
+    " UNION SELECT 'EX:region/' || r_regionkey, 'name', r_name FROM region WHERE r_regionkey = 1"
+)
+def describe_star(g: Graph):
+    """DESCRIBE * of ?n and ?r."""
+    found = g.star("?n", "Nation", {"region": "?r"}).filter(F.col("r") == 1)
+    return g.describe_all(found, {"n": "Nation", "r": "Region"}, ("name",))
+
+
+# -- term functions and casts
+
+
+@query("SELECT p_partkey AS k, true AS name_literal, false AS iri_literal, false AS name_numeric, true AS size_numeric, '' AS tag FROM part")
+def term_tests(g: Graph):
+    s = g.star("?p", "Part", {"name": "?name", "size": "?size"})
+    types = dict(s.df.dtypes)
+    return s.df.select(
+        F.col("p").alias("k"), S.is_literal(F.col("name")).alias("name_literal"), S.is_literal(s["p"]).alias("iri_literal"), S.is_numeric(F.col("name"), types["name"]).alias("name_numeric"),
+        S.is_numeric(F.col("size"), types["size"]).alias("size_numeric"), S.lang(F.col("name")).alias("tag"),
+    )
+
+
+@query("SELECT p_partkey AS k, p_name AS value, 'http://www.w3.org/2001/XMLSchema#token' AS type, 'en' AS tag, 'EX:x/' || p_brand AS iri, 'EX:y' AS constant FROM part")
+def term_makers(g: Graph):
+    x, brand = F.col("name"), F.col("brand")
+    made = S.strdt(x, S.XSD + "token")
+    return g.star("?p", "Part", {"name": "?name", "brand": "?brand"}).df.select(
+        F.col("p").alias("k"), made["value"].alias("value"), made["datatype"].alias("type"), S.strlang(x, "en")["lang"].alias("tag"), S.iri(brand, EX + "x/z").alias("iri"),
+        S.iri("../y", EX + "x/z").alias("constant"),
+    )
+
+
+@query(
+    "SELECT s_suppkey AS k, CASE WHEN trunc(s_acctbal) BETWEEN -128 AND 127 THEN trunc(s_acctbal)::BIGINT END AS b, CASE WHEN trunc(s_acctbal) BETWEEN 0 AND 65535 THEN trunc(s_acctbal)::BIGINT END AS us,"
+    " CASE WHEN trunc(s_acctbal) < 0 THEN trunc(s_acctbal)::BIGINT END AS neg, CASE WHEN trunc(s_acctbal) > 0 THEN trunc(s_acctbal)::BIGINT END AS pos, s_acctbal <> 0 AS t, s_acctbal::FLOAT AS f FROM supplier"
+)
+def xsd_family(g: Graph):
+    x = F.col("b")
+    kinds = {"b": "byte", "us": "unsignedShort", "neg": "negativeInteger", "pos": "positiveInteger"}
+    return g.star("?s", "Supplier", {"balance": "?b"}).df.select(
+        F.col("s").alias("k"), *(N.xsd_integer(x, kind).alias(n) for n, kind in kinds.items()), N.xsd_boolean(x).alias("t"), N.xsd_float(x).alias("f")
+    )
+
+
+@query("SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderdate::TIMESTAMP AS t FROM orders")
+def xsd_times(g: Graph):
+    lexical = S.to_str(F.col("x"), "timestamp")
+    return g.star("?o", "Order", {"date": "?x"}).df.select(F.col("o").alias("k"), N.xsd_date(lexical).alias("d"), N.xsd_datetime(lexical).cast("timestamp_ntz").alias("t"))

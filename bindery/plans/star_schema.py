@@ -49,9 +49,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     def words() -> DataFrame:
         return read("documents").select("doc_id", F.split(F.col("text"), " ").alias("words"))
 
+    def graph_triples() -> DataFrame:
+        """The nations' triples, each in the graph of the nation's region."""
+        region = F.concat(F.lit(EX + "graph/"), F.col("n_regionkey").cast("string"))
+        subject = F.concat(F.lit(EX + "nation/"), F.col("n_nationkey").cast("string"))
+        of = read("nation").select(subject.alias("subject_uri"), region.alias("_graph"))
+        return nation_triples().join(of, "subject_uri")
+
     names = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
     tables = {n: (lambda n=n: read(n)) for n in names}
-    tables |= {"triples": nation_triples, "edges": typed_edges, "part_of": part_of, "ring": ring, "words": words}
+    tables |= {"triples": nation_triples, "edges": typed_edges, "part_of": part_of, "ring": ring, "words": words, "graph_triples": graph_triples}
     for status in "FOP":
         tables[f"orders_{status}"] = lambda status=status: read("orders").where(F.col("o_orderstatus") == status)
     tables["graph_documents"] = lambda: read("documents").withColumn("_graph", F.concat(F.lit(EX + "graph/"), F.col("source")))
@@ -83,6 +90,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         "WordDocument": cls("words", "doc_id", "document", word=Prop("words", many=True)),
         "TenantCustomer": ClassMap("customer", "c_custkey", EX + "customer/", {k: Prop(v) if isinstance(v, str) else v for k, v in customer.items()}, tenant_field="c_mktsegment"),
         "RptNation": ClassMap("triples", "subject_uri", triples_of=EX + "Nation"),
+        "GraphRptNation": ClassMap("graph_triples", "subject_uri", triples_of=EX + "Nation", graph_field="_graph"),
         "RptCustomer": ClassMap("triples", "subject_uri", triples_of=EX + "Customer"),
     }
     edges = {
@@ -91,6 +99,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         "inRegion": EdgeMap("edges", "Nation", "Region", type_field="type", type_value="inRegion"),
         "partOf": EdgeMap("part_of", "Part", "Part"),
         "next": EdgeMap("ring", "Nation", "Nation"),
+        "placedBy": EdgeMap("orders", "Order", "Customer", "o_orderkey", "o_custkey", tenant_field="o_orderpriority"),
     }
     return Catalog(tables, classes, edges, {"orders*": ("orders_F", "orders_O", "orders_P")})
 

@@ -54,6 +54,8 @@ class ClassMap:
     type_value: str | None = None
     graph_field: str | None = None
     tenant_field: str | None = None
+    #: root of the tenants; classes of two roots do not meet
+    tenant_entity: str | None = None
     #: IRI of the class in a triple table; ``table`` is then the triple table
     triples_of: str | None = None
 
@@ -71,6 +73,8 @@ class EdgeMap:
     type_value: str | None = None
     graph_field: str | None = None
     tenant_field: str | None = None
+    #: root of the tenants; classes of two roots do not meet
+    tenant_entity: str | None = None
 
 
 @dataclass
@@ -135,8 +139,9 @@ def _scoped(df: DataFrame, m: ClassMap | EdgeMap, graph: Scope, tenant: str | No
     where: list[Column] = []
     if m.type_field:
         where.append(F.col(m.type_field) == m.type_value)
-    if graph is not None and m.graph_field:
-        where.append(in_graph(F.col(m.graph_field), graph))
+    if graph is not None:
+        # a table without graphs is the default graph
+        where.append(in_graph(F.col(m.graph_field) if m.graph_field else F.lit(None).cast("string"), graph))
     if m.tenant_field:
         if tenant is None:
             raise MappingError(f"table {m.table!r} is read for one tenant at a time")
@@ -167,11 +172,14 @@ def from_bundle(bundle: dict, tables: Mapping[str, Callable[[], DataFrame] | Dat
         props = {p: Prop(get(v, "field", p) if isinstance(v, Mapping) else v) for p, v in (get(e, "properties", {}) or {}).items()}
         rpt = get(e, "style", get(e, "mappingStyle")) == "RPT"
         classes[name] = ClassMap(
-            of.get(table, table), "_uri", "", props, get(e, "typeField"), get(e, "typeValue"), get(e, "graphField"), get(e, "tenantField"), get(e, "iri", name) if rpt else None
+            of.get(table, table), "_uri", "", props, get(e, "typeField"), get(e, "typeValue"), get(e, "graphField"), get(e, "tenantField"), get(e, "tenantEntity"), get(e, "iri", name) if rpt else None
         )
     for name, r in get(physical, "relationships", {}).items():
         table = get(r, "edgeCollectionName") or get(r, "collectionName") or name
-        edges[name] = EdgeMap(table, get(r, "domain", ""), get(r, "range", ""), type_field=get(r, "typeField"), type_value=get(r, "typeValue"))
+        edges[name] = EdgeMap(
+            table, get(r, "domain", ""), get(r, "range", ""), get(r, "fromField", "_from"), get(r, "toField", "_to"),
+            get(r, "typeField"), get(r, "typeValue"), get(r, "graphField"), get(r, "tenantField"), get(r, "tenantEntity"),
+        )
     return Catalog(tables, classes, edges, shards)
 
 
@@ -183,5 +191,8 @@ def fingerprint(catalog: Catalog) -> tuple[str, str]:
     return digest(shapes), digest(mapping)
 
 
-def drift(before: tuple[str, str], after: tuple[str, str]) -> str:
+def drift(before: tuple[str, str], after: tuple[str, str], counts: tuple[Mapping[str, int], Mapping[str, int]] | None = None) -> str:
+    """What has changed; with row counts before and after also ``STATS_ONLY``."""
+    if before == after and counts is not None and counts[0] != counts[1]:
+        return "STATS_ONLY"
     return "UNCHANGED" if before == after else "SHAPE_CHANGED" if before[0] != after[0] else "MAPPING_CHANGED"

@@ -51,3 +51,10 @@ def test_star_is_one_scan_and_keys_join_as_integers(spark, capsys):
     QUERIES["flagship"](spark, SF).explain("formatted")
     plan = capsys.readouterr().out
     assert plan.count("Scan parquet") - plan.count("(1) Scan parquet") <= 4 and "concat" not in plan
+
+
+@pytest.mark.parametrize("name", ["minus_optional", "optional_two_unbound"])
+def test_unbound_variables_need_no_nested_loop(spark, capsys, name):
+    QUERIES[name](spark, SF).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -108,6 +108,61 @@ def test_scopes(spark):
             read()
 
 
+def test_tenants_do_not_meet(spark):
+    c = people(spark)
+    c.classes["Triples"] = ClassMap("knows", "subject_uri", triples_of="http://p/T", tenant_field="org")
+    c.classes["Other"] = ClassMap("people", "id", "http://p/", c.classes["Person"].props, tenant_field="org", tenant_entity="Club")
+    c.classes["Guest"] = ClassMap("people", "id", "http://p/", c.classes["Person"].props, tenant_field="org", tenant_entity="Firm")
+    with pytest.raises(MappingError):  # a triple table has no column of tenants
+        Graph(c, tenant="t1").star("?x", "Triples")
+    a, b = (Graph(c, tenant=t).star("?p", "Member") for t in ("t1", "t2"))
+    open_ = Graph(c).star("?p", "Person", {"age": "?a"})
+    assert a.join(open_).join(a).df.count() == 2
+    for meet in (a.join, a.optional, a.minus, a.exists, a.union, a.filter(F.lit(True)).project("p").join):
+        with pytest.raises(MappingError):
+            meet(b)
+    with pytest.raises(MappingError):
+        a.join(open_).distinct().union(b)
+    g = Graph(c, tenant="t1")
+    assert g.star("?p", "Other").join(g.star("?p", "Member")).df.count() == 2
+    with pytest.raises(MappingError):
+        g.star("?p", "Other").join(g.star("?p", "Guest"))
+
+
+def test_bundle_scopes_edges(spark):
+    edges = spark.createDataFrame([("a", "b", "g1", "A"), ("a", "c", "g2", "B")], "_from string, _to string, g string, t string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "_uri string")
+    bundle = {"physicalMapping": {"entities": {"N": {"collectionName": "nodes"}}, "relationships": {"to": {"edgeCollectionName": "edges", "domain": "N", "range": "N", "tenantField": "t", "graphField": "g"}}}}
+    c = from_bundle(bundle, {"edges": edges, "nodes": nodes})
+    assert [tuple(r) for r in Graph(c, tenant="A").edge("?x", "to", "?y").df.collect()] == [("a", "b")]
+    assert Graph(c, graph="g1", tenant="B").edge("?x", "to", "?y").df.count() == 0
+    with pytest.raises(MappingError):
+        Graph(c).edge("?x", "to", "?y")
+
+
+def test_null_compatible_joins_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = lambda n, extra: [{"k": rng.choice([1, 2]), "a": rng.choice([None, 1, 2]), "b": rng.choice([None, 1, 2]), extra: i} for i in range(n)]
+    for names in (["k", "a", "b"], ["a", "b"], ["a"]):
+        left, right = rows(12, "l"), rows(9, "r")
+        left = [{n: x[n] for n in [*names, "l"]} for x in left]
+        right = [{n: x[n] for n in [*names, "r"]} for x in right]
+        schema = lambda extra: ", ".join(f"{n} int" for n in [*names, extra])
+        a, b = values(spark, left, schema("l")), values(spark, right, schema("r"))
+        fits = lambda x, y: all(x[n] is None or y[n] is None or x[n] == y[n] for n in names)
+        share = lambda x, y: any(x[n] is not None and y[n] is not None for n in names)
+        merged = lambda x, y: tuple(x[n] if x[n] is not None else y[n] for n in names) + (x["l"], y["r"])
+        inner = [merged(x, y) for x in left for y in right if fits(x, y)]
+        got = lambda s, *more: sorted(map(repr, (tuple(r[n] for n in [*names, "l", *more]) for r in s.df.collect())))
+        alone = [(*(x[n] for n in names), x["l"], None) for x in left if not any(fits(x, y) for y in right)]
+        plain = lambda keep: sorted(repr((*(x[n] for n in names), x["l"])) for x in left if keep(x))
+        assert got(a.join(b), "r") == sorted(map(repr, inner))
+        assert got(a.optional(b), "r") == sorted(map(repr, inner + alone))
+        assert got(a.exists(b)) == plain(lambda x: any(fits(x, y) for y in right))
+        assert got(a.not_exists(b)) == plain(lambda x: not any(fits(x, y) for y in right))
+        assert got(a.minus(b)) == plain(lambda x: not any(fits(x, y) and share(x, y) for y in right))
+
+
 def test_star_details(spark):
     g = Graph(people(spark))
     assert g.star("?p", "Person", {"age": "?a"}).df.count() == 2  # a missing value is no triple
@@ -128,6 +183,12 @@ def test_paths(spark):
     nodes = values(spark, [{"n": 7}, {"n": 1}], "n int", {"n": "http://n/"})
     assert pairs(P.zero_or_more(path, nodes, "n")) == closure | {(7, 7), (1, 1)}
     assert P.inverse(path).df.where("x = 2 AND y = 1").count() == 1
+    for x in (1, 2, 9):
+        one = spark.createDataFrame([(x,)], "n int")
+        assert pairs(P.one_or_more(path, starts=one)) == {p for p in closure if p[0] == x}
+        assert pairs(P.one_or_more(path, ends=one)) == {p for p in closure if p[1] == x}
+        assert all(P.connects(path, x, y).ask().first()[0] == ((x, y) in closure) for y in (1, 3, 9))
+    assert not P.connects(path, 1, 4, max_depth=2).ask().first()[0] and P.connects(path, 1, 3, max_depth=2).ask().first()[0]
     assert P.hits(P.one_or_more(path), 1, 4).ask().first()[0] and not P.hits(path, 1, 4).ask().first()[0]
 
 
@@ -143,6 +204,19 @@ def test_functions(spark):
     assert float(got[16]) == 13.5
 
 
+def test_casts(spark):
+    texts = ["9007199254740993", "-3.99", "1e30", "1e3", "INF", "NaN", "9223372036854775807", "9223372036854775808", "18446744073709551615", " 7 ", "2011-01-10T00:00:00Z", "2011-01-10x", "true", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select(N.xsd_integer(t), N.xsd_integer(t, "unsignedLong").cast("string"), N.xsd_date(t).cast("string"), N.xsd_boolean(t), N.xsd_datetime(t).isNotNull()).collect()
+    assert [r[0] for r in got] == [9007199254740993, -3, None, 1000, None, None, 2**63 - 1, None, None, 7, None, None, None, None]
+    assert got[8][1] == str(2**64 - 1) and got[1][1] is None
+    assert [r[2] for r in got][10:12] == ["2011-01-10", None] and got[12][3] is True and got[10][4] and not got[11][4]
+    wide = spark.createDataFrame([(9007199254740993, float("inf"), 2.0**60)], "n bigint, i double, d double").select(N.xsd_integer(F.col("n")), N.xsd_integer(F.col("i")), N.round_half_up(F.col("i")), N.round_half_up(F.col("d"))).first()
+    assert list(wide) == [9007199254740993, None, float("inf"), 2.0**60]
+    assert spark.range(1).select(S.regex(F.lit("a.b"), "a.b", "q"), S.regex(F.lit("axb"), "a.b", "q"), S.datatype(F.lit(b"x"), "binary"), S.datatype(F.array(F.lit(1)), "array<int>")).first()[:2] == (True, False)
+
+
 def test_bundle_and_drift(spark):
     tables = {"users": spark.createDataFrame([("u1", "ann")], "_uri string, name string"), "vertices": spark.createDataFrame([("d1", "Doc")], "_uri string, type string")}
     tables |= {f"t_{x}": spark.createDataFrame([(f"{x}1", "p", None, "v")], "subject_uri string, predicate string, object_uri string, object_value string") for x in ("us", "eu")}
