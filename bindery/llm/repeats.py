@@ -46,7 +46,7 @@ def _pack(batches: Iterator[pa.RecordBatch], cut: Cut, most: int) -> Iterator[pa
 
     def packed(ids: list, texts: list[bytes], whole: int = 0, part: int = 0, head: int = 0, tail: int = 0, before: int = 0) -> pa.RecordBatch:
         ends = np.cumsum([len(t) for t in texts]).astype(np.int64).tolist()
-        row = [number, ids, ends, zstandard.compress(b"".join(texts), 1), whole, part, head, tail, before]
+        row = [number, ids, ends, zstandard.compress(b"".join(texts), 6), whole, part, head, tail, before]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     for batch in batches:
@@ -117,7 +117,15 @@ def big_endian(rows: np.ndarray) -> list[np.ndarray]:
 
 def sort_columns(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The stable order of rows given by columns, and where in it a new row begins."""
-    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
+    # by the first column, and only where that ties by all
+    order = np.argsort(columns[0])
+    first = columns[0][order]
+    same = first[1:] == first[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(order) else order
+    if len(tied):
+        own = order[tied]
+        run = np.cumsum(np.append(True, ~same))[tied]
+        order[tied] = own[np.lexsort([own, *(c[own] for c in columns[:0:-1]), run])]
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in columns:
@@ -138,7 +146,7 @@ def common_prefixes(rows: np.ndarray) -> np.ndarray:
 def front_code(rows: np.ndarray) -> bytes:
     """Sorted rows as lengths of common prefixes and the rest of each row."""
     shared = common_prefixes(rows)
-    return zstandard.compress(shared.astype(np.uint8).tobytes() + rows[np.arange(rows.shape[1]) >= shared[:, None]].tobytes(), 3)
+    return zstandard.compress(shared.astype(np.uint8).tobytes() + rows[np.arange(rows.shape[1]) >= shared[:, None]].tobytes(), 5)
 
 
 def front_join(shared: list[np.ndarray], rest: list[np.ndarray], width: int) -> np.ndarray:

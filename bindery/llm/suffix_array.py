@@ -128,10 +128,12 @@ def _rank_triples(table: pa.Table) -> list[bytes]:
     counts = table["n"].to_pylist()
     rows = front_decode(table["rows"].to_pylist(), counts, TRIPLE)
     twice = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table["marks"].to_pylist(), counts)])
-    order, new = sort_columns(big_endian(rows))
+    columns, n = big_endian(rows), len(rows)
+    del rows
+    order, new = sort_columns(columns)
     first = np.flatnonzero(new)
     repeated = (np.diff(np.append(first, len(order))) > 1) | np.maximum.reduceat(twice[order], first).astype(bool)
-    rank = np.zeros(len(rows), np.uint32)
+    rank = np.zeros(n, np.uint32)
     rank[order] = (np.cumsum(repeated) * repeated)[np.cumsum(new) - 1]
     return [_ranks_coded(r) for r in split(rank, counts)]
 
