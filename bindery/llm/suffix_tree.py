@@ -1,19 +1,23 @@
 """Repeated word windows by prefix-partitioned suffix trees.
 
-A suffix starts at each word; its first 20 words matter, so trees are cut at
-that depth.
-
-1. Suffixes whose 20 words occur once are leaves above that depth and are left
-   out. Short names of all windows find them; a chance agreement of names only
-   keeps a suffix that the tree then finds to be a leaf.
-2. The others are split by prefixes of variable length. A prefix is a string of
-   classes of words (256 classes by hash); the suffixes with each are counted,
-   and one that is too frequent for a task's memory is made one word longer.
-   Prefixes in a row form groups of a memory's size.
-3. One task builds each group's subtree: the suffixes are sorted by words, and
-   the words that neighbours share are the depths of the internal nodes. Nodes
-   of 20 words or deeper are the repeats; of the suffixes below such a node
-   all but the earliest start later.
+The trees are sparse: a suffix stands for all windows of 20 words that have the
+least of their first ten words (by hash, the leftmost of equal ones) where it
+starts. Equal windows have it at the same offset and at least eleven words from
+there on, so they are found below one node, eleven words deep or deeper.
+
+1. Windows whose 20 words occur once are left out. Short names of all windows
+   find them; a chance agreement of names only keeps a window that the tree
+   then finds alone.
+2. The suffixes at the least words of the others are split by prefixes of
+   variable length. A prefix is a string of classes of words (256 classes by
+   hash); the suffixes with each are counted, and one that is too frequent for
+   a task's memory is made one word longer, up to eleven. Prefixes in a row form groups of a
+   memory's size.
+3. One task builds each group's subtree: its suffixes are sorted, and the words
+   that neighbours share are the depths of the internal nodes; the words before
+   the suffixes, backwards, form a tree likewise. A node of ``20 - d`` words or
+   deeper together with one of ``d`` words before is a repeat of 20 words or more;
+   of the suffixes below it all but the earliest start later.
 
 Words stand in the trees by 64-bit hashes.
 """
@@ -41,7 +45,6 @@ from .repeats import (
     answered,
     answers_of,
     arrow_schema,
-    bits_of,
     blocks_of,
     common_prefixes,
     covered,
@@ -62,8 +65,12 @@ from .repeats import (
 )
 
 WINDOW = 20
-#: Suffixes in a group, of 160 bytes each.
-GROUP_SUFFIXES = 1 << 18
+#: The first words of a window, of which the least starts its suffix.
+REACH = 10
+#: Words sent with a suffix: its own and those before.
+AROUND = WINDOW + REACH - 1
+#: Suffixes in a group, of 312 bytes each.
+GROUP_SUFFIXES = 1 << 17
 U64 = np.uint64
 
 
@@ -156,18 +163,20 @@ class _Trie:
     def __init__(self):
         self.child = np.full((1, 256), -1, np.int64)
 
-    def walk(self, rows: np.ndarray, depth: int = WINDOW) -> np.ndarray:
+    def walk(self, rows: np.ndarray, depth: int = WINDOW - REACH + 1) -> np.ndarray:
         """Node or group that each row (of word hashes) comes to."""
         node = np.zeros(len(rows), np.int64)
         for level in range(depth):
             inner = np.flatnonzero(node >= 0)
-            node[inner] = self.child[node[inner], (rows[inner, level] >> U64(56)).astype(np.int64)]
+            if not len(inner):
+                break
+            node[inner] = self.child[node[inner], classes(rows[inner, level])]
         return node
 
-    def grow(self, node: int, classes: list[int]) -> list[int]:
-        made = [len(self.child) + i for i in range(len(classes))]
-        self.child = np.concatenate([self.child, np.full((len(classes), 256), -1, np.int64)])
-        self.child[node, classes] = made
+    def grow(self, node: int, below: list[int]) -> list[int]:
+        made = [len(self.child) + i for i in range(len(below))]
+        self.child = np.concatenate([self.child, np.full((len(below), 256), -1, np.int64)])
+        self.child[node, below] = made
         return made
 
     def deal(self, counts: dict[tuple[int, int], int], most: int) -> None:
@@ -187,23 +196,42 @@ class _Trie:
                 self.child[node, c] = ~group
 
 
-class _Kept:
-    """The kept suffixes of a block, and their distinct words sorted."""
+def classes(words: np.ndarray) -> np.ndarray:
+    """Classes of words; not by the leading bits, which are small in least words."""
+    return (words & U64(255)).astype(np.int64)
+
+
+class _Sparse:
+    """The kept windows of a block, and the suffixes that stand for them with the words around."""
 
     def __init__(self, block: Block, trie: _Trie | None = None):
         self.suffixes = suffixes = _Suffixes(block)
-        self.at = np.cumsum(unsqueeze(block.row["places"], np.uint32), dtype=np.int64)
-        rows = sliding_window_view(suffixes.one, WINDOW)[self.at] if len(self.at) else np.empty((0, WINDOW), U64)
+        self.at = at = np.cumsum(unsqueeze(block.row["places"], np.uint32), dtype=np.int64)
+        self.offset = sliding_window_view(suffixes.one, REACH)[at].argmin(axis=1) if len(at) else at
+        self.ids = suffixes.ids(at)
+        self.sent = np.flatnonzero(suffixes.takes_part(at))
+        anchor, of = np.unique((at + self.offset)[self.sent], return_inverse=True)
+        held = np.zeros(len(anchor), np.uint32)
+        np.bitwise_or.at(held, of, np.uint32(1) << self.offset[self.sent].astype(np.uint32))
+        end = suffixes.ends[suffixes.doc[anchor]]
+        start = end - suffixes.counts[suffixes.doc[anchor]]
+        wide = np.concatenate([np.zeros(REACH - 1, U64), suffixes.one, np.zeros(WINDOW, U64)])
+        rows = np.zeros((len(anchor), AROUND), U64)
+        if len(anchor):
+            after = np.arange(WINDOW) < (end - anchor)[:, None]
+            before = np.arange(REACH - 1) < (anchor - start)[:, None]
+            rows[:, :WINDOW] = sliding_window_view(wide, WINDOW)[anchor + REACH - 1] * after
+            rows[:, WINDOW:] = sliding_window_view(wide, REACH - 1)[anchor][:, ::-1] * before
         groups = ~trie.walk(rows) if trie else np.zeros(len(rows), np.int64)
-        self.order, self.new = sort_columns([groups, *rows.T])
-        first = self.order[self.new]
+        order, new = sort_columns([groups, *rows.T])
+        first = order[new]
         self.rows, self.groups = rows[first], groups[first]
-        self.ids = suffixes.ids(self.at)
-        self.least = least_ids(self.ids[self.order], self.new)
-        self.first = self.at[first] + block.before
-        self.sent = np.flatnonzero((self.least != NO_ID) | bool(block.whole))
-        self.which = np.empty(len(rows), np.int64)
-        self.which[self.order] = np.cumsum(self.new) - 1
+        self.least = least_ids(suffixes.ids(anchor)[order], new)
+        self.held = np.bitwise_or.reduceat(held[order], np.flatnonzero(new)) if len(order) else held
+        self.first = anchor[first] + block.before
+        which = np.empty(len(rows), np.int64)
+        which[order] = np.cumsum(new) - 1
+        self.which = which[of]
 
 
 def _partition(kept: DataFrame) -> _Trie:
@@ -213,14 +241,13 @@ def _partition(kept: DataFrame) -> _Trie:
     of which there are no more than groups.
     """
     trie, counts, frontier, most = _Trie(), {}, [0], GROUP_SUFFIXES
-    for depth in range(WINDOW):
+    for depth in range(WINDOW - REACH + 1):
 
         def count(block: Block, trie=trie, depth=depth, frontier=frontier) -> pa.RecordBatch:
-            found = _Kept(block)
-            rows = found.rows[found.sent]
+            rows = _Sparse(block).rows
             node = trie.walk(rows, depth)
             held = np.isin(node, frontier)
-            key, n = np.unique(node[held] << 8 | (rows[held, depth] >> U64(56)).astype(np.int64), return_counts=True)
+            key, n = np.unique(node[held] << 8 | classes(rows[held, depth]), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
         got = {(r["key"] >> 8, r["key"] & 255): r["n"] for r in each_block(kept, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
@@ -229,9 +256,9 @@ def _partition(kept: DataFrame) -> _Trie:
             most = max(GROUP_SUFFIXES, sum(got.values()) // MOST_GROUPS)
         large: dict[int, list[int]] = {}
         for (node, c), n in sorted(got.items()):
-            if n > most and depth + 1 < WINDOW:
+            if n > most and depth < WINDOW - REACH:
                 large.setdefault(node, []).append(c)
-        frontier = [made for node, classes in large.items() for made in trie.grow(node, classes)]
+        frontier = [made for node, below in large.items() for made in trie.grow(node, below)]
         if not frontier:
             break
     trie.deal(counts, most)
@@ -244,19 +271,19 @@ def _partition(kept: DataFrame) -> _Trie:
 def _code(rows: np.ndarray) -> bytes:
     """Sorted rows: what each shares with the one before, a dictionary of the other words, and these."""
     shared = common_prefixes(rows)
-    words, rest = np.unique(rows[np.arange(WINDOW) >= shared[:, None]], return_inverse=True)
+    words, rest = np.unique(rows[np.arange(AROUND) >= shared[:, None]], return_inverse=True)
     known = squeeze(np.diff(words, prepend=U64(0)))
     return len(known).to_bytes(4, "little") + known + zstandard.compress(shared.astype(np.uint8).tobytes()) + squeeze(rest.astype(np.uint32))
 
 
 def _send_suffixes(block: Block, trie: _Trie) -> pa.RecordBatch:
-    kept = _Kept(block, trie)
-    least, first = kept.least[kept.sent], kept.first[kept.sent]
+    sparse = _Sparse(block, trie)
 
     def marks(s: slice) -> bytes:
-        return block.whole.to_bytes(8, "little") + (squeeze(np.concatenate([least[s], first[s]])) if block.whole else squeeze(least[s]))
+        numbers = [sparse.held[s].astype(np.int64), sparse.least[s], *([sparse.first[s]] if block.whole else [])]
+        return block.whole.to_bytes(8, "little") + squeeze(np.concatenate(numbers))
 
-    return parcels(block.number, kept.groups[kept.sent], kept.rows[kept.sent], marks, _code)
+    return parcels(block.number, sparse.groups, sparse.rows, marks, _code)
 
 
 def _decode(parcels: list[bytes], counts: list[int]) -> np.ndarray:
@@ -267,44 +294,49 @@ def _decode(parcels: list[bytes], counts: list[int]) -> np.ndarray:
         unpacker = zstandard.ZstdDecompressor().decompressobj()
         shared.append(np.frombuffer(unpacker.decompress(data[4 + size :]), np.uint8))
         rest.append(words[unsqueeze(unpacker.unused_data, np.uint32)])
-        assert len(shared[-1]) == n
-    return front_join(shared, rest, WINDOW)
+    return front_join(shared, rest, AROUND)
 
 
-def deep_nodes(depths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last leaf of the topmost nodes at least so deep.
+class Tree:
+    """The tree of sorted rows: leaves in order, and what each shares with the leaf before."""
 
-    ``depths[i]`` is what leaf ``i`` shares with the leaf before; an internal
-    node is a longest run of leaves that share at least its depth.
-    """
-    deep = np.append(depths >= least, False)
-    deep[:1] = False
-    edge = np.flatnonzero(np.diff(np.append(False, deep)))
-    return edge[::2] - 1, edge[1::2] - 1
+    def __init__(self, rows: np.ndarray):
+        self.order, _ = sort_columns(list(rows.T))
+        self.depths = common_prefixes(rows[self.order])
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """For each row the topmost node of at least that depth above its leaf (the leaf itself if there is none)."""
+        deep = self.depths >= depth
+        deep[:1] = False
+        out = np.empty(len(deep), U64)
+        out[self.order] = np.cumsum(~deep)
+        return out
 
 
 def _subtree(table: pa.Table) -> list[bytes]:
     counts, marks = table["n"].to_pylist(), table["marks"].to_pylist()
     rows = _decode(table["rows"].to_pylist(), counts)
     whole = np.repeat(np.array([int.from_bytes(m[:8], "little") for m in marks], np.int64), counts)
-    both = [unsqueeze(m[8:], np.int64) for m in marks]
-    ids = np.concatenate([b[:n] for b, n in zip(both, counts)])
-    place = np.concatenate([b[n:] if len(b) > n else np.zeros(n, np.int64) for b, n in zip(both, counts)])
-    order, _ = sort_columns(list(rows.T))
-    later = np.zeros(len(rows), bool)
-    starts, ends = deep_nodes(common_prefixes(rows[order]), WINDOW)
-    if len(starts):
-        sizes = ends - starts + 1
-        node = np.repeat(np.arange(len(starts)), sizes)
-        leaves = order[np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)]
-        least = np.minimum.reduceat(ids[leaves], np.cumsum(sizes) - sizes)
-        later[leaves] = (ids[leaves] > least[node]) & (ids[leaves] != NO_ID)
-        cut = np.flatnonzero(whole[leaves])
-        if len(cut):  # parts of one text: the earlier place of the same document
-            by, new = sort_columns([node[cut], whole[leaves[cut]]])
-            least = np.minimum.reduceat(place[leaves[cut]][by], np.flatnonzero(new))
-            later[leaves[cut[by]]] |= place[leaves[cut]][by] > least[np.cumsum(new) - 1]
-    return [zstandard.compress(np.packbits(b).tobytes()) for b in split(later, counts)]
+    numbers = [unsqueeze(m[8:], np.int64) for m in marks]
+    held, ids = (np.concatenate([x[i * n : (i + 1) * n] for x, n in zip(numbers, counts)]) for i in (0, 1))
+    place = np.concatenate([x[2 * n :] if len(x) > 2 * n else np.zeros(n, np.int64) for x, n in zip(numbers, counts)])
+    after, before = Tree(rows[:, :WINDOW]), Tree(rows[:, WINDOW:])
+    told = np.zeros((len(rows), 16), bool)
+    for d in range(REACH):
+        at = np.flatnonzero(held >> d & 1)
+        if not len(at):
+            continue
+        node = (after.nodes(WINDOW - d) << U64(32) | before.nodes(d))[at]
+        order, new = sort_columns([node])
+        leaf = at[order]
+        least = least_ids(ids[leaf], new)[np.cumsum(new) - 1]
+        told[leaf, d] = (ids[leaf] > least) & (ids[leaf] != NO_ID)
+        cut = np.flatnonzero(whole[leaf])
+        if len(cut):  # parts of one text: an earlier place of the same document
+            by, new = sort_columns([np.cumsum(new)[cut], whole[leaf[cut]]])
+            least = least_ids(place[leaf[cut[by]]], new)[np.cumsum(new) - 1]
+            told[leaf[cut[by]], d] |= place[leaf[cut[by]]] > least
+    return [zstandard.compress(b.tobytes()) for b in split(np.packbits(told, axis=1), counts)]
 
 
 FOUND = "doc_id long, n_words long, n_removed long, kept string"
@@ -318,18 +350,23 @@ def _result(rows: list[list], ddl: str) -> pa.RecordBatch:
 
 
 def _remove(block: Block, answers: pa.Table, trie: _Trie) -> pa.RecordBatch:
-    kept = _Kept(block, trie)
-    suffixes, at = kept.suffixes, kept.at
-    later = np.zeros(len(kept.rows), bool)
-    if len(kept.sent):
-        groups = kept.groups[kept.sent]
-        sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]]))
-        later[kept.sent] = np.concatenate([bits_of(a, n) for a, n in zip(answers_of(answers, 2), sizes)])
-    known = kept.ids != NO_ID
-    gone = later[kept.which] & (known | bool(block.whole)) | known & (kept.ids > kept.least[kept.which])
-    # places of one row lie in order: all but the first of a document start later
-    row, doc = kept.which[kept.order], suffixes.doc[at][kept.order]
-    gone[kept.order[1:]] |= (row[1:] == row[:-1]) & (doc[1:] == doc[:-1])
+    sparse = _Sparse(block, trie)
+    suffixes, at, sent = sparse.suffixes, sparse.at, sparse.sent
+    gone = np.zeros(len(at), bool)
+    if len(sent):
+        told = np.concatenate([np.frombuffer(zstandard.decompress(a), np.uint8).reshape(-1, 2) for a in answers_of(answers, 2)])
+        told = np.unpackbits(told, axis=1)[sparse.which, sparse.offset[sent]].astype(bool)
+        known = sparse.ids[sent] != NO_ID
+        gone[sent] = told & (known | bool(block.whole)) | known & (sparse.ids[sent] > sparse.least[sparse.which])
+    # earlier in the same document: equal names, compared by their words
+    names = suffixes.names(64)[np.searchsorted(suffixes.at, at)]
+    order, new = sort_columns([names, suffixes.doc[at].astype(np.int64)])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    twice = np.flatnonzero(~new)
+    rows = sliding_window_view(suffixes.one, WINDOW) if len(twice) else None
+    for i in range(0, len(twice), 1 << 15):
+        part = twice[i : i + (1 << 15)]
+        gone[order[part]] |= (rows[at[order[part]]] == rows[at[first[part]]]).all(axis=1)
     drop = covered(at[gone], WINDOW, suffixes.n)
     out = []
     for i, count, end in zip(block.ids, suffixes.counts, suffixes.ends):

@@ -190,9 +190,12 @@ def test_suffix_tree(spark, monkeypatch, block, group):
     assert got == brute_words(rows)
 
 
-def test_deep_nodes():
-    starts, ends = suffix_tree.deep_nodes(np.array([0, 20, 20, 3, 20, 5, 0, 20]), 20)
-    assert list(zip(starts, ends)) == [(0, 2), (3, 4), (6, 7)]
+def test_tree_nodes():
+    rows = np.array([[1, 5, 2], [1, 5, 3], [2, 2, 2], [1, 4, 4], [2, 2, 2]], np.uint64)
+    tree = suffix_tree.Tree(rows)
+    same = lambda depth: [[int(a == b) for b in tree.nodes(depth)] for a in tree.nodes(depth)]
+    for depth in range(4):
+        assert same(depth) == [[int((a[:depth] == b[:depth]).all()) for b in rows] for a in rows]
 
 
 def test_bpe_matches_the_library(spark):
