@@ -263,6 +263,17 @@ class Solutions:
         dfs = [s.df.withColumns({v: F.col(v).cast("string") for v in clash}) for s in (left, right)]
         return left._new(dfs[0].unionByName(dfs[1], allowMissingColumns=True), vars_)
 
+    # -- legs of other sources
+
+    def keys_of(self, *names: str) -> DataFrame:
+        """The distinct bound values of some variables, IRIs as text: what a leg elsewhere is asked for."""
+        return self.frame(*names).dropna().distinct()
+
+    def leg(self, found: DataFrame, iris: Sequence[str] = ()) -> Solutions:
+        """Join with the rows that another source returned for ``keys_of``: columns are
+        variables, those of ``iris`` hold IRIs, and nulls are unbound."""
+        return self.join(self._new(found, {n: Var("" if n in iris else None, unbound=True) for n in found.columns}))
+
     # -- groups and forms
 
     def group(self, keys: Sequence[str], aggregates: Mapping[str, Column], having: Column | None = None, empty_row: bool = False) -> Solutions:

@@ -469,6 +469,14 @@ def federation_seeded(g: Graph):
     return seeds.join(g.star("?c", "Customer", {"name": "?name"}))
 
 
+@query("SELECT 'EX:nation/' || n_nationkey AS n, s_name AS supplier, n_name AS name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 2")
+def federation_leg(g: Graph):
+    """A leg of another source is asked for the distinct keys and joined by whole IRIs."""
+    here = g.star("?n", "Nation", {"region": EX + "region/2", "name": "?name"})
+    elsewhere = g.star("?s", "Supplier", {"nation": "?n", "name": "?supplier"}).frame("n", "supplier")
+    return here.leg(elsewhere.join(here.keys_of("n"), "n", "left_semi"), iris=("n",)).project("n", "supplier", "name")
+
+
 # -- sets and paths
 
 

@@ -122,8 +122,11 @@ def detect(tables: Mapping[str, DataFrame], key: str = "_id", type_iri: str = "h
                 classes[v] = ClassMap(p.name, key if key in p.columns else None, "", props, p.discriminator, v)
         elif p.style == "triples":
             found = tables[p.name].where(F.col("predicate") == type_iri).where("object_uri IS NOT NULL").select("object_uri").distinct()
-            for r in found.collect():
-                classes[r[0].rpartition("/")[2].rpartition("#")[2]] = ClassMap(p.name, p.columns[0], triples_of=r[0])
+            for r in found.orderBy("object_uri").collect():
+                local = r[0].rpartition("/")[2].rpartition("#")[2]
+                # of two classes of one local name the second goes by its whole IRI
+                name = local if local and local not in classes else r[0]
+                classes[name] = ClassMap(p.name, p.columns[0], triples_of=r[0])
     vertices = {n: _rows(tables, m) for n, m in classes.items() if m.key == key}
     edges: dict[str, EdgeMap] = {}
     for p in profiles:
@@ -141,6 +144,7 @@ def _rows(tables: Mapping[str, DataFrame], m: ClassMap) -> DataFrame:
 
 def sample_questions(catalog: Catalog, count: int = 10) -> list[str]:
     """Plain questions that the mapping can answer."""
-    out = [q for name in catalog.classes for q in (f"Show 10 {name} rows", f"How many {name} rows are there?")]
-    out += [f"Count {e.target} per {e.source} over {name}" for name, e in catalog.edges.items()]
+    out = [f"Which {name} are known, by {p}?" for name, m in catalog.classes.items() for p in list(m.props)[:1]]
+    out += [f"What is the number of {name}?" for name in catalog.classes]
+    out += [f"For each {e.source}, to how many {e.target} does {name} lead?" for name, e in catalog.edges.items()]
     return list(dict.fromkeys(out))[:count]

@@ -1,13 +1,14 @@
 import json
 import xml.etree.ElementTree as ET
 
+import pytest
 from pyspark.sql import functions as F
 
 from bindery.operators.patterns import Graph, values
 from bindery.operators.solutions import Solutions, Var
 from bindery.sources.catalog import RDF_TYPE
 from bindery.sources.detect import detect, discriminator, object_properties, sample_questions
-from bindery.sources.formats import ask_text, ntriples, read_ntriples, result_lines, write_results
+from bindery.sources.formats import ask_text, malformed, ntriples, read_ntriples, result_lines, write_results
 from bindery.streaming import watch, windowed_counts
 
 
@@ -26,6 +27,27 @@ def test_ntriples_terms(spark, tmp_path):
     assert got == [("1", None, "http://t"), ("x", "en", None)]
 
 
+def test_ntriples_escapes_and_bad_lines(spark, tmp_path):
+    path = str(tmp_path / "x.nt")
+    (tmp_path / "x.nt").write_text('<http://a/\\u00e9> <http://p> "\\U0001F600\\\\u0041\\t\\"" . # end\n\n  # note\nnonsense\n_:b <http://p> <http://o> .\n')
+    got = sorted(map(tuple, read_ntriples(spark, path).select("subject_uri", "object_value", "object_uri").collect()))
+    assert got == [("_:b", None, "http://o"), ("http://a/é", '😀\\u0041\t"', None)]
+    assert [r[0] for r in malformed(spark, path).collect()] == ["nonsense"]
+    with pytest.raises(Exception, match="no triple"):
+        read_ntriples(spark, path, strict=True).collect()
+
+
+def test_results_with_blank_nodes_and_languages(spark):
+    df = spark.createDataFrame([("_:b1", "x", "en"), ("http://a", "y", None)], "n string, t string, tag string")
+    found = Solutions(df, {"n": Var(""), "t": Var(), "tag": Var(unbound=True)})
+    rows = json.loads("".join(result_lines(found, "json", languages={"t": "tag"})))
+    assert rows["head"]["vars"] == ["n", "t"]
+    assert {"n": {"type": "bnode", "value": "b1"}, "t": {"type": "literal", "value": "x", "xml:lang": "en"}} in rows["results"]["bindings"]
+    assert '_:b1\t"x"@en' in "".join(result_lines(found, "tsv", languages={"t": "tag"}))
+    text = "".join(result_lines(found, "xml", languages={"t": "tag"}))
+    assert "<bnode>b1</bnode>" in text and 'xml:lang="en"' in text and ET.fromstring(text) is not None
+
+
 def test_result_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a,"b', 5), (2, None, None)], "p int, name string, n bigint")
     found = Solutions(df, {"p": Var("http://p/"), "name": Var(unbound=True), "n": Var(unbound=True)})
@@ -54,7 +76,7 @@ def test_detection(spark):
     assert (c.edges["CITES"].source, c.edges["CITES"].target) == ("Any", "users")
     assert [tuple(r) for r in object_properties(tables["facts"], RDF_TYPE).collect()] == [("in", "http://x/City", "http://x/Land", 1)]
     assert Graph(c).star("?d", "Doc", {"title": "?t"}).df.count() == 4
-    assert "How many users rows are there?" in sample_questions(c)
+    assert "What is the number of users?" in sample_questions(c)
     assert set(c.within({"users", "Doc"}).edges) == {"WROTE"}
 
 
