@@ -4,14 +4,15 @@ A 64-bit fingerprint is cut into 16 segments of 4 bits, and the bit counts of
 the segments are a point of a 16-dimensional grid. Flipping one bit moves one
 coordinate by one, so the Manhattan distance of two points never exceeds the
 Hamming distance of their fingerprints: a range join over the grid finds every
-pair that can link, and an exact comparison keeps those that do. For distance
-2 both sides go to their own cell and its direct neighbours (33 cells): two
-points at distance 2 or less always share one of them.
-
-A cell that many different fingerprints share is not joined with itself.
-There each fingerprint goes to its 64 one-bit changes and itself: two
-fingerprints differ in at most two bits exactly when they share one of these,
-and all that share one hang from its smallest member.
+pair that can link. For distance 2 both sides go to their own cell and its
+direct neighbours (33 cells): two points at distance 2 or less always share one
+of them, and only in cells with company anything more is done.
+
+There links are verified exactly without comparing all pairs of a cell: each
+fingerprint goes to itself and to its one-bit changes that lie in the cell. Two
+fingerprints differ in at most two bits exactly when they meet at one of these
+points, and all that meet hang from the smallest. So a fingerprint costs at
+most 33 and 65 rows, however crowded its cells are.
 """
 
 from __future__ import annotations
@@ -27,10 +28,6 @@ from pyspark.sql import functions as F
 from .common import binary_column, pieces, written
 from .components import connected
 
-#: Different fingerprints in a cell up to which all its pairs are compared.
-PAIRS_UP_TO = 48
-
-
 def fingerprint(words: list[bytes], shingle: int) -> int:
     """SimHash of the XXH64 (seed 42) of all word shingles, as a signed 64-bit integer."""
     if not words:
@@ -73,22 +70,14 @@ def links(fps: DataFrame) -> DataFrame:
         digit = F.shiftrightunsigned("cell", 4 * i).bitwiseAND(F.lit(15))
         one = F.lit(1 << (4 * i))
         steps += [F.when(digit < 4, F.col("cell") + one), F.when(digit > 0, F.col("cell") - one)]
-    placed = (
-        fps.select("fp", _cell(F.col("fp")).alias("cell"))
-        .select("fp", F.explode(F.array(F.col("cell"), *steps)).alias("cell"))
-        .where("cell IS NOT NULL")
-    )
-    crowd = written(placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash-cells")
-    shared = written(placed.join(crowd, "cell"), "simhash-placed")
-    few = shared.where(F.col("n") <= PAIRS_UP_TO).select("cell", "fp")
-    left, right = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b")
-    near = left.join(right, "cell").where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
-    many = shared.where(F.col("n") > PAIRS_UP_TO).select("fp").distinct()
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long")) for i in range(64)))
-    spread = many.select("fp", F.explode(flips).alias("near"))
-    hub = spread.groupBy("near").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("near", "b")
-    star = spread.join(hub, "near").where(F.col("fp") > F.col("b")).select(F.col("fp").alias("a"), "b")
-    return near.unionAll(star).distinct()
+    placed = fps.select("fp", _cell(F.col("fp")).alias("cell")).select(F.explode(F.array(F.col("cell"), *steps)).alias("cell")).where("cell IS NOT NULL")
+    company = written(placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "simhash-cells")
+    points = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long")) for i in range(64))]
+    met = fps.select("fp", F.explode(F.array(*points)).alias("point")).withColumn("cell", _cell(F.col("point"))).join(company, "cell", "left_semi").select("fp", "point")
+    met = written(met, "simhash-points")
+    least = met.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("point", "b")
+    near = met.join(least, "point").where(F.col("fp") > F.col("b"))
+    return near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= 2).select(F.col("fp").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -98,7 +87,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is the smallest id that links lead to, the row's own included. Null and
     empty texts share fingerprint 0 and are linked like others; rows with
     repeated ids keep one row each; a null id never names a component (one of
-    null ids only has none). Other columns are not read.
+    null ids only has none). An empty table gives no rows. A text is one row's
+    work, however long. Other columns are not read.
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-groups")
