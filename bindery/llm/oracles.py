@@ -77,10 +77,10 @@ norm AS (
   SELECT doc_id, source, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS line, sum(len(ws)) AS n
   FROM parts WHERE len(ws) > 0 GROUP BY ALL
 ),
-hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT doc_id) + count(*) - count(doc_id) AS docs FROM documents GROUP BY source),
 common AS (
   SELECT norm.source, line FROM norm JOIN hosts ON norm.source IS NOT DISTINCT FROM hosts.source
-  GROUP BY norm.source, line, docs HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > docs * 0.002
+  GROUP BY norm.source, line, docs HAVING count(DISTINCT doc_id) > least(greatest(20, docs * 0.002), 1000)
 ),
 lost AS (
   SELECT doc_id, sum(n)::BIGINT AS removed_words FROM norm JOIN common ON norm.source IS NOT DISTINCT FROM common.source AND norm.line = common.line GROUP BY doc_id

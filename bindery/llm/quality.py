@@ -49,7 +49,25 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def line_key(words: list[bytes]) -> int:
+    """Hash of a normalised line: single spaces, lower case (ASCII), digits alike."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words).lower().translate(_DIGITS))
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are a text and the keys of the lines to take out of it."""
+    for batch in batches:
+        texts = []
+        for text, keys in zip(binary_column(batch, batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()):
+            gone = set(np.asarray(keys or [], np.int64).view(np.uint64).tolist())
+            lines = (text or b"").split(b"\n") if gone else []
+            kept = [x for x in lines if not ((parts := x.split()) and line_key(parts) in gone)]
+            texts.append(b"\n".join(kept) if gone else text)
+        clean = pa.array(texts, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], clean], names=[*batch.schema.names[:-2], "clean_text"])
+
+
+def _measure(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 2):
         out: list[list] = [[] for _ in range(7)]
         for text in binary_column(batch, 2):
@@ -63,7 +81,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if parts:
                     again += line in seen
                     seen.add(line)
-                    key = xxhash.xxh3_64_intdigest(b" ".join(parts).lower().translate(_DIGITS))
+                    key = line_key(parts)
                     lines[key] = lines.get(key, 0) + len(parts)
             for to, value in zip(
                 out,
@@ -71,7 +89,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ):
                 to.append(value)
         arrays = [pa.array(x, pa.int64()) for x in out[:5]] + [pa.array(x, pa.list_(pa.int64())) for x in out[5:]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=_NAMES)
+        more = [batch.column(2)] if with_text else []
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, *more], names=[*_NAMES, *(["text"] if with_text else [])])
 
 
 _NAMES = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
@@ -86,40 +105,50 @@ def quality(
     max_share: float = 0.002,
     least_words: int = 20,
     least_share: float = 0.5,
+    most_docs: int = 1000,
+    with_text: bool = False,
 ) -> DataFrame:
     """One row per input row: the measures, and the verdicts.
 
     A line is boilerplate when more than ``max_docs`` documents of its host and
-    more than ``max_share`` of them hold it. ``removed_words`` counts the words
+    more than ``max_share`` of them hold it, and in any case when more than
+    ``most_docs`` do, however large the host. ``removed_words`` counts the words
     of such lines; a document is depleted when fewer than ``least_words`` words
     or less than ``least_share`` of its words remain. ``base_failed`` is true
     under 20 words, or when over 30 % of the words are in repeated windows;
     ``kept`` is false for failed and depleted documents.
 
+    ``with_text`` adds ``clean_text``, the text without the boilerplate lines.
+
     Null and empty texts have no words and fail. Documents without a host share
     the null one. Rows with one id and host are one document when documents are
-    counted. Other columns are not read.
+    counted; rows without an id are one each. An empty table gives no rows. A
+    text is one task's work, however long. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").cast("string").alias("text")
+    )
     schema = ", ".join(["doc_id long", "host string", *(f"{n} long" for n in _NAMES[2:7]), "lines array<long>", "line_words array<long>"])
     # the row's number within its written file part is its key: ids may be null or repeated
-    measured = written(rows.mapInArrow(_measure, schema).withColumn("row", F.monotonically_increasing_id()), "quality")
+    measured = rows.mapInArrow(lambda batches: _measure(batches, with_text), schema + ", text string" * with_text)
+    measured = written(measured.withColumn("row", F.monotonically_increasing_id()), "quality")
+    counted = F.coalesce("doc_id", -1 - F.col("row")).alias("doc")
     held = measured.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("line")).select(
         "row", "doc_id", "host", F.col("line.lines").alias("line"), F.col("line.line_words").alias("words")
     )
-    sizes = written(measured.select("host", "doc_id").groupBy("host").agg(F.count("*").alias("docs")), "quality-hosts")
-    counts = held.select("host", "line", F.coalesce("doc_id", -1 - F.col("row")).alias("doc")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    sizes = written(measured.select("host", counted).distinct().groupBy("host").agg(F.count("*").alias("docs")), "quality-hosts")
+    counts = held.select("host", "line", counted).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
     over = counts.where(F.col("n") > max_docs)
-    limit = F.greatest(F.lit(float(max_docs)), F.col("docs") * max_share)
+    limit = F.least(F.greatest(F.lit(float(max_docs)), F.col("docs") * max_share), F.lit(float(most_docs)))
     common = written(over.join(sizes, over["host"].eqNullSafe(sizes["host"])).where(F.col("n") > limit).select(over["host"], "line"), "quality-lines")
     lost = (
         held.join(common.withColumnRenamed("host", "h").withColumnRenamed("line", "l"), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
         .groupBy("row")
-        .agg(F.sum("words").alias("removed_words"))
+        .agg(F.sum("words").alias("removed_words"), *([F.collect_set("line").alias("gone")] if with_text else []))
     )
     removed = F.coalesce("removed_words", F.lit(0)).cast("long")
     left = F.col("n_words") - F.col("removed_words")
-    return (
+    found = (
         measured.drop("lines", "line_words")
         .join(written(lost, "quality-lost"), "row", "left")
         .withColumn("removed_words", removed)
@@ -128,3 +157,8 @@ def quality(
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
         .drop("row", "host")
     )
+    if not with_text:
+        return found
+    found = found.select(*(c for c in found.columns if c not in ("text", "gone")), "text", "gone")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*found.schema][:-2]) + ", clean_text string"
+    return found.mapInArrow(_cleaned, schema)
