@@ -38,6 +38,19 @@ END = "</w>"
 PLAIN = re.compile("[!-;=-~À-ÖØ-öø-įı-ſ]+").fullmatch
 #: The words of the file's pattern, over those characters.
 PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ſ]+").findall
+#: The settings that the rules above, and decoding by spaces, are right for.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+    "post_processor": None,
+}
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Byte-level symbols: bytes that cannot be shown stand from code point 256 on, in order.
 SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -266,6 +279,16 @@ def _encoded(spec: str, batches: Iterator[pa.RecordBatch], words_per_trie: int)
         yield pa.RecordBatch.from_arrays([batch.column(0), binary, text], names=["doc_id", "ids", "decoded"])
 
 
+def check_settings(spec: str) -> None:
+    """Refuse a file whose texts would be split, or whose ids decoded, otherwise than here."""
+    file = json.loads(spec)
+    odd = [k for k, v in SETTINGS.items() if file.get(k) != v]
+    if file["model"].get("end_of_word_suffix") != END or file["model"].get("dropout") or file["model"].get("ignore_merges"):
+        odd.append("model")
+    if odd:
+        raise ValueError(f"this tokenizer file has another {', '.join(odd)} than a word-end BPE of this kind")
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", words_per_trie: int = 20_000) -> DataFrame:
     """Encode every whole text and decode it again.
 
@@ -274,10 +297,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     unsigned 32-bit integers), ``decoded`` (the tokens joined by spaces, as the
     file names no decoder). Null and empty texts give no ids and an empty text;
     rows with a null or repeated id are encoded like any other; other columns
-    are not read. Marks such as ``<|endoftext|>`` inside a text are their ids.
+    are not read. Marks such as ``<|endoftext|>`` inside a text are their ids. An
+    empty table gives no rows. A text is one task's work, however long. A file
+    with another normalizer, splitting, decoder or end mark raises ValueError.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
+    check_settings(spec)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(lambda batches: _encode(spec, batches, words_per_trie), f"doc_id {kind}, ids binary, decoded string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -67,7 +68,8 @@ def worker_state(name: str) -> dict:
     It may hold only what can be made anew at any time. A worker keeps that of
     one operator; when another asks, it goes.
     """
-    state = sys.modules[pa.__name__].__dict__.setdefault("_bindery_worker_state", {})
+    # functions come pickled with each task, so what lasts lies in a module of its own
+    state = sys.modules.setdefault("_bindery_worker", types.ModuleType("_bindery_worker")).__dict__.setdefault("state", {})
     if name not in state:
         state.clear()
     return state.setdefault(name, {})

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, written
+from .common import count_words, free, written
 
 #: Bits of the hash that one histogram resolves, and the number of histograms.
 BITS, LEVELS = 12, 5
@@ -104,10 +104,11 @@ def mix(
     nothing. An empty table gives an empty result. With ``keep`` the result
     has these columns of the input and ``copies`` instead.
     """
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("_id").cast("string"), "_size").cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
-    own = [F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), count_words(F.col(text_col)).alias("_size")]
-    names = {"_id": "doc_id", "_source": "source", "_size": "size", "_hash": "hash"}
-    sized = written(docs.select(*own).withColumn("_hash", hashed).withColumnsRenamed(names), "mix-sizes")
+    id_, src, size, hash_, s_, times_, below_ = (free(n, docs) for n in ("id", "source", "size", "hash", "s", "times", "below"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_).cast("string"), size).cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+    own = [F.col(f"`{id_col}`").alias(id_), F.col(f"`{source_col}`").cast("string").alias(src), count_words(F.col(f"`{text_col}`")).alias(size)]
+    measured = docs.select(*own).withColumn(hash_, hashed)
+    sized = written(measured.select(F.col(id_).alias("doc_id"), F.col(src).alias("source"), F.col(size).alias("size"), F.col(hash_).alias("hash")), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, budget, most)
     times = F.coalesce(F.least(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(most)), F.lit(0)).cast("int")
@@ -115,11 +116,12 @@ def mix(
     plan = written(plan, "mix-targets")
     cut = thresholds(sized, plan.where((F.col("times") < most) & (F.col("source_size") > 0)).select("source", "rest"))
     plan = plan.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = written(plan.select(F.col("source").alias("_s"), "source_size", "target", F.col("times").alias("_times"), F.col("below").alias("_below")), "mix-plan")
-    extra = F.coalesce((F.col("_hash") < F.col("_below")).cast("int"), F.lit(0))
-    copies = (F.col("_times") + extra).alias("copies")
+    plan = plan.select(F.col("source").alias(s_), "source_size", "target", F.col("times").alias(times_), F.col("below").alias(below_))
+    plan = written(plan, "mix-plan")
+    copies = (F.col(times_) + F.coalesce((F.col(hash_) < F.col(below_)).cast("int"), F.lit(0))).alias("copies")
     if keep:
-        rows = docs.select(*(F.col(f"`{c}`") for c in keep if c != "copies"), *own).withColumn("_hash", hashed)
-        return rows.join(plan, F.col("_source").eqNullSafe(F.col("_s"))).select(*(F.col(f"`{c}`") for c in keep if c != "copies"), copies)
-    rows = sized.withColumnRenamed("hash", "_hash")
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", copies)
+        kept = [F.col(f"`{c}`") for c in keep if c != "copies"]
+        rows = docs.select(*kept, *own).withColumn(hash_, hashed).select(*kept, src, hash_)
+        return rows.join(plan.select(s_, times_, below_), F.col(src).eqNullSafe(F.col(s_))).select(*kept, copies)
+    rows = sized.withColumnRenamed("hash", hash_)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col(s_))).select("doc_id", "source", "size", "source_size", "target", copies)

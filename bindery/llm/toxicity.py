@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import binary_column, pieces, worker_state
+from .common import binary_column, free, pieces, worker_state
 
 #: Labelled rows that the model is fitted on, at most (a sample by hash).
 FIT_ROWS = 4_000
@@ -159,8 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """Fit a model on at most ``fit_rows`` labelled rows, drawn by hash of the id.
 
     ``labels`` holds the rows that may be learnt from. Null ids and labels are
-    left out; of repeated labels the largest counts. With no rows at all every
-    score is one half.
+    left out; of repeated labels the largest counts, and of the texts of one id
+    the least. With no rows at all (empty tables) every score is one half. Only
+    the distinct words of a text reach the driver. Other columns are not read.
     """
     label = F.max((F.col(label_col) > 0).cast("int"))
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(label.alias("label"))
@@ -190,20 +191,20 @@ def _score(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator
                     known[w] = model.word_margin(w)
             out.append(model.bias + sum([known[w] for w in words]) / max(len(words), 1))
         scores = 1 / (1 + np.exp(-np.clip(out, -700, 700)))
-        kept_columns = [c for i, c in enumerate(batch.columns) if i != at or batch.schema.names[i] != "_text"]
-        yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(scores, pa.float64())], names=[*(n for n in batch.schema.names if n != "_text"), "score"])
+        left = [i for i in range(batch.num_columns) if i != at]  # the text to score comes last, beside what is kept
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in left), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in left), "score"])
 
 
 def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, and ``score``, from its whole text alone.
 
     Null and empty texts get the score of the bias. Rows with null or repeated
-    ids are scored like others; a column ``score`` of the input is replaced.
+    ids are scored like others; a column ``score`` of the input is replaced. An
+    empty table gives no rows. A text is one task's work, however long.
     """
-    keep = [c for c in keep if c != "score"]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep))
-    if text_col not in keep or docs.schema[text_col].dataType != StringType():
-        rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    at = rows.columns.index("_text" if "_text" in rows.columns else text_col)
-    schema = StructType([f for f in rows.schema if f.name != "_text"] + [StructField("score", DoubleType())])
+    kept = [F.col(f"`{c}`") for c in keep if c != "score"]
+    whole = F.col(f"`{text_col}`").cast("string").alias(free("text", docs))
+    rows = docs.select(*kept, whole)
+    at = len(kept)
+    schema = StructType([*rows.schema][:at] + [StructField("score", DoubleType())])
     return rows.mapInArrow(lambda batches: _score(model, at, batches), schema)
