@@ -18,10 +18,22 @@ from .solutions import Solutions, Var
 
 
 class Graph:
-    """A catalog seen through a scope: a named graph, a tenant."""
+    """A catalog seen through a scope: a named graph, a tenant, a dataset.
 
-    def __init__(self, catalog: Catalog, graph: Scope = None, tenant: str | None = None):
-        self.catalog, self.graph, self.tenant = catalog, graph, tenant
+    ``named`` are the graphs that ``GRAPH`` may read; None for all.
+    """
+
+    def __init__(self, catalog: Catalog, graph: Scope = None, tenant: str | None = None, named: tuple[str, ...] | None = None):
+        self.catalog, self.graph, self.tenant, self.named = catalog, graph, tenant, named
+
+    def dataset(self, *default: str, named: tuple[str, ...] = ()) -> Graph:
+        """``FROM`` and ``FROM NAMED``: patterns read the merge of the default graphs, those inside ``GRAPH`` the named ones."""
+        return Graph(self.catalog, default, self.tenant, named)
+
+    def inside(self, graph: str) -> Graph:
+        """``GRAPH <graph> { ... }``; of nested ones the innermost holds."""
+        readable = self.named is None or graph in self.named
+        return Graph(self.catalog, graph if readable else (), self.tenant, self.named)
 
     def _solutions(self, m: ClassMap | EdgeMap, df: DataFrame, vars_: Mapping[str, Var]) -> Solutions:
         """Solutions that know whose rows they are."""
@@ -42,7 +54,7 @@ class Graph:
             if m.tenant_field:
                 raise MappingError(f"{cls}: a triple table has no column of tenants")
             return self._triple_star(subject, m, props or {}, optional or {}, graph_var)
-        df = self.catalog.rows(cls, self.graph, self.tenant)
+        df = self.catalog.rows(cls, self.named if graph_var and self.named is not None else self.graph, self.tenant)
         out: dict[str, tuple[Column, Var]] = {}
         if subject.startswith("?"):
             if m.key is not None:
@@ -134,8 +146,9 @@ class Graph:
         df = self.catalog.table(table)
         column = graph_field or ("_graph" if "_graph" in df.columns else None)
         named = F.col(column) if column else F.lit(None).cast("string")
-        if self.graph is not None:
-            df = df.where(in_graph(named, self.graph))
+        scope = self.named if graph_var and self.named is not None else self.graph
+        if scope is not None:
+            df = df.where(in_graph(named, scope))
         out: dict[str, Column] = {}
         places = {"s": (subject, F.col("subject_uri")), "p": (predicate, F.col("predicate")), "o": (object_, F.coalesce("object_uri", "object_value"))}
         for place, (want, column) in places.items():

@@ -82,6 +82,17 @@ def profile(name: str, df: DataFrame) -> Profile:
     return Profile(name, n, style, *(found or (None, ())), columns=tuple(df.columns))
 
 
+def columns_profile(df: DataFrame, rows: int = 1_000) -> list[tuple[str, str, float, bool]]:
+    """Name, type, filled share and whether a value is required, by a sample of at most ``rows`` rows.
+
+    A column is required if every sampled row fills it; a table without rows requires none.
+    """
+    some = df.limit(rows)
+    counts = some.agg(F.count("*"), *(F.count(F.col(f"`{c}`")) for c in df.columns)).first()
+    n = counts[0]
+    return [(c, t, filled / n if n else 0.0, n > 0 and filled == n) for (c, t), filled in zip(df.dtypes, counts[1:])]
+
+
 def overall(profiles: list[Profile]) -> str:
     """``pg``, ``lpg``, ``rpt``, ``hybrid`` or ``unknown``."""
     kinds = {{"plain": "pg", "labelled": "lpg", "triples": "rpt"}[p.style] for p in profiles if p.style != "edges" and p.rows}

@@ -12,7 +12,7 @@ from bindery.functions import strings as S
 from bindery.operators import paths as P
 from bindery.operators.patterns import Graph, values
 from bindery.operators.solutions import Solutions, Var
-from bindery.sources.catalog import Catalog, ClassMap, EdgeMap, MappingError, Prop, drift, fingerprint, from_bundle
+from bindery.sources.catalog import RDF_TYPE, Catalog, ClassMap, EdgeMap, MappingError, Prop, drift, fingerprint, from_bundle
 
 
 def bag(rows):
@@ -163,6 +163,65 @@ def test_null_compatible_joins_against_brute_force(spark):
         assert got(a.minus(b)) == plain(lambda x: not any(fits(x, y) and share(x, y) for y in right))
 
 
+def facts(spark):
+    rows = [("a", RDF_TYPE, "http://x/T", None, "g1"), ("a", "age", None, "7", "g1"), ("b", RDF_TYPE, "http://x/T", None, "g2"), ("b", "knows", "a", None, "g2"), ("c", RDF_TYPE, "http://x/U", None, None)]
+    df = spark.createDataFrame(rows, "subject_uri string, predicate string, object_uri string, object_value string, _graph string")
+    return Catalog({"facts": df}, {"T": ClassMap("facts", "subject_uri", triples_of="http://x/T", graph_field="_graph")})
+
+
+def test_triple_tables_in_optional_minus_and_exists(spark):
+    g = Graph(facts(spark))
+    t = g.star("?s", "T")
+    one = lambda s: sorted(tuple(r) for r in s.df.collect())
+    assert one(t.optional(g.triples("facts", "?s", "age", "?age"))) == [("a", "7"), ("b", None)]
+    assert one(g.star("?s", "T", optional={"age": "?age"})) == [("a", "7"), ("b", None)]
+    assert one(t.minus(g.star("?s", "T", {"age": "?x"}))) == [("b",)]
+    assert one(t.exists(g.star("?s", "T", {"knows": "?o"}))) == [("b",)]
+    assert {tuple(r) for r in g.describe("T", ["a"]).collect()} == {("a", RDF_TYPE, "http://x/T"), ("a", "age", "7")}
+
+
+def test_scope_reaches_every_part(spark):
+    g = Graph(facts(spark))
+    inner = g.inside("g1")
+    # GRAPH around a sub-select, MINUS and EXISTS: each part is read in the graph
+    assert inner.star("?s", "T").exists(inner.star("?s", "T", {"age": "?x"})).df.count() == 1
+    assert inner.star("?s", "T").minus(inner.star("?s", "T", {"knows": "?x"})).df.count() == 1
+    assert inner.star("?s", "T").join(inner.star("?s", "T").group(["s"], {"n": F.count("*")})).df.count() == 1
+    assert inner.inside("g2").star("?s", "T").df.first()["s"] == "b"
+    data = g.dataset("g1", named=("g2",))
+    assert [r["s"] for r in data.star("?s", "T").df.collect()] == ["a"]
+    assert [tuple(r) for r in data.star("?s", "T", graph_var="g").df.select("s", "g").collect()] == [("b", "g2")]
+    assert data.inside("g1").star("?s", "T").df.count() == 0 and data.inside("g2").star("?s", "T").df.count() == 1
+
+
+def test_variable_predicate_of_undeclared_columns_warns(spark):
+    c = people(spark)
+    got = Graph(c).star("?p", "Person", {"org": "?o"})
+    assert got.df.count() == 3 and any("org" in w for w in c.warnings)
+
+
+def test_shards_repeat_rows_unless_told(spark):
+    t = spark.createDataFrame([("a",)], "_uri string")
+    for distinct, n in ((False, 2), (True, 1)):
+        c = Catalog({"x": t, "y": t}, {"C": ClassMap("f*", "_uri")}, {}, {"f*": ("x", "y")}, distinct)
+        assert Graph(c).star("?s", "C").df.count() == n
+
+
+def test_minus_and_unions_do_not_see_outer_bindings(spark):
+    outer = values(spark, [{"a": 1, "b": 1}, {"a": 2, "b": 5}], "a int, b int")
+    inner = values(spark, [{"a": 1, "c": 9}], "a int, c int").bind("b2", F.lit(None).cast("int"))
+    # a filter inside MINUS on a variable that is bound outside only is an error, so the part is empty
+    assert outer.minus(inner.filter(F.col("b2") == 1).project("a")).df.count() == 2
+    assert outer.exists(inner, lambda left, right: left["b"] == 1).df.count() == 1
+
+
+def test_construct_and_describe_with_limits(spark):
+    g = Graph(people(spark))
+    s = g.star("?p", "Person", {"name": "?n"}).order_by(F.col("n")).slice(2)
+    assert s.construct(("?p", "http://v/name", "?n")).count() == 2
+    assert {r["subject"] for r in g.describe("Person", s, "p", ("name",)).collect()} == {"http://p/1", "http://p/2"}
+
+
 def test_star_details(spark):
     g = Graph(people(spark))
     assert g.star("?p", "Person", {"age": "?a"}).df.count() == 2  # a missing value is no triple

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bindery.operators.patterns import Graph, values
 from bindery.operators.solutions import Solutions, Var
 from bindery.sources.catalog import RDF_TYPE
-from bindery.sources.detect import detect, discriminator, object_properties, sample_questions
+from bindery.sources.detect import columns_profile, detect, discriminator, object_properties, sample_questions
 from bindery.sources.formats import ask_text, malformed, ntriples, read_ntriples, result_lines, write_results
 from bindery.streaming import watch, windowed_counts
 
@@ -80,6 +80,12 @@ def test_detection(spark):
     assert set(c.within({"users", "Doc"}).edges) == {"WROTE"}
 
 
+def test_columns_profile(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
+    assert columns_profile(df) == [("a", "int", 1.0, True), ("b", "string", 0.5, False)]
+    assert columns_profile(df.limit(0)) == [("a", "int", 0.0, False), ("b", "string", 0.0, False)]
+
+
 def test_detection_keeps_all_classes(spark):
     many = spark.range(1_200).select(F.concat(F.lit("s"), "id").alias("subject_uri"), F.lit(RDF_TYPE).alias("predicate"), F.concat(F.lit("http://x/C"), "id").alias("object_uri"), F.lit(None).cast("string").alias("object_value"))
     things = spark.range(80).select(F.concat(F.lit("v"), "id").alias("_id"), F.concat(F.lit("a.b"), F.col("id") % 40).alias("type"))
