@@ -17,7 +17,7 @@ from re import _parser as regex_tree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 
 @dataclass(frozen=True)
@@ -113,9 +113,9 @@ def trigram_query(regex: str) -> Query:
 def postings(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
     """The inverted index ``trigram, doc`` over the trigrams that the rules' queries name."""
     named = sorted({t for r in rules for clause in trigram_query(r.regex) for need in clause for t in need})
-    text = F.lower(F.col(text_col).cast("string"))
-    held = F.filter(F.array(*map(F.lit, named)), lambda t: F.contains(F.col("_text"), t)) if named else F.array().cast("array<string>")
-    return docs.select(F.col(id_col).alias("doc"), text.alias("_text")).where("doc IS NOT NULL").select("doc", F.explode(held).alias("trigram"))
+    text = F.lower(F.col(f"`{text_col}`").cast("string"))
+    held = F.filter(F.array(*map(F.lit, named)), lambda t: F.contains(F.col("low"), t)) if named else F.array().cast("array<string>")
+    return docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("low")).where("doc IS NOT NULL").select("doc", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -163,19 +163,23 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     a number into ``rules``, in the order of start and kind. Matches of one rule
     do not overlap; those of several may. Null and empty texts have none. Rows
     with a null id are searched by every rule; rows that share an id are
-    candidates together and searched apart. ``id_col`` may have any type.
+    candidates together and searched apart. ``id_col`` may have any type. An
+    empty table gives no rows; a text is one row's work, however long; no
+    column but ``secret_spans`` is touched.
     """
     keep = [c for c in docs.columns if c != "secret_spans"]
     index = written(postings(docs, rules, id_col, text_col), "trigrams")
-    found = candidates(index, rules).withColumnsRenamed({"doc": "_doc", "rules": "_rules"})
-    # merged at every size: skew can be split, and a few candidates more change no plan
-    joined = docs.select(*(F.col(f"`{c}`") for c in keep)).join(found.hint("merge"), F.col(id_col) == F.col("_doc"), "left")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    doc, may = free("doc", docs), free("rules", docs)
+    # written, so that the planner knows the size: a small table is sent to the texts, and
+    # only one too large for that makes them move
+    found = written(candidates(index, rules).withColumnsRenamed({"doc": doc, "rules": may}), "secret-candidates")
+    joined = docs.select(*(F.col(f"`{c}`") for c in keep)).join(found, F.col(f"`{id_col}`") == F.col(doc), "left")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     spans = []
     for i, rule in enumerate(rules):
         own = _spans(text, i, rule)
         if trigram_query(rule.regex):
-            searched = F.col(id_col).isNull() | F.coalesce(F.array_contains("_rules", F.lit(i)), F.lit(False))
+            searched = F.col(f"`{id_col}`").isNull() | F.coalesce(F.array_contains(may, F.lit(i)), F.lit(False))
             own = F.when(searched, own).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
         spans.append(own)
     return joined.select(*(F.col(f"`{c}`") for c in keep), F.array_sort(F.flatten(F.array(*spans))).alias("secret_spans"))
