@@ -10,9 +10,13 @@ mail address is permuted letter by letter within its character classes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 ROUNDS = 8
 #: Fixed formats, tried in this order at each place of the text.
 PATTERNS = {
@@ -175,38 +179,59 @@ def _mail(m: Column, key: str) -> Column:
     return F.concat(new, F.lit("@"), F.substring_index(m, "@", -1))
 
 
-def pseudonym(m: Column, kind: Column, key: str) -> Column:
+def pseudonym_of(m: Column, kind: str, key: str) -> Column:
     """The pseudonym of a match, or null if it is no valid value of its kind."""
     makers = {"mail": _mail, "ip": _ip, "ssn": _ssn, "phone": _phone, "foreign_phone": _foreign_phone, "card": _card}
-    out = None
-    for name in KINDS:
-        made = makers[name](m, key) if name in makers else _date(m, key, name)
-        out = F.when(kind == name, made) if out is None else out.when(kind == name, made)
-    return out
+    return makers[kind](m, key) if kind in makers else _date(m, key, kind)
+
+
+#: Marks put around matches, and what stands for these characters in a text while they are in use.
+OPEN, NEXT, ESCAPE = "\x01", "\x02", "\x03"
+ESCAPED = {ESCAPE: ESCAPE + "\x04", OPEN: ESCAPE + "\x05", NEXT: ESCAPE + "\x06"}
+
+
+def _swapped(text: Column, pairs: dict[str, str]) -> Column:
+    for old, new in pairs.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The input's rows and columns with pseudonyms in the text, and ``n_values``, their number.
 
-    ``key`` selects the permutation; keep it secret. Null texts stay null, with
-    0 values; values that fail their check (Luhn, calendar, octets, ranges)
-    stay as they are. A column ``n_values`` of the input is replaced. Rows are
-    independent, so null, repeated or odd ids do not matter.
+    ``key`` selects the permutation; keep it secret (it is part of the plan, so
+    plans are secret too); an empty one is refused. Null texts stay null, with
+    0 values; empty texts stay empty; values that fail their check (Luhn,
+    calendar, octets, ranges) stay as they are. A column ``n_values`` of the
+    input is replaced. Rows are independent, so null, repeated or odd ids do
+    not matter; an empty table gives no rows; a text is one row's work.
     """
+    if not key:
+        raise ValueError("a key is needed")
     keep = [c for c in docs.columns if c != "n_values"]
     text = F.col(f"`{text_col}`").cast("string")
-    pattern = "|".join(f"(?:{p})" for p in PATTERNS.values())
+    # one scan of the text: each match comes back between marks, in the place of its kind
+    pattern = "|".join(f"({p})" for p in PATTERNS.values())
+    marked = OPEN + NEXT.join(f"${i + 1}" for i in range(len(KINDS))) + OPEN
+    rare = reduce(lambda a, b: a | b, (F.contains(text, F.lit(c)) for c in ESCAPED))
+    safe = F.when(rare, _swapped(text, ESCAPED)).otherwise(text)
+
     def value(m: Column) -> Column:
-        which = None  # the borders were judged in the text already
-        for name, p in PATTERNS.items():
-            alone = m.rlike(f"^(?:{p})$")
-            which = F.when(alone, name) if which is None else which.when(alone, name)
-        return F.struct(m.alias("old"), _let(which, lambda k: pseudonym(m, k, key)).alias("new"))
-
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), value)
-    gaps = F.split(text, pattern, -1)
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.when(text.rlike(pattern), F.struct(gaps.alias("gaps"), found.alias("found"))).alias("_found"))
-    pieces = F.zip_with(F.col("_found.gaps"), F.col("_found.found"), lambda g, f: F.concat(g, F.coalesce(f["new"], f["old"], F.lit(""))))
-    changed = F.size(F.filter(F.col("_found.found"), lambda f: f["new"].isNotNull()))
-    new_text = F.when(F.col("_found").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(pieces, "")).alias(text_col)
-    return rows.select(*(new_text if c == text_col else F.col(f"`{c}`") for c in keep), F.when(F.col("_found").isNull(), 0).otherwise(changed).cast("long").alias("n_values"))
+        """A match and its pseudonym, of the one kind that is not empty."""
+        kinds = F.split(m, NEXT, -1)
+        made = lambda i: makers[i](F.element_at(kinds, i + 1))
+        makers = [lambda x, n=n: pseudonym_of(x, n, key) for n in KINDS]
+        new = reduce(lambda out, i: out.when(F.element_at(kinds, i + 1) != "", made(i)), range(1, len(KINDS)), F.when(F.element_at(kinds, 1) != "", made(0)))
+        return F.struct(F.array_join(kinds, "").alias("old"), new.alias("new"))
+
+    parts, found = free("parts", docs), free("found", docs)
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.split(F.regexp_replace(safe, F.lit(pattern), F.lit(marked)), OPEN, -1).alias(parts))
+    # pieces of the text and matches take turns
+    matches = F.transform(F.filter(parts, lambda x, i: i % 2 == 1), value)
+    rows = rows.select(*(F.col(f"`{c}`") for c in keep), F.col(parts), F.when(F.size(parts) > 1, matches).alias(found))
+    gaps = F.filter(parts, lambda x, i: i % 2 == 0)
+    new = F.zip_with(gaps, F.col(found), lambda g, f: F.concat(g, F.coalesce(f["new"], f["old"], F.lit(""))))
+    joined = F.array_join(new, "")
+    new_text = F.when(F.col(found).isNull(), F.col(f"`{text_col}`")).otherwise(F.when(F.contains(joined, F.lit(ESCAPE)), _swapped(joined, {v: k for k, v in reversed(ESCAPED.items())})).otherwise(joined))
+    changed = F.size(F.filter(F.col(found), lambda f: f["new"].isNotNull()))
+    return rows.select(*(new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in keep), F.when(F.col(found).isNull(), 0).otherwise(changed).cast("long").alias("n_values"))

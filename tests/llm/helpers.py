@@ -4,7 +4,9 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, rank int, hash long, copies int"
+#: Names that operators use themselves, or did.
+CLASHES = "_id _doc _rules _found _text _masked _hash _copy id doc rules found parts masked own turn below times size s row line lines host word words fp cell point component known none label target".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, rank int, hash long, copies int, " + ", ".join(f"{n} string" for n in CLASHES)
 
 
 def words(text):
@@ -13,7 +15,7 @@ def words(text):
 
 def frame(spark, rows, schema="doc_id long, text string, source string"):
     """Documents with extra columns that clash with names the operators use."""
-    full = [(d, t, "en", s, len(t or ""), 0.5, 1, 7, 9) for d, t, s in rows]
+    full = [(d, t, "en", s, len(t or ""), 0.5, 1, 7, 9, *CLASHES) for d, t, s in rows]
     return spark.createDataFrame(full, DOCS)
 
 

@@ -78,13 +78,74 @@ def test_simhash_components(spark):
             if b < a and (prints[a] ^ prints[b]).bit_count() <= 2:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    for limit in (48, 2):  # few pairs a cell, and hubs for nearly all
-        import bindery.llm.simhash as simhash
+    got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == {d: (prints[d], find(d)) for d in prints}
+
+
+def test_simhash_links_in_a_crowd(spark):
+    """Hundreds of fingerprints a few bits around one, and some far away: the same components as all pairs give."""
+    from bindery.llm.components import connected
+    from bindery.llm.simhash import links
+
+    rng = random.Random(6)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = rng.getrandbits(64)
+    around = [base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for _ in range(400)]
+    prints = sorted({*around, *(rng.getrandbits(64) for _ in range(50)), 0, 3, 2**64 - 1, 2**63})
+    edges = links(spark.createDataFrame([(signed(x),) for x in prints], "fp long"))
+    parts = {x: x for x in prints}
+    for x in prints:
+        for y in prints:
+            if x < y and (x ^ y).bit_count() <= 2 and parts[x] != parts[y]:
+                old, new = max(parts[x], parts[y]), min(parts[x], parts[y])
+                parts = {k: new if v == old else v for k, v in parts.items()}
+    roots = {r["node"] % 2**64: r["root"] for r in connected(edges).collect()}
+    got = {x: roots.get(x, signed(x)) for x in prints}
+    group = lambda by: {frozenset(x for x in prints if by[x] == v) for v in by.values()}
+    assert group(got) == group(parts)
+    assert all((r["a"] ^ r["b"]) % 2**64 in {(1 << i) | (1 << j) for i in range(64) for j in range(64)} for r in edges.collect())
+
+
+def test_clean_text(spark):
+    notice = "Subscribe   TODAY and get 10 issues"
+    rows = [(i, f"own {i} " * 15 + f"\n{notice.upper() if i % 2 else notice}\n\nlast {i}", "a") for i in range(25)] + [(90, notice, "b"), (None, None, "a"), (91, "", "a")]
+    got = {r["doc_id"]: r["clean_text"] for r in quality(frame(spark, rows), with_text=True).collect()}
+    assert got == {d: t if d in (90, 91, None) else f"own {d} " * 15 + f"\n\nlast {d}" for d, t, _ in rows}
+    # copies of one row are one document
+    twice = [(1, notice, "a")] * 30 + [(2, notice, "a")]
+    assert all(r["removed_words"] == 0 for r in quality(frame(spark, twice)).collect())
+
+
+def test_columns_are_kept(spark):
+    rows = corpus(12, 2)
+    docs = frame(spark, rows)
+    everything = sorted(map(repr, docs.collect()))
+    mixed = mix(docs.drop("copies"), keep=[c for c in docs.columns if c != "copies"])
+    assert set(mixed.columns) == set(docs.columns) and mixed.count() == len(rows)
+    for changed in (scan(docs), pseudonymize(docs, "k")):
+        assert changed.columns[:-1] == docs.columns
+        assert sorted(map(repr, changed.drop(changed.columns[-1]).collect())) == everything
+    assert scan(scan(docs)).columns == scan(docs).columns
+
 
-        simhash.PAIRS_UP_TO = limit
-        got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in near_duplicates(frame(spark, rows)).collect()}
-        assert got == {d: (prints[d], find(d)) for d in prints}
-    simhash.PAIRS_UP_TO = 48
+def test_long_text(spark):
+    """A text of some 5 MB, in several parts, with a repeat across parts and one of another document."""
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    text = " ".join(rng.choices(vocabulary, k=750_000))
+    passage = " ".join(rng.choices(vocabulary, k=60))
+    long = text[:2_000_000] + " " + passage + " " + text[2_000_000:] + " " + passage + " end"
+    docs = frame(spark, [(2, long, "a"), (1, "Q " + passage, "a")])
+    found = {r["doc_id"]: r for r in suffix_array.remove_repeats(docs).collect()}
+    removed = [long.encode()[a:b].decode() for a, b in zip(found[2]["starts"], found[2]["ends"])]
+    assert found[2]["n_bytes"] == len(long) and [r.strip() for r in removed] == [passage, passage] and not found[1]["starts"]
+    assert bytes(found[2]["kept"]).decode() == "".join(long.split(" " + passage + " ")) or len(found[2]["kept"]) == len(long) - sum(map(len, removed))
+    words_found = {r["doc_id"]: r for r in suffix_tree.remove_repeats(docs).collect()}
+    assert words_found[2]["n_words"] == len(long.split()) and words_found[2]["n_removed"] == 120 and words_found[1]["n_removed"] == 0
+    assert words_found[2]["kept"] == " ".join(long.replace(passage, "").split())
+    assert quality(docs).where("doc_id = 2").first()["n_words"] == len(long.split())
+    coded = encode_documents(docs, SPEC).where("doc_id = 2").first()
+    assert len(coded["ids"]) // 4 >= len(long.split())
 
 
 def test_mixing_targets(spark):
