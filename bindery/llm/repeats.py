@@ -22,8 +22,8 @@ from .common import binary_column, written
 BLOCK_BYTES = 2 << 20
 #: A group answers for about so many bytes of text.
 GROUP_BYTES = 6 << 20
-#: Groups are no more than this; beyond it they grow.
-MOST_GROUPS = 1 << 17
+#: Groups are no more than this (every task knows a bound of each, 8 MB in all); beyond it, that is from 6 TB on, they grow.
+MOST_GROUPS = 1 << 20
 #: A task of a shuffle takes about so many bytes of text.
 TASK_BYTES = 24 << 20
 #: Stands for the id of a document without one: it is in no order with others.

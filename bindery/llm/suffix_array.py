@@ -65,8 +65,8 @@ TRIPLE = 21
 LEFT, RIGHT = PERIOD - 1, LENGTH - TRIPLE
 #: Bytes of a sent name of a triple of names, and of a name with its surroundings.
 NAMES, AROUND = 20, 4 + LEFT + RIGHT + 2
-#: So many sampled keys for each group help to place the bounds.
-SAMPLES = 32
+#: So many sampled keys for each group help to place the bounds, but no more than the driver should hold.
+SAMPLES, MOST_SAMPLES = 64, 1 << 23
 U64 = np.uint64
 
 
@@ -334,7 +334,7 @@ def _join(parts: pa.Table) -> pa.Table:
 def _bounds(blocks: DataFrame, total: int) -> np.ndarray:
     """Bounds of the groups over the first 8 bytes of the triples, from a sample of bounded size."""
     groups = min(MOST_GROUPS, max(1, -(-total // GROUP_BYTES)))
-    stride = max(1, total * len(COVER) // PERIOD // (SAMPLES * groups))
+    stride = max(1, total * len(COVER) // PERIOD // min(SAMPLES * groups, MOST_SAMPLES))
 
     def some(block: Block) -> pa.RecordBatch:
         text = _Text(block)
