@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import binary_column, free, pieces, worker_state
 
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     return fit((w.as_py().split() for w in got["words"]), got["label"].to_pylist())
 
 
-def _score(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(model: Model, at: int, kept_columns: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = worker_state("toxicity")
     if kept.get("model") != model:
         kept.clear()
@@ -191,8 +191,7 @@ def _score(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator
                     known[w] = model.word_margin(w)
             out.append(model.bias + sum([known[w] for w in words]) / max(len(words), 1))
         scores = 1 / (1 + np.exp(-np.clip(out, -700, 700)))
-        left = [i for i in range(batch.num_columns) if i != at]  # the text to score comes last, beside what is kept
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in left), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in left), "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept_columns], pa.array(scores, pa.float64())], names=[*batch.schema.names[:kept_columns], "score"])
 
 
 def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -202,9 +201,11 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text
     ids are scored like others; a column ``score`` of the input is replaced. An
     empty table gives no rows. A text is one task's work, however long.
     """
-    kept = [F.col(f"`{c}`") for c in keep if c != "score"]
-    whole = F.col(f"`{text_col}`").cast("string").alias(free("text", docs))
-    rows = docs.select(*kept, whole)
-    at = len(kept)
-    schema = StructType([*rows.schema][:at] + [StructField("score", DoubleType())])
-    return rows.mapInArrow(lambda batches: _score(model, at, batches), schema)
+    names = [c for c in keep if c != "score"]
+    rows, at = docs.select(*(F.col(f"`{c}`") for c in names)), len(names)
+    if text_col in names and docs.schema[text_col].dataType == StringType():
+        at = names.index(text_col)  # the text is sent once
+    else:
+        rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias(free("text", docs)))
+    schema = StructType([*rows.schema][: len(names)] + [StructField("score", DoubleType())])
+    return rows.mapInArrow(lambda batches: _score(model, at, len(names), batches), schema)
