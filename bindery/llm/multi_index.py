@@ -36,8 +36,10 @@ FIT_ROWS = 4_096
 HELD = 0.985
 #: The small radius: each substring within one bit.
 NEAR = 2 * PARTS - 1
-#: Rows of the index in a block, and queries in a block.
-INDEX_ROWS, QUERY_ROWS = 8_192, 4_096
+#: Rows of the index in a block, and queries in a block. The index is copied once for each block of queries.
+INDEX_ROWS, QUERY_ROWS = 8_192, 16_384
+#: Queries of one vector are spread over so many keys when they get its answer.
+SALT = 16
 
 
 def learn_codes(sample: np.ndarray, rounds: int = 30, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +100,9 @@ def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             x = np.array([np.nan if y is None else y for y in v], np.float64) + 0.0  # -0 is 0
             if len(x) == dim and np.isfinite(x).all() and x.any():
+                # a power of two changes no cosine and keeps squares from over- and underflow
                 ids.append(i)
-                packed.append(x.tobytes())
+                packed.append(np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["id", "vec"])
 
 
@@ -141,7 +144,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` vectors of largest cosine found for each query.
 
     ``queries`` holds ids of ``vectors`` (one column); a query's own id is no
@@ -149,6 +152,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     than most, or that hold null or non-finite numbers take no part. Ties go to
     the smaller id; ids should be distinct (repeated ones are candidates each).
     With fewer candidates all found are returned; empty inputs give no rows.
+    With ``exact`` the large radius is that of all codes and every query takes
+    it, so nothing is missed.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -167,7 +172,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         centre, projection = learn_codes(fitted)
     else:
         centre, projection = np.zeros(dim), np.random.default_rng(1).normal(size=(dim, BITS))
-    wide = wide_radius(fitted, codes(fitted, centre, projection), k)
+    wide = BITS if exact else wide_radius(fitted, codes(fitted, centre, projection), k)
 
     # equal vectors: the smallest k + 1 ids, of which one may be the query's own
     order = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
@@ -175,7 +180,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     distinct = kept.groupBy("vec").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")).select("rep", "vec", "ids")
     index = written(distinct.mapInArrow(lambda b: _coded(b, centre, projection), "rep long, vec binary, ids array<long>, code long"), "mih-index")
     asked_ids = queries.select(F.col(queries.columns[0]).cast("long").alias("id")).distinct()
-    asked = packed.join(asked_ids, "id").join(index.select("vec", "rep"), "vec").select(F.col("id").alias("query_id"), "rep")
+    # queries of one vector are spread over salted keys here too
+    spread = index.select("vec", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = packed.join(asked_ids, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    asked = salted.join(spread, ["vec", "salt"]).select(F.col("id").alias("query_id"), "rep")
     asked = written(asked, "mih-queries")
     probes = written(index.join(asked.select("rep").distinct(), "rep", "left_semi"), "mih-probes")
 
@@ -188,7 +196,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     right = index.select("rep", "code", F.explode(F.array(*tables)).alias("b")).select("rep", "code", "b.*")
     met = left.join(right, ["part", "bucket"]).where(F.bit_count(F.col("q_code").bitwiseXOR(F.col("code"))) <= NEAR).select("q", "rep").distinct()
     near = _rerank(met, probes, index, k)
-    enough = close_enough(NEAR)
+    enough = 2.0 if exact else close_enough(NEAR)
     done = near.groupBy("rep").agg(F.count("*").alias("n"), F.min("score").alias("last")).where((F.col("n") == k + 1) & (F.col("last") >= enough))
     near = written(near.join(done.select("rep"), "rep", "left_semi").select("rep", "id", "score"), "mih-near")
 
@@ -202,10 +210,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     far = asking.groupBy("i", "j").cogroup(blocks.groupBy("i", "j")).applyInArrow(
         lambda a, b: _search(a, b, wide, k + 1), "rep long, id long, score double"
     )
-    found = _top(near.unionAll(far), k + 1)
-    hits = asked.join(found.select("rep", "id", "score"), "rep").where("id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    # one list for each vector that is asked for; its queries, however many, get it by salted keys
+    found = _top(near.unionAll(far), k + 1).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id")))).alias("found"))
+    salt = F.pmod(F.xxhash64("query_id"), F.lit(SALT)).cast("int")
+    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hits = asked.withColumn("salt", salt).join(spread, ["rep", "salt"])
+    others = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k)
+    ranked = hits.select("query_id", F.posexplode(others).alias("at", "f"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("f.id").alias("vec_id"), (-F.col("f.s")).alias("score"))
 
 
 def _cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
