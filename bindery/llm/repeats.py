@@ -117,15 +117,7 @@ def big_endian(rows: np.ndarray) -> list[np.ndarray]:
 
 def sort_columns(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The stable order of rows given by columns, and where in it a new row begins."""
-    # by the first column, and only where that ties by all
-    order = np.argsort(columns[0])
-    first = columns[0][order]
-    same = first[1:] == first[:-1]
-    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(order) else order
-    if len(tied):
-        own = order[tied]
-        run = np.cumsum(np.append(True, ~same))[tied]
-        order[tied] = own[np.lexsort([own, *(c[own] for c in columns[:0:-1]), run])]
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in columns:
@@ -134,6 +126,22 @@ def sort_columns(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def sort_bytes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of rows of bytes, and where in it a new row begins.
+
+    Rows are compared as strings, by a sort that gains from runs in order, as
+    the rows of several parcels are; a last byte keeps trailing zeros.
+    """
+    wide = np.ones((len(rows), rows.shape[1] + 1), np.uint8)
+    wide[:, :-1] = rows
+    text = wide.view(f"S{wide.shape[1]}").ravel()
+    order = np.argsort(text, kind="stable")
+    text = text[order]
+    new = np.ones(len(order), bool)
+    new[1:] = text[1:] != text[:-1]
+    return order, new
+
+
 def common_prefixes(rows: np.ndarray) -> np.ndarray:
     """How many leading elements each row shares with the one before (none for the first)."""
     out = np.zeros(len(rows), np.int32)

@@ -48,6 +48,7 @@ from .repeats import (
     least_ids,
     parcels,
     parts_joined,
+    sort_bytes,
     sort_columns,
     split,
     squeeze,
@@ -117,7 +118,7 @@ class _Text:
 def _send_triples(block: Block, bounds: np.ndarray) -> pa.RecordBatch:
     text = _Text(block)
     rows = text.triples(text.sampled())
-    order, new = sort_columns(big_endian(rows))
+    order, new = sort_bytes(rows)
     first = np.flatnonzero(new)
     rows, twice = rows[order[first]], np.diff(np.append(first, len(order))) > 1
     groups = np.searchsorted(bounds, big_endian(rows[:, :8])[0], side="right")
@@ -128,9 +129,9 @@ def _rank_triples(table: pa.Table) -> list[bytes]:
     counts = table["n"].to_pylist()
     rows = front_decode(table["rows"].to_pylist(), counts, TRIPLE)
     twice = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table["marks"].to_pylist(), counts)])
-    columns, n = big_endian(rows), len(rows)
+    n = len(rows)
+    order, new = sort_bytes(rows)
     del rows
-    order, new = sort_columns(columns)
     first = np.flatnonzero(new)
     repeated = (np.diff(np.append(first, len(order))) > 1) | np.maximum.reduceat(twice[order], first).astype(bool)
     rank = np.zeros(n, np.uint32)
@@ -158,7 +159,7 @@ def _name_places(block: Block, answers: pa.Table) -> pa.RecordBatch:
     at = text.sampled()
     name = np.zeros(len(at), U64)
     if len(at):
-        order, new = sort_columns(big_endian(text.triples(at)))
+        order, new = sort_bytes(text.triples(at))
         told = answers.sort_by("grp")
         ranks = [(U64(g) << U64(32) | r) * (r > 0) for g, r in zip(told["grp"].to_pylist(), map(_ranks_decoded, told["answer"].to_pylist()))]
         name[order] = np.concatenate(ranks)[np.cumsum(new) - 1]
@@ -208,7 +209,7 @@ def _later(order: np.ndarray, new: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _compare_names(table: pa.Table) -> list[bytes]:
     counts, rows, ids = _opened(table, NAMES)
-    later = _later(*sort_columns(big_endian(rows)), ids)
+    later = _later(*sort_bytes(rows), ids)
     return [zstandard.compress(b.tobytes()) for b in split(later, counts)]
 
 
@@ -249,7 +250,8 @@ class _Surroundings:
             rows[:, 4 + LEFT : -2] = sliding_window_view(wide, RIGHT)[at + LEFT + TRIPLE] * (np.arange(RIGHT) < self.after[:, None])
         rows[:, -2], rows[:, -1] = self.before, self.after
         self.ids = text.ids(at)
-        self.order, new = sort_columns([self.name >> U64(32), *big_endian(rows)])
+        # the whole name, group and rank, leads
+        self.order, new = sort_bytes(np.concatenate([self.name.astype(">u8").view(np.uint8).reshape(-1, 8), rows[:, 4:]], axis=1))
         self.rows = rows[self.order[new]]
         self.groups = (self.name[self.order[new]] >> U64(32)).astype(np.int64)
         self.least = least_ids(self.ids[self.order], new)
@@ -279,7 +281,7 @@ def _merge_suffixes(table: pa.Table) -> list[bytes]:
     before, after = rows[:, -2], rows[:, -1]
     sides = []
     for part in (rows[:, : 4 + LEFT], np.concatenate([rows[:, :4], rows[:, 4 + LEFT : -2]], axis=1)):
-        order, _ = sort_columns(big_endian(part))
+        order, _ = sort_bytes(part)
         shared = common_prefixes(part[order])
         shared[:1] = -1
         sides.append((order, shared))
