@@ -29,7 +29,7 @@ from .common import pieces, worker_state
 
 #: Encodings a task keeps before it starts anew, and neighbours and states the
 #: encoder keeps; these bound memory, not results.
-CACHE_WORDS, CACHE_PAIRS, CACHE_STATES = 150_000, 300_000, 60_000
+CACHE_WORDS, CACHE_PAIRS, CACHE_STATES = 100_000, 150_000, 30_000
 #: Text that is encoded at once.
 PIECE_BYTES = 3 << 20
 END = "</w>"

@@ -33,7 +33,7 @@ BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 8, 120, 2.0
 #: n-grams get a vector when their share of label 1 is so many deviations off, in so many texts.
 LEAST_Z, LEAST_TEXTS = 5.0, 5
 #: Words whose numbers a task keeps before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _EDGES = b".,;:!?|*$%&#\"'()[]{}<>-_=+~/\\"
 
 
