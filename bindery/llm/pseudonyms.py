@@ -20,7 +20,8 @@ from .common import free
 ROUNDS = 8
 #: Fixed formats, tried in this order at each place of the text.
 PATTERNS = {
-    "mail": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
+    # scanned once a word, without going back
+    "mail": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,254}+(?<=[A-Za-z0-9])@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
     "iso_date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "us_date": r"(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?![\d/])",
     "dot_date": r"(?<![\d.])\d{1,2}\.\d{1,2}\.\d{4}(?![\d])",
