@@ -140,8 +140,11 @@ def _search(queries: pa.Table, index: pa.Table, radius: int, k: int) -> pa.Table
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("rep").orderBy(F.col("score").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The best ``k`` for each vector asked for, first within parts of what was found for it."""
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "id"))
+    parts = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    few = parts.withColumn("rank", best("rep", "salt")).where(F.col("rank") <= k).drop("salt", "rank")
+    return few.withColumn("rank", best("rep")).where(F.col("rank") <= k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
