@@ -36,7 +36,11 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of hashes, as a signed 64-bit integer: the bits set in over half of them."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         part = hashes[i : i + 8192]
@@ -80,6 +84,23 @@ def links(fps: DataFrame) -> DataFrame:
     return near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= 2).select(F.col("fp").alias("a"), "b").distinct()
 
 
+def meetings(rows: DataFrame) -> DataFrame:
+    """Pairs ``a > b`` of ids whose fingerprints meet, of rows ``id, fp`` with distinct ids.
+
+    Two fingerprints within 5 bits differ in at most 2 bits of one of their
+    halves. Each goes to its two halves and their one-bit changes (66 points),
+    so those two meet; of all that meet at a point each is paired with the
+    smallest id, so a crowd makes no pairs among itself. The other half is free:
+    a wider pair that meets is returned too, and it is up to an exact check
+    which pairs count.
+    """
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32))
+    points = [x for half in (low, high) for x in (half, *(half.bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(32)))]
+    met = written(rows.select("id", F.explode(F.array(*points)).alias("point")), "simhash-halves")
+    least = met.groupBy("point").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").select("point", "b")
+    return met.join(least, "point").where("id > b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` for every row.
 

@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline as pipeline
+import numpy as np
+from bindery.llm import near_copies, simhash
+from pyspark.sql import functions as F
 
 from .helpers import frame
 
@@ -55,3 +58,27 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
     rows += [(7, "twice the same row of one id", "b"), (7, "twice the same row of one id", "a"), (None, "no id", "s"), (None, "no id", "s")]
     kept = pipeline.drop_near_duplicates(spark, frame(spark, rows), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in kept) == sorted((d or 0, t, s) for d, t, s in rows[:2] + rows[4:6])  # copies without an id are copies too
+
+
+def test_fingerprints_link_similar_sets(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choices(words, k=400) for _ in range(5)]
+    texts = [" ".join(b) for b in base] + [edited(rng, " ".join(base[i % 5]), 1) for i in range(30)]
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    fps = [simhash.majority(s) for s in sets]
+    bits = [[b >> i & 1 for b in map(int, sets[0])] for i in range(64)]
+    assert fps[0] & (1 << 64) - 1 == sum((2 * sum(b) > len(b)) << i for i, b in enumerate(bits))
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "id long, fp long")
+    met = {(r["a"], r["b"]) for r in simhash.meetings(rows).collect()}
+    apart = lambda a, b: bin((fps[a] ^ fps[b]) & (1 << 64) - 1).count("1")
+    close = [(a, b) for a in range(35) for b in range(a) if apart(a, b) <= 5]
+    assert len(close) > 50 and all((a, b) in met or any({(a, c), (b, c)} <= met for c in range(b)) for a, b in close)
+    lists = [(i, f, near_copies._parities(s).tolist(), s.view(np.int64).tolist()) for i, (f, s) in enumerate(zip(fps, sets))]
+    frame_ = spark.createDataFrame(lists, "set long, fp long, parities array<long>, names array<long>").withColumn("n", F.size("names"))
+    linked = {(r["a"], r["b"]) for r in near_copies.by_fingerprints(frame_).collect()}
+    assert linked and all(5 * len(grams(texts[a]) & grams(texts[b])) >= 4 * len(grams(texts[a]) | grams(texts[b])) for a, b in linked)
+    for a in range(35):
+        for b in range(a):
+            differ = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(lists[a][2], lists[b][2]))
+            assert differ <= len(np.setxor1d(sets[a], sets[b]))
