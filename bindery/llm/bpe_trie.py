@@ -96,6 +96,8 @@ class TrieEncoder:
     def trim(self) -> None:
         """Drop what is kept for speed alone, when it has grown large."""
         if self.pairs > CACHE_PAIRS or len(self.states) > CACHE_STATES:
+            for state in self.states.values():  # states lead to each other in cycles, and no collector runs meanwhile
+                state.moves.clear()
             self.follows, self.states, self.spines, self.pairs = {}, {}, {}, 0
 
     def _spine(self, token: str, side: int) -> list[tuple[str, float]]:
@@ -232,7 +234,7 @@ class TrieEncoder:
 
 
 def _encode(spec: str, batches: Iterator[pa.RecordBatch], words_per_trie: int) -> Iterator[pa.RecordBatch]:
-    gc.disable()  # no cycles here, and many small objects to look through
+    gc.disable()  # trim() breaks the cycles there are, and there are many small objects to look through
     try:
         yield from _encoded(spec, batches, words_per_trie)
     finally:

@@ -1,11 +1,14 @@
+import gc
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from bindery.llm import bpe_trie
 from bindery.llm.multi_index import close_enough, learn_codes, nearest
-from bindery.llm.queries import held_out, op5_toxicity
+from bindery.llm.queries import TOKENIZERS, held_out, op5_toxicity
 from bindery.llm.toxicity import Model, buckets_of, fit, score, train
 
 from .helpers import empty, frame
@@ -114,3 +117,18 @@ def test_codes():
     centre, projection = learn_codes(np.random.default_rng(0).normal(size=(200, 16)))
     assert projection.shape == (16, 64) and centre.shape == (16,)
     assert 0 < close_enough(7) < close_enough(3) < 1
+
+
+def test_trimmed_encoder_leaves_nothing_to_a_collector(monkeypatch):
+    encoder = bpe_trie.TrieEncoder(Path(f"{TOKENIZERS}/word_bpe_49k.json").read_text())
+    states = lambda: sum(isinstance(x, bpe_trie.State) for x in gc.get_objects())
+    gc.collect()
+    gc.disable()
+    try:
+        encoder.encode_words(["abracadabra", "banana", "cancan", "mississippi"])
+        assert states() > 20
+        monkeypatch.setattr(bpe_trie, "CACHE_STATES", 0)
+        encoder.trim()
+        assert states() == 0
+    finally:
+        gc.enable()
