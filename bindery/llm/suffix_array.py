@@ -50,6 +50,7 @@ from .repeats import (
     parts_joined,
     sort_bytes,
     sort_columns,
+    sort_mixed,
     split,
     squeeze,
     task_count,
@@ -118,7 +119,7 @@ class _Text:
 def _send_triples(block: Block, bounds: np.ndarray) -> pa.RecordBatch:
     text = _Text(block)
     rows = text.triples(text.sampled())
-    order, new = sort_bytes(rows)
+    order, new = sort_mixed(rows)
     first = np.flatnonzero(new)
     rows, twice = rows[order[first]], np.diff(np.append(first, len(order))) > 1
     groups = np.searchsorted(bounds, big_endian(rows[:, :8])[0], side="right")
@@ -159,7 +160,7 @@ def _name_places(block: Block, answers: pa.Table) -> pa.RecordBatch:
     at = text.sampled()
     name = np.zeros(len(at), U64)
     if len(at):
-        order, new = sort_bytes(text.triples(at))
+        order, new = sort_mixed(text.triples(at))
         told = answers.sort_by("grp")
         ranks = [(U64(g) << U64(32) | r) * (r > 0) for g, r in zip(told["grp"].to_pylist(), map(_ranks_decoded, told["answer"].to_pylist()))]
         name[order] = np.concatenate(ranks)[np.cumsum(new) - 1]
