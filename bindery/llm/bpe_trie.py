@@ -8,7 +8,8 @@ when it may follow the last token of the node ``len(t)`` symbols above it,
 that is, when no merge would cross the border between the two.
 
 Texts are dealt to tasks as they are stored; each task keeps the encodings of
-the words it has met (bounded, see ``CACHE_WORDS``), so nothing is shuffled.
+the words it has met twice in a piece (bounded, see ``CACHE_WORDS``), so nothing
+is shuffled.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import pieces, worker_state
 
-#: Encodings a task keeps before it starts anew, and neighbours and states the
-#: encoder keeps; these bound memory, not results.
-CACHE_WORDS, CACHE_PAIRS, CACHE_STATES = 100_000, 150_000, 30_000
-#: Text that is encoded at once.
-PIECE_BYTES = 3 << 20
+#: Encodings a task keeps, and neighbours, states and parts of tokens the encoder
+#: keeps before it starts anew; these bound memory, not results.
+CACHE_WORDS, CACHE_PAIRS, CACHE_STATES, CACHE_SPINES = 60_000, 100_000, 30_000, 10_000
+#: Text that is encoded at once; what is made of it on the way takes some twenty times as much.
+PIECE_BYTES = 1 << 20
 END = "</w>"
 #: Printable ASCII without "<", and Latin letters that no normal form changes:
 #: the normalizer only lowers them.
@@ -72,11 +73,13 @@ class TrieEncoder:
         from tokenizers import Tokenizer
 
         model = json.loads(spec)
-        library = Tokenizer.from_str(spec)
+        # only the library's splitting is used, so it gets no tokens
+        library = Tokenizer.from_str(json.dumps(model | {"model": model["model"] | {"vocab": {}, "merges": []}, "added_tokens": []}))
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
+        own = {t: t for t in model["model"]["vocab"]}  # one string for each token
+        merges = [tuple(own[t] for t in (m.split(" ") if isinstance(m, str) else m)) for m in model["model"].pop("merges")]
         self.rank = {pair: i for i, pair in enumerate(merges)}
-        self.parts = {a + b: (a, b) for a, b in merges}
+        self.parts = {own["".join(pair)]: pair for pair in merges}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         ids: dict[str, int] = model["model"]["vocab"] | self.special
@@ -92,13 +95,16 @@ class TrieEncoder:
         self.follows: dict[str, dict[str, bool]] = {}
         self.states: dict[str, State] = {}
         self.pairs = 0
+        self._whole, self.spines = {}, {}
 
     def trim(self) -> None:
         """Drop what is kept for speed alone, when it has grown large."""
         if self.pairs > CACHE_PAIRS or len(self.states) > CACHE_STATES:
             for state in self.states.values():  # states lead to each other in cycles, and no collector runs meanwhile
                 state.moves.clear()
-            self.follows, self.states, self.spines, self.pairs = {}, {}, {}, 0
+            self.follows, self.states, self.pairs = {}, {}, 0
+        if len(self.spines) > CACHE_SPINES:
+            self.spines = {}
 
     def _spine(self, token: str, side: int) -> list[tuple[str, float]]:
         """Parts of a token that touch its border, each with the rank at which it is merged away."""
@@ -246,39 +252,46 @@ def _encoded(spec: str, batches: Iterator[pa.RecordBatch], words_per_trie: int)
     kept = worker_state("bpe_trie")
     if kept.get("spec") != spec:
         kept.clear()
-        kept |= {"spec": spec, "encoder": TrieEncoder(spec), "packed": {}}
+        kept |= {"spec": spec, "encoder": TrieEncoder(spec), "packed": {}, "older": {}}
     encoder: TrieEncoder = kept["encoder"]
     names = pa.array([encoder.names.get(i, "") for i in range(max(encoder.names) + 1)])
     for batch in pieces(batches, 1, PIECE_BYTES):
-        if len(kept["packed"]) > CACHE_WORDS:
-            kept["packed"] = {}
+        if len(kept["packed"]) > CACHE_WORDS // 2:  # of the older half stays what is met again
+            kept["older"], kept["packed"] = kept["packed"], {}
         encoder.trim()
-        packed: dict[str, bytes] = kept["packed"]
-        # no token holds white space, so the chunks between it are encoded apart
-        chunks = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))
-        coded = chunks.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [c for c in distinct if c not in packed]
-        for i in range(0, len(new), words_per_trie):
-            split = [(c, encoder.split(c)) for c in new[i : i + words_per_trie]]
-            tokens = encoder.encode_words(list({w for _, words in split for w in words} - encoder.special.keys()))
-            for chunk, words in split:
-                packed[chunk] = b"".join([tokens[w] if w in tokens else encoder.packed[w] for w in words])
-        spelled = [packed[c] for c in distinct]
-        # gather each chunk's ids in the order of the texts
-        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
-        starts = np.cumsum(lengths) - lengths
-        index = coded.indices.to_numpy()
-        n = lengths[index]
-        ends = np.cumsum(n)
-        place = np.repeat(starts[index] - ends + n, n)
-        place += np.arange(len(place))
-        ids = np.frombuffer(b"".join(spelled), "<u4")[place]
-        del place
-        offsets = np.concatenate([[0], ends])[chunks.offsets.to_numpy()].astype(np.int32)
-        text = pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(pa.array(ids))), " ")
-        binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids.tobytes())])
-        yield pa.RecordBatch.from_arrays([batch.column(0), binary, text], names=["doc_id", "ids", "decoded"])
+        yield _coded(encoder, kept["packed"], kept["older"], names, batch, words_per_trie)
+
+
+def _coded(encoder: TrieEncoder, packed: dict[str, bytes], older: dict[str, bytes], names: pa.Array, batch: pa.RecordBatch, words_per_trie: int) -> pa.RecordBatch:
+    """One piece; the encodings of what it holds more than once are kept in ``packed``."""
+    # no token holds white space, so the chunks between it are encoded apart
+    chunks = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))
+    coded = chunks.values.dictionary_encode()
+    index, offsets = coded.indices.to_numpy(), chunks.offsets.to_numpy()
+    distinct = coded.dictionary.to_pylist()
+    del chunks, coded
+    spelled = [packed.get(c, older.get(c)) for c in distinct]
+    new = [i for i, ids in enumerate(spelled) if ids is None]
+    for at in range(0, len(new), words_per_trie):
+        split = [(i, encoder.split(distinct[i])) for i in new[at : at + words_per_trie]]
+        tokens = encoder.encode_words(list({w for _, words in split for w in words} - encoder.special.keys()))
+        for i, words in split:
+            spelled[i] = b"".join([tokens[w] if w in tokens else encoder.packed[w] for w in words])
+    often = np.flatnonzero(np.bincount(index, minlength=len(distinct)) > 1)
+    packed |= {distinct[i]: spelled[i] for i in often.tolist()}
+    # gather each chunk's ids in the order of the texts
+    lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
+    starts = np.cumsum(lengths) - lengths
+    n = lengths[index]
+    ends = np.cumsum(n)
+    place = np.repeat(starts[index] - ends + n, n)
+    place += np.arange(len(place))
+    ids = np.frombuffer(b"".join(spelled), "<u4")[place]
+    del place
+    offsets = np.concatenate([[0], ends])[offsets].astype(np.int32)
+    text = pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(pa.array(ids))), " ")
+    binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids.tobytes())])
+    return pa.RecordBatch.from_arrays([batch.column(0), binary, text], names=["doc_id", "ids", "decoded"])
 
 
 def check_settings(spec: str) -> None:

@@ -4,9 +4,12 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from bindery.llm import bpe_trie
+from bindery.llm.common import worker_state
 from bindery.llm.multi_index import close_enough, learn_codes, nearest
 from bindery.llm.queries import TOKENIZERS, held_out, op5_toxicity
 from bindery.llm.toxicity import Model, buckets_of, fit, score, train
@@ -132,3 +135,22 @@ def test_trimmed_encoder_leaves_nothing_to_a_collector(monkeypatch):
         assert states() == 0
     finally:
         gc.enable()
+
+
+def test_encoder_keeps_what_is_met_again(monkeypatch):
+    spec = Path(f"{TOKENIZERS}/word_bpe_49k.json").read_text()
+    monkeypatch.setattr(bpe_trie, "PIECE_BYTES", 2_000)
+    monkeypatch.setattr(bpe_trie, "CACHE_WORDS", 20)
+    monkeypatch.setattr(bpe_trie, "CACHE_SPINES", 10, raising=False)
+    texts = [f"often Again {i}x{i} often again {' '.join(f'only{i}w{j}' for j in range(100))}" for i in range(12)]
+    texts[5:5] = [" ".join(f"pair{j} pair{j}" for j in range(30)), "", None]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = pa.Table.from_batches(bpe_trie._encode(spec, iter([batch]), 50))
+    kept = worker_state("bpe_trie")
+    held = kept["packed"] | kept.get("older", {})
+    assert "often" in held and len(held) < 50 and not any(w.startswith("only") for w in held)
+    assert len(kept["encoder"].spines) < 3_000
+    library = Tokenizer.from_str(spec)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x.as_py(), "<u4").tolist() for x in got["ids"]] == want
+    assert [x.as_py() for x in got["decoded"]] == [library.decode(x, skip_special_tokens=False) for x in want]
