@@ -6,7 +6,8 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Tables written on the way to the one that ``settled`` makes.
+_on_the_way: ContextVar[list[str] | None] = ContextVar("on_the_way", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
@@ -51,9 +56,58 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    if (passing := _on_the_way.get()) is not None:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``written(make(), name)``; what ``make`` has written on its way is deleted when that table stands.
+
+    Nothing else may read those tables; a read that comes too late fails.
+    """
+    token = _on_the_way.set(passing := [])
+    try:
+        df = make()
+    finally:
+        _on_the_way.reset(token)
+    table, context = written(df, name), df.sparkSession.sparkContext
+    for path in map(context._jvm.org.apache.hadoop.fs.Path, passing):
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return table
+
+
+#: Bits that ``parted`` broadcasts at most (8 MB).
+MOST_BITS = 1 << 26
+
+
+def parted(rows: DataFrame, keys: DataFrame, number: str, most: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``number`` is surely not among those of ``keys``, a written table, and the other rows.
+
+    Each number of ``keys`` sets one of ``most`` bits or fewer, which every task
+    knows, so no row moves. Of the other rows some may have no partner, and all
+    may come there when the bits are full: an exact join is to follow.
+    """
+    bits, count, wide = 1 << 15, keys.count(), (1 << 15) - 1  # the bits come in rows of 2**15
+    while bits < min(most, 16 * count):
+        bits *= 2
+    at, bucket, marks = F.pmod(number, F.lit(bits)), free("bucket", rows), free("marks", rows)
+    filled = keys.select(F.shiftright(at, 15).alias(bucket), at.bitwiseAND(F.lit(wide)).alias("at")).groupBy(bucket).agg(F.bitmap_construct_agg("at").alias(marks))
+    byte = F.substring(marks, F.shiftright(at.bitwiseAND(F.lit(wide)), 3).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), at.bitwiseAND(F.lit(7)).cast("int"))
+    marked = rows.withColumn(bucket, F.shiftright(at, 15)).join(F.broadcast(filled), bucket, "left").withColumn(bucket, F.coalesce(bit, F.lit(0)))
+    return marked.where(F.col(bucket) == 0).select(rows.columns), marked.where(F.col(bucket) == 1).select(rows.columns)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: list[str], number: str) -> DataFrame:
+    """The rows whose ``key`` is not in ``gone``, a written table; ``number`` is a long of the key, such as a hash.
+
+    Most of them do not move.
+    """
+    stay, others = parted(rows, gone, number)
+    return stay.unionByName(others.join(gone, key, "left_anti").select(rows.columns))
+
+
 def free(name: str, *frames: DataFrame) -> str:
     """``name``, with underscores before it until no column of the frames is called so (in any case)."""
     taken = {c.lower() for f in frames for c in f.columns}

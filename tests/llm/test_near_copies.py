@@ -1,10 +1,11 @@
 """The near-dedup stage against all pairs."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline as pipeline
 import numpy as np
-from bindery.llm import near_copies, simhash
+from bindery.llm import common, near_copies, simhash
 from pyspark.sql import functions as F
 
 from .helpers import frame
@@ -82,3 +83,47 @@ def test_fingerprints_link_similar_sets(spark):
         for b in range(a):
             differ = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(lists[a][2], lists[b][2]))
             assert differ <= len(np.setxor1d(sets[a], sets[b]))
+
+
+def tables(spark):
+    """Names of the tables that lie in the shared folder."""
+    return {p.name for p in Path(common.shared_dir(spark), spark.sparkContext.applicationId).iterdir()}
+
+
+def test_tables_of_the_stage_go_once_they_are_used(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefghijk", k=60)) for _ in range(20)]
+    rows = frame(spark, [(i, t, "s") for i, t in enumerate(texts + [edited(rng, t, 1) for t in texts] + texts[:5])])
+    common.written(rows.select("doc_id"), "first")  # the folder is there
+    before = tables(spark)
+    kept = pipeline.drop_near_duplicates(spark, rows, "")
+    left = {name.rsplit("-", 1)[0] for name in tables(spark) - before}
+    assert kept.count() == 20 and "pipeline-others" in left
+    assert not [name for name in left if name.split("-")[0] in ("blocks", "near", "cc", "simhash")]
+
+
+def test_a_settled_table_outlives_what_it_was_made_of(spark):
+    common.written(spark.range(1), "first")
+    before = tables(spark)
+    one = lambda: common.written(spark.range(4), "on-way").where("id > 1")
+    two = lambda: common.settled(one, "inner").union(common.written(spark.range(1), "on-way"))
+    out = common.settled(two, "outer")
+    assert sorted(r["id"] for r in out.collect()) == [0, 2, 3]
+    assert [name.rsplit("-", 1)[0] for name in tables(spark) - before] == ["outer"]
+
+
+def test_only_rows_that_may_go_are_joined(spark):
+    rows = spark.range(-20_000, 20_000).select(F.col("id"), F.xxhash64("id").alias("hash"), F.lit("b").alias("bucket"), F.lit("m").alias("marks"))
+    gone = common.written(rows.where("pmod(id, 40) = 3").select("id", "hash"), "gone")
+    wanted = [i for i in range(-20_000, 20_000) if i % 40 != 3]
+    for most in (common.MOST_BITS, 64):  # the least there are is 2**15
+        stay, others = common.parted(rows, gone, "hash", most)
+        ids, rest = {r["id"] for r in stay.collect()}, {r["id"] for r in others.collect()}
+        assert ids <= set(wanted) and len(ids) + len(rest) == 40_000 and stay.columns == others.columns == rows.columns
+        assert len(ids) > 35_000
+    assert sorted(r["id"] for r in common.without(rows, gone, ["id", "hash"], "hash").collect()) == wanted
+    # two rows of one hash, of which one goes; nothing to go
+    same = rows.select("id", F.lit(7).cast("long").alias("hash"))
+    left = common.without(same, common.written(same.where("id = 5"), "gone"), ["id", "hash"], "hash")
+    assert left.count() == 39_999 and not left.where("id = 5").count()
+    assert common.without(rows, common.written(gone.where("id > 99999"), "gone"), ["id", "hash"], "hash").count() == 40_000
