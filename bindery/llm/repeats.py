@@ -144,21 +144,29 @@ def sort_bytes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sort_mixed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As ``sort_bytes``, for rows without runs in order: faster, and equal rows come in any order."""
-    columns = big_endian(rows)
+    return sort_numbers(big_endian(rows))
+
+
+def sort_numbers(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``sort_columns``, for unsigned 64-bit numbers without runs in order: faster, and equal rows come in any order."""
     order = np.argsort(columns[0])
-    first = columns[0][order]
     new = np.ones(len(order), bool)
-    new[1:] = first[1:] != first[:-1]
-    # only rows that share their first 8 bytes need more
-    tied = ~new
-    tied[:-1] |= ~new[1:]
-    at = np.flatnonzero(tied)
-    if len(at) and len(columns) > 1:
-        run = np.cumsum(new)[at]
+    at, column, bits = np.arange(len(order)), columns[0][order], 0
+    while True:
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = column[1:] != column[:-1]
+        new[at] = fresh
+        # only rows that are equal so far need more
+        tied = ~fresh
+        tied[:-1] |= ~fresh[1:]
+        at, bits = at[tied], bits + (32 if bits else 64)
+        if not len(at) or bits >= 64 * len(columns):
+            return order, new
         part = order[at]
-        by, fresh = sort_columns([run, *(c[part] for c in columns[1:])])
-        order[at], new[at] = part[by], fresh
-    return order, new
+        column = columns[bits // 64][part] >> U64(32) if bits % 64 == 0 else columns[bits // 64][part] & U64(0xFFFFFFFF)
+        column |= np.cumsum(new[at]).astype(U64) << U64(32)
+        by = np.argsort(column)
+        order[at], column = part[by], column[by]
 
 
 def common_prefixes(rows: np.ndarray) -> np.ndarray:
@@ -170,20 +178,40 @@ def common_prefixes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def front_code(rows: np.ndarray) -> bytes:
-    """Sorted rows as lengths of common prefixes and the rest of each row."""
-    shared = common_prefixes(rows)
-    return zstandard.compress(shared.astype(np.uint8).tobytes() + rows[np.arange(rows.shape[1]) >= shared[:, None]].tobytes(), 3)
+def shared_bytes(columns: list[np.ndarray]) -> np.ndarray:
+    """As ``common_prefixes`` of the bytes of big-endian numbers; equal rows share all."""
+    n = len(columns[0])
+    out = np.zeros(n, np.uint8)
+    same = np.ones(max(0, n - 1), bool)
+    for c in columns:
+        differ = c[1:] ^ c[:-1]
+        for i in range(8):
+            out[1:] += (differ < U64(1 << 8 * i)) & same
+        same &= differ == 0
+    return out
+
+
+def front_code(rows: np.ndarray, starts: list[int], shared: np.ndarray | None = None) -> list[bytes]:
+    """Runs of sorted rows, each as lengths of common prefixes and the rest of each row."""
+    shared = (common_prefixes(rows) if shared is None else shared).astype(np.uint8)
+    shared[starts] = 0
+    width = rows.shape[1]
+    rest = rows[np.arange(width, dtype=np.uint8) >= shared[:, None]]
+    before = np.concatenate([[0], np.cumsum(width - shared.astype(np.int64))])
+    return [zstandard.compress(shared[a:b].tobytes() + rest[before[a] : before[b]].tobytes(), 3) for a, b in zip(starts, [*starts[1:], len(rows)])]
 
 
 def front_join(shared: list[np.ndarray], rest: list[np.ndarray], width: int) -> np.ndarray:
     """The rows of several parcels, one after another."""
-    own = np.arange(width) >= np.concatenate(shared)[:, None]
-    rows = np.zeros(own.shape, rest[0].dtype)
-    rows[own] = np.concatenate(rest)
-    places = np.arange(len(rows))
+    shared, rest = np.concatenate(shared), np.concatenate(rest)
+    # element c of a row stands in the rest of the last row that shares no more than c
+    base = np.cumsum(width - shared.astype(np.int64)) - width
+    rows = np.empty((len(shared), width), rest.dtype)
+    source = np.empty_like(base)
     for c in range(width):
-        rows[:, c] = rows[np.maximum.accumulate(np.where(own[:, c], places, 0)), c]
+        np.maximum.accumulate(np.where(shared <= c, base, 0), out=source)
+        source += c
+        rows[:, c] = rest[source]
     return rows
 
 
@@ -199,11 +227,15 @@ PARCELS = "grp int, block long, n int, rows binary, marks binary"
 ANSWERS = "block long, grp int, phase int, answer binary"
 
 
-def parcels(block: int, groups: np.ndarray, rows: np.ndarray, marks: Callable[[slice], bytes], code: Callable[[np.ndarray], bytes] = front_code) -> pa.RecordBatch:
-    """One parcel for each group met; ``rows`` are sorted by group, and within it."""
+def parcels(block: int, groups: np.ndarray, rows: np.ndarray, marks: Callable[[slice], bytes], code: Callable[[np.ndarray], bytes] | None = None, shared: np.ndarray | None = None) -> pa.RecordBatch:
+    """One parcel for each group met; ``rows`` are sorted by group, and within it.
+
+    Rows are front-coded if no other code is given; ``shared`` may tell their common prefixes.
+    """
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]]) if len(groups) else np.zeros(1, np.int64)
     spans = [slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-    columns = [[int(groups[s.start]) for s in spans], [block] * len(spans), [s.stop - s.start for s in spans], [code(rows[s]) for s in spans], [marks(s) for s in spans]]
+    coded = [code(rows[s]) for s in spans] if code else front_code(rows, [s.start for s in spans], shared)
+    columns = [[int(groups[s.start]) for s in spans], [block] * len(spans), [s.stop - s.start for s in spans], coded, [marks(s) for s in spans]]
     schema = arrow_schema(PARCELS)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

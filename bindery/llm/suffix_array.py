@@ -48,9 +48,10 @@ from .repeats import (
     least_ids,
     parcels,
     parts_joined,
+    shared_bytes,
     sort_bytes,
     sort_columns,
-    sort_mixed,
+    sort_numbers,
     split,
     squeeze,
     task_count,
@@ -63,6 +64,8 @@ LENGTH = 50
 #: A difference cover: every difference modulo PERIOD is one of two of its members.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 TRIPLE = 21
+#: Where in a triple the 64-bit numbers start that it is sorted by.
+NUMBERS = (0, 8, TRIPLE - 8)
 #: Characters before and after a name that the suffixes around it may need.
 LEFT, RIGHT = PERIOD - 1, LENGTH - TRIPLE
 #: Bytes of a sent name of a triple of names, and of a name with its surroundings.
@@ -101,7 +104,16 @@ class _Text:
         return at[(at + TRIPLE <= self.end(at)) & (self.ids(at) != NO_ID)]
 
     def triples(self, at: np.ndarray) -> np.ndarray:
-        return sliding_window_view(self.text, TRIPLE)[at] if len(at) else np.empty((0, TRIPLE), np.uint8)
+        if not len(at):
+            return np.empty((0, TRIPLE), np.uint8)
+        return np.ndarray((self.n - TRIPLE + 1,), f"V{TRIPLE}", self.text, strides=(1,))[at].view(np.uint8).reshape(-1, TRIPLE)
+
+    def numbers(self, at: np.ndarray) -> list[np.ndarray]:
+        """The triples as 64-bit numbers of the same order; the last holds bytes of the one before again."""
+        if not len(at):
+            return [np.empty(0, U64)] * len(NUMBERS)
+        words = np.ndarray((self.n - 7,), ">u8", self.text, strides=(1,))
+        return [words.take(at + i).astype(U64) for i in NUMBERS]
 
     def named(self) -> tuple[np.ndarray, np.ndarray]:
         """Places with a repeated triple, and its name: group and rank."""
@@ -109,8 +121,10 @@ class _Text:
 
     def suffixes(self) -> np.ndarray:
         """Whether a string of 50 bytes within one document starts at each place."""
-        at = np.arange(self.n)
-        return at + LENGTH <= np.repeat(self.block.ends, self.block.ends - self.block.starts)
+        out = np.ones(self.n, bool)
+        short = self.block.ends[:, None] - np.arange(1, LENGTH)
+        out[short[short >= self.block.starts[:, None]]] = False
+        return out
 
 
 # 1. triples
@@ -118,12 +132,16 @@ class _Text:
 
 def _send_triples(block: Block, bounds: np.ndarray) -> pa.RecordBatch:
     text = _Text(block)
-    rows = text.triples(text.sampled())
-    order, new = sort_mixed(rows)
+    at = text.sampled()
+    numbers = text.numbers(at)
+    order, new = sort_numbers(numbers)
     first = np.flatnonzero(new)
-    rows, twice = rows[order[first]], np.diff(np.append(first, len(order))) > 1
-    groups = np.searchsorted(bounds, big_endian(rows[:, :8])[0], side="right")
-    return parcels(block.number, groups, rows, lambda s: np.packbits(twice[s]).tobytes())
+    twice, order = np.diff(np.append(first, len(order))) > 1, order[first]
+    numbers = [c[order] for c in numbers]
+    shared = shared_bytes(numbers)
+    shared[shared >= 16] -= 16 - NUMBERS[2]  # bytes that two numbers hold count once
+    groups = np.searchsorted(bounds, numbers[0], side="right")
+    return parcels(block.number, groups, text.triples(at[order]), lambda s: np.packbits(twice[s]).tobytes(), shared=shared)
 
 
 def _rank_triples(table: pa.Table) -> list[bytes]:
@@ -160,7 +178,7 @@ def _name_places(block: Block, answers: pa.Table) -> pa.RecordBatch:
     at = text.sampled()
     name = np.zeros(len(at), U64)
     if len(at):
-        order, new = sort_mixed(text.triples(at))
+        order, new = sort_numbers(text.numbers(at))
         told = answers.sort_by("grp")
         ranks = [(U64(g) << U64(32) | r) * (r > 0) for g, r in zip(told["grp"].to_pylist(), map(_ranks_decoded, told["answer"].to_pylist()))]
         name[order] = np.concatenate(ranks)[np.cumsum(new) - 1]
@@ -299,7 +317,7 @@ def _merge_suffixes(table: pa.Table) -> list[bytes]:
         held = np.flatnonzero((before >= d) & (after >= RIGHT - d))
         if len(held):
             key = (ranks(0, d) << U64(32) | ranks(1, RIGHT - d))[held]
-            told[held, d] = _later(*sort_columns([key]), ids[held])
+            told[held, d] = _later(*sort_numbers([key]), ids[held])
     return [zstandard.compress(b.tobytes()) for b in split(np.packbits(told, axis=1), counts)]
 
 
