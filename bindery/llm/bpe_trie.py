@@ -18,6 +18,7 @@ import gc
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -58,12 +59,17 @@ SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _S
 
 
 class State(NamedTuple):
-    """The tokens that end a prefix, longest first, each with its length and left neighbours met."""
+    """The tokens that end a prefix, longest first, each with its length and left neighbours met.
+
+    One of them is the last token, so the shortest, which stands apart, is it when no other is.
+    """
 
     tail: str
     moves: dict
     inner: list
+    inner_least: str
     final: list
+    final_least: str
 
 
 class TrieEncoder:
@@ -78,14 +84,17 @@ class TrieEncoder:
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         own = {t: t for t in model["model"]["vocab"]}  # one string for each token
         merges = [tuple(own[t] for t in (m.split(" ") if isinstance(m, str) else m)) for m in model["model"].pop("merges")]
-        self.rank = {pair: i for i, pair in enumerate(merges)}
+        #: left part -> right part -> rank of their merge
+        self.joins: dict[str, dict[str, int]] = {}
+        for i, (left, right) in enumerate(merges):
+            self.joins.setdefault(left, {})[right] = i
         self.parts = {own["".join(pair)]: pair for pair in merges}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         ids: dict[str, int] = model["model"]["vocab"] | self.special
         self.packed = {t: i.to_bytes(4, "little") for t, i in ids.items()}
         self.names = {i: t for t, i in ids.items()}
-        self.spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
+        self.spines: dict[tuple[str, int], dict[str, float]] = {}
         self._whole: dict[str, bool] = {}
         usable = [t for t in model["model"]["vocab"] if self.is_whole(t)]
         self.inner = {t for t in usable if not t.endswith(END)}
@@ -106,22 +115,26 @@ class TrieEncoder:
         if len(self.spines) > CACHE_SPINES:
             self.spines = {}
 
-    def _spine(self, token: str, side: int) -> list[tuple[str, float]]:
+    def _spine(self, token: str, side: int) -> dict[str, float]:
         """Parts of a token that touch its border, each with the rank at which it is merged away."""
         known = self.spines.get((token, side))
         if known is None:
-            known = self.spines[token, side] = [(token, float("inf"))]
+            known = self.spines[token, side] = {token: float("inf")}
             while token in self.parts:
                 pair = self.parts[token]
                 token = pair[side]
-                known.append((token, self.rank[pair]))
+                known[token] = self.joins[pair[0]][pair[1]]
         return known
 
     def _crossed(self, left: str, right: str, before: float) -> bool:
         """Whether some merge joins the two tokens at a rank under ``before``."""
-        for x, x_gone in self._spine(left, 1):
-            for y, y_gone in self._spine(right, 0):
-                r = self.rank.get((x, y))
+        ys = self._spine(right, 0)
+        for x, x_gone in self._spine(left, 1).items():
+            joined = self.joins.get(x)
+            if joined is None or joined.keys().isdisjoint(ys):
+                continue
+            for y, y_gone in ys.items():
+                r = joined.get(y)
                 # of equal merges the leftmost goes first
                 if r is not None and r < before and r < x_gone and r <= y_gone:
                     return True
@@ -132,7 +145,7 @@ class TrieEncoder:
         known = self._whole.get(token)
         if known is None:
             pair = self.parts.get(token)
-            known = pair is None or (self.is_whole(pair[0]) and self.is_whole(pair[1]) and not self._crossed(*pair, self.rank[pair]))
+            known = pair is None or (self.is_whole(pair[0]) and self.is_whole(pair[1]) and not self._crossed(*pair, self.joins[pair[0]][pair[1]]))
             self._whole[token] = known
         return known
 
@@ -146,11 +159,15 @@ class TrieEncoder:
         found = self.states.get(tail)
         if found is None:
             ends = [tail[i:] for i in range(len(tail))]
+            *inner, inner_least = [t for t in ends if t in self.inner] or [""]
+            *final, final_least = [t for t in ends if t in self.final] or [""]
             found = self.states[tail] = State(
                 tail,
                 {},
-                [(t, len(t), self.follows.setdefault(t, {})) for t in ends if t in self.inner],
-                [(t + END, len(t), self.follows.setdefault(t + END, {})) for t in ends if t in self.final],
+                [(t, len(t), self.follows.setdefault(t, {})) for t in inner],
+                inner_least,
+                [(t + END, len(t), self.follows.setdefault(t + END, {})) for t in final],
+                final_least + END,
             )
         return found
 
@@ -185,30 +202,35 @@ class TrieEncoder:
                 del above[shared + 1 :]
             if shared < len(path) - 1:
                 del path[shared + 1 :]
-            state = path[shared]
+            tail, moves, inner, inner_least, final, final_least = state = path[shared]
             n = shared
             if n == len(above):  # the word before ended here and left no inner token
                 above.append(self.inner_token(state, n, above))
             for symbol in word[shared:]:
                 n += 1
-                state = state.moves.get(symbol) or self.move(state, symbol)
+                tail, moves, inner, inner_least, final, final_least = state = moves.get(symbol) or self.move(state, symbol)
                 path.append(state)
                 if n <= last:
-                    for token, size, known in state.inner:
+                    for token, size, known in inner:
                         if size == n:
                             break
                         left = above[n - size]
                         ok = known.get(left)
                         if ok or ok is None and self.may_follow(left, token, known):
                             break
+                    else:
+                        token = inner_least
                     above.append(token)
-            for token, size, known in state.final:
+            for token, size, known in final:
                 if size == n:
                     break
                 left = above[n - size]
                 ok = known.get(left)
                 if ok or ok is None and self.may_follow(left, token, known):
                     break
+            else:
+                token = final_least
+                size = len(token) - len(END)
             ids, at = packed[token], n - size
             while at:
                 token = above[at]
@@ -221,14 +243,16 @@ class TrieEncoder:
         for token, size, known in state.inner:
             if size == n or self.may_follow(above[n - size], token, known):
                 return token
-        raise ValueError("no token ends here")
+        return state.inner_least
 
     def split(self, chunk: str) -> list[str]:
         """Words (byte-level symbols) and special tokens in a chunk without white space."""
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
         if PLAIN(chunk):
             text = chunk.lower()
             if text.isascii():
-                return [text] if text.isalpha() else PLAIN_WORDS(text)
+                return PLAIN_WORDS(text)
             return [w if w.isascii() else w.encode().decode("latin-1").translate(SYMBOLS) for w in PLAIN_WORDS(text)]
         out: list[str] = []
         for part in self.split_special.split(chunk):
@@ -268,15 +292,19 @@ def _coded(encoder: TrieEncoder, packed: dict[str, bytes], older: dict[str, byte
     chunks = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))
     coded = chunks.values.dictionary_encode()
     index, offsets = coded.indices.to_numpy(), chunks.offsets.to_numpy()
-    distinct = coded.dictionary.to_pylist()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
     del chunks, coded
-    spelled = [packed.get(c, older.get(c)) for c in distinct]
+    spelled = [packed.get(c) or older.get(c) for c in distinct]
     new = [i for i, ids in enumerate(spelled) if ids is None]
     for at in range(0, len(new), words_per_trie):
-        split = [(i, encoder.split(distinct[i])) for i in new[at : at + words_per_trie]]
-        tokens = encoder.encode_words(list({w for _, words in split for w in words} - encoder.special.keys()))
-        for i, words in split:
-            spelled[i] = b"".join([tokens[w] if w in tokens else encoder.packed[w] for w in words])
+        some = new[at : at + words_per_trie]
+        split = [encoder.split(distinct[i]) for i in some]
+        words = set(chain.from_iterable(split))
+        special = words & encoder.special.keys()
+        tokens = encoder.encode_words(list(words - special))
+        tokens |= {w: encoder.packed[w] for w in special}
+        for i, words in zip(some, split):
+            spelled[i] = tokens[words[0]] if len(words) == 1 else b"".join([tokens[w] for w in words])
     often = np.flatnonzero(np.bincount(index, minlength=len(distinct)) > 1)
     packed |= {distinct[i]: spelled[i] for i in often.tolist()}
     # gather each chunk's ids in the order of the texts
